@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dense import inverse as inverse_of
+from .dense import times
 from .runtime import ranked, ship, stash
 from .textvec import flat, pieces, span_hashes
 
@@ -189,24 +191,24 @@ def cutting_stock(demand: dict[int, int], width: int, gap: float = 1e-3) -> list
     # a slight perturbation keeps the simplex from stalling at degenerate corners
     near = need + np.random.default_rng(7).uniform(0.01, 0.05, len(need)) * max(1.0, need.mean())
     basis = np.diag((width // sizes).astype(float))
-    inverse = np.linalg.inv(basis)
+    inverse = inverse_of(basis)
     bound, center = 0.0, sizes / width
     for turn in range(40 * len(sizes)):
         if turn % 64 == 0:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ near, 0)
+            inverse = inverse_of(basis)
+        x = np.maximum(times(inverse, near), 0)
         dual = inverse.sum(axis=0)
         # prices are smoothed towards the duals with the best bound; a dud there is priced again as it stands
         for smooth in (0.8, 0.0):
             value = smooth * center + (1 - smooth) * dual
             worth, column = price(value, sizes, width)
-            if near @ value > bound * worth:
-                bound, center = near @ value / worth, value / worth
-            if column @ dual > 1 + 1e-9:
+            if (near * value).sum() > bound * worth:
+                bound, center = (near * value).sum() / worth, value / worth
+            if (column * dual).sum() > 1 + 1e-9:
                 break
-        if x.sum() <= bound * (1 + gap) or column @ dual <= 1 + 1e-9:
+        if x.sum() <= bound * (1 + gap) or (column * dual).sum() <= 1 + 1e-9:
             break
-        way = inverse @ column
+        way = times(inverse, column)
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -215,7 +217,7 @@ def cutting_stock(demand: dict[int, int], width: int, gap: float = 1e-3) -> list
         row = inverse[out] / way[out]
         inverse -= np.outer(way, row)
         inverse[out] = row
-    x = np.maximum(np.linalg.solve(basis, need), 0)
+    x = np.maximum(times(inverse_of(basis), need), 0)
     left, plan = need.astype(np.int64), []
     for j in range(len(sizes)):
         column = basis[:, j].astype(np.int64)

@@ -4,18 +4,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing, sharding
+from . import bpe, fingerprint, langid, minhash, packing, pii, quality, sharding, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def _held(parts: int, which: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == which, F.lit(False))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    out = langid.identify(docs, langid.learn(langid.training(docs)))
+    return out.select("doc_id", _held(4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_docs(spark, sf_dir), 16)
 
@@ -28,5 +43,19 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_sharding, op6_bpe, op9_fingerprints)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(_docs(spark, sf_dir)))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", 5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = quality.learn(docs, quality.training(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score_documents(docs, model).select("doc_id", _held(5, 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_language, op5_sharding, op6_bpe, op7_pii, op8_topk, op9_fingerprints, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
