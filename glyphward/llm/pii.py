@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,8 +189,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     Base kinds are replaced where the texts stand; only rows with disclosing terms are looked up.
     """
     found = stash(find(docs, support, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
-    key = _key(docs)
-    rows = key.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left").drop("_d", "_k", "_text_key")
+    rows = _key(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left").drop("_d", "_k", "_text_key")
     schema = T.StructType([f for f in docs.schema.fields])
     names = docs.columns
 
@@ -202,7 +202,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
             own = {"text": pa.array(text, pa.string())}
             if "n_chars" in names:
                 own["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64())
-            yield pa.RecordBatch.from_arrays([own.get(n, b.column(n) if n not in own else None) for n in names], names)
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else b.column(n) for n in names], names)
 
     if found.isEmpty():
         rows = docs.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
@@ -211,8 +211,6 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
 
 def _key(docs: DataFrame) -> DataFrame:
     """docs with the key of its text that _scan() gives."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def key(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True)).astype("int64")
