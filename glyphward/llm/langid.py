@@ -18,7 +18,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 150, 3000
 #: Bytes of a dictionary, and of the parts of a text that are encoded on their own.
 DICTIONARY, PART = 96 << 10, 4096
 MOST_LANGUAGES = 500
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -43,7 +43,7 @@ def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMP
     if missing := [r["lang"] for r in counts if r["lang"] not in texts]:
         for r in known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.substring("text", 1, sample_chars), F.xxhash64("doc_id")).alias("t")).collect():
             texts[r["lang"]] = [r["t"]]
-    raw = {lang: "\n".join(t).lower().encode() for lang, t in texts.items()}
+    raw = {lang: "".join(map(plain, t)).encode() for lang, t in texts.items()}
     size = max(8 << 10, min(dictionary, *(len(x) for x in raw.values()), dictionary))
     return {lang: x[-size:] for lang, x in sorted(raw.items())}
 
@@ -54,6 +54,11 @@ def _window():
     return Window.partitionBy("lang").orderBy(F.xxhash64("t"), "t")
 
 
+def plain(text: str) -> str:
+    """The text's words of letters, lower-cased, with blanks around: what is encoded of texts and of samples."""
+    return f" {' '.join(_WORD.findall(text.lower()))} "
+
+
 class Classifier:
     """Bytes that a text takes with each language's dictionary; the smallest wins, ties go to the first name."""
 
@@ -75,9 +80,9 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score, margin: the part by which the next language's size is larger)."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not _WORD.search(text):
             return "und", 0.0, 0.0
-        size = self.sizes(text.lower().encode())
+        size = self.sizes(plain(text).encode())
         if len(size) == 1:
             return self.names[0], 1.0, 1.0
         i = int(size.argmin())
@@ -90,7 +95,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
     """doc_id, lang_pred, score, margin, rejected for every document.
 
     lang_pred is a learned language, or und for null texts, texts without a letter, or if none was learned; those
-    and margins below least_margin are rejected. Whole texts count, lower-cased, in parts of PART bytes. Repeated rows have equal
+    and margins below least_margin are rejected. Whole texts count, as plain() gives them, in parts of PART bytes. Repeated rows have equal
     results; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
