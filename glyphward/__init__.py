@@ -1,0 +1,8 @@
+"""Text-security analytics on Spark: find, clean, redact and report hidden or spoofed content in corpora."""
+
+from .functions.spans import Lexicon
+from .operators import PROFILES, Policy, clean, get_policy, render_scan, sanitize, sarif, scan
+from .tables import ScanOptions, UnicodeScanOptions
+
+__version__ = "0.1.0"
+__all__ = ["PROFILES", "Lexicon", "Policy", "ScanOptions", "UnicodeScanOptions", "__version__", "clean", "get_policy", "render_scan", "sanitize", "sarif", "scan"]
