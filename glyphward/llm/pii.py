@@ -189,8 +189,11 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     Base kinds are replaced where the texts stand; only rows with disclosing terms are looked up.
     """
     found = stash(find(docs, support, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
-    rows = _key(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left").drop("_d", "_k", "_text_key")
-    schema = T.StructType([f for f in docs.schema.fields])
+    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    if found.isEmpty():
+        rows = own.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
+    else:
+        rows = _key(own).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left")
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +202,13 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
             for t, terms in zip(b.column("text").to_pylist(), b.column("terms").to_pylist(), strict=True):
                 spans = base_spans(t or "") + [("term", x["s"], x["e"]) for x in terms or []]
                 text.append(sanitised(t, spans) if spans else t)
-            own = {"text": pa.array(text, pa.string())}
+            new = {"text": pa.array(text, pa.string())}
             if "n_chars" in names:
-                own["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64())
-            yield pa.RecordBatch.from_arrays([own[n] if n in own else b.column(n) for n in names], names)
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64())
+            kept = dict(zip(names, b.column("_all").flatten(), strict=True))
+            yield pa.RecordBatch.from_arrays([new.get(n, kept[n]) for n in names], names)
 
-    if found.isEmpty():
-        rows = docs.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
-    return rows.mapInArrow(work, schema)
+    return rows.select("text", "terms", "_all").mapInArrow(work, T.StructType(docs.schema.fields))
 
 
 def _key(docs: DataFrame) -> DataFrame:
