@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,7 +112,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """term, n_t: the distinct texts of the whole corpus that hold each term."""
+    """term, n_t: the documents of the whole corpus that hold each term; a task sends a row a term at most."""
     spark = docs.sparkSession
     blocks = -(-n_terms // TERMS_A_PASS)
     out = None
@@ -120,16 +121,14 @@ def _term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
         own = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()))
 
         def work(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches):
-                term, key = [], []
-                for t in b.column("text").to_pylist():
-                    if t and (hit := own.value.intersection(_TERM.findall(t.lower()))):
-                        k = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True)
-                        term += hit
-                        key += [k] * len(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(key, pa.int64())], ["term", "text_key"])
-
-        part = docs.select("text").mapInArrow(work, "term string, text_key long").groupBy("term").agg(F.countDistinct("text_key").alias("n_t"))
+            count: Counter[str] = Counter()
+            for b in batches:
+                for t in b.column("text"):
+                    if text := t.as_py():
+                        count.update(own.value.intersection(_TERM.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+
+        part = docs.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "term string, n_t long")
 
@@ -137,21 +136,22 @@ def _term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, base, terms: base spans of every row, and the spans of terms that disclose its entities.
 
-    With p from the distinct texts of the corpus, a term t discloses an entity c if PMI(c, t) >= disclosure * -log p(c)
+    With p from the documents of the corpus, a term t discloses an entity c if PMI(c, t) >= disclosure * -log p(c)
     and at least support texts show both near each other. terms is an array of structs (s, e). Null texts count as
     empty; repeated rows have equal results, one each; an empty table gives no rows; other columns are ignored.
     """
     scanned = stash(_scan(docs))
-    near = scanned.select("text_key", F.explode("near").alias("c")).select("text_key", "c.entity", "c.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
+    near = scanned.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("c")).select("text_key", "c.*")
+    by_text = near.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
     pairs = stash(pairs)
     seen = pairs.select("term").distinct()
     n_terms = seen.count()
     plain = scanned.select("doc_id", "text_key", "base")
     if not n_terms:
         return plain.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
-    total = scanned.select("text_key").distinct().count()
-    entities = scanned.select("text_key", F.explode("near").alias("c")).select("text_key", "c.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    total = scanned.count()
+    entities = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     counted = pairs.join(entities, "entity").join(_term_counts(docs, seen, n_terms), "term")
     pmi = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     telling = counted.filter(pmi >= F.lit(disclosure) * F.log(F.lit(float(total)) / F.col("n_c"))).select("entity", "term")
