@@ -14,8 +14,15 @@ from pyspark.sql.window import Window
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows and bytes of an Arrow batch at most, so that a batch of long texts stays small beside the heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (on a cluster: --py-files)."""
+    """Let Python workers import this package from where the driver has it (on a cluster: --py-files), and bound batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
