@@ -20,7 +20,7 @@ from .textvec import flat, pieces, span_hashes
 
 END_ID = 1
 #: Segments that a worker's memo holds before it starts afresh.
-MEMO = 1_500_000
+MEMO = 400_000
 #: The split pattern that the vocabulary's pre-tokenizer has built in (fixed value of the file format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,7 +94,7 @@ class Coder:
         raw, offs = flat(texts)
         if not self.checked:
             self.check([str(t or "")[:2000] for t in texts[:3].to_pylist()])
-            self.checked = True
+            self.checked, self.reference = True, None  # its tables are large
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         blank = (raw == 0x20) | (raw == 0x0A) | (raw == 0x0D) | (raw == 0x09)
