@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, minhash, packing, pii, quality, sharding, topk
+from . import bpe, fingerprint, langid, minhash, packing, pii, quality, sharding, topk, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.resolve(warc.crawl(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
@@ -57,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", _held(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_language, op5_sharding, op6_bpe, op7_pii, op8_topk, op9_fingerprints, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_warc, op3_packing, op4_language, op5_sharding, op6_bpe, op7_pii, op8_topk, op9_fingerprints, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL}
