@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import ship, stash
 from .textvec import U, distinct, mix, pieces, shingles
 
 #: Bands of rows: a pair of similarity 0.8 shares none of them with probability (1 - 0.8**ROWS)**BANDS < 1e-6.
 BANDS, ROWS = 48, 6
-#: Further turns of stars, and the following bands that each band is paired with.
-STARS, TWINS = 2, 6
+#: Further turns of stars, and the share of all shingle rows from which the counts of a shingle are broadcast (so 1 / HEAVY at most).
+STARS, HEAVY = 2, 0.001
 
 
 def fast_sketch(items: np.ndarray, size: int) -> np.ndarray:
@@ -82,6 +83,45 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "id long, items binary")
 
 
+def _items(sets: DataFrame) -> DataFrame:
+    """id, item: a row for each hash of a set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in zip(b.column("id").to_pylist(), b.column("items").to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], ["id", "item"])
+
+    return sets.mapInArrow(work, "id long, item long")
+
+
+def _overlapping(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of left (rep, n, c, out) with one out at least and different c that prefix filtering cannot rule out.
+
+    Shingles are ordered from rare to common, those of one set alone first. r counts a set's shingles from one on, so
+    what two sets share is at most the lesser r of the first shingle that both hold: no pair of similarity percent / 100
+    is lost, and sets that differ in more than their few rare shingles do not meet. Counts of the most common shingles
+    are broadcast, so that no key of the join holds more than HEAVY of the rows.
+    """
+    rows = stash(_items(sets.join(left.select(F.col("rep").alias("id")), "id", "left_semi")))
+    counts = stash(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    bar = (counts.agg(F.sum("df")).first()[0] or 0) * HEAVY
+    heavy = F.broadcast(counts.filter(F.col("df") >= bar))
+    light = rows.join(heavy.select("item"), "item", "left_anti").join(counts.filter(F.col("df") < bar), "item")
+    order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("item"))
+    prefix = rows.join(heavy, "item").unionByName(light).withColumn("r", F.row_number().over(order).cast("long"))
+    prefix = stash(prefix.join(left, F.col("id") == F.col("rep")).filter(100 * F.col("r") >= percent * F.col("n")).select("item", "rep", "n", "c", "out", "r"))
+    wanted = prefix.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("out").alias("any")).filter("lo <> hi and any").select("item")
+    prefix = stash(prefix.join(wanted, "item", "left_semi"))
+    one = prefix.filter("out").select("item", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("r").alias("xr"))
+    two = prefix.select("item", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("r").alias("yr"), F.col("out").alias("yout"))
+    enough = (100 + percent) * F.least("xr", "yr") >= percent * (F.col("xn") + F.col("yn"))
+    pairs = one.join(two, "item").filter((F.col("xc") != F.col("yc")) & (~F.col("yout") | (F.col("x") < F.col("y"))) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
 
@@ -137,10 +177,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int
     are kept. An empty table gives no rows; other columns are ignored.
 
     Candidates are classes that share a band. First each class is held against the least class of each of its bands,
-    then, in bands whose classes are still in different components, against other hubs for a few turns. Last, all
-    pairs of classes of different components that share two bands at once, of TWINS neighbours of each band, are
-    tested: at similarity 0.8 a pair shares 12.6 of 48 bands on average, and of 288 twins none with probability
-    below 1e-4. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
+    then, in bands whose classes are still in different components, against other hubs for a few turns. Last, the
+    classes of such bands meet through the rare shingles of their sets, which loses no pair of them that is similar
+    enough. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
     """
     sketched = stash(_sketches(docs, k, n_bands, rows))
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -169,18 +208,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int
         stars = stars.unionByName(tries)
         links = stash(links.unionByName(_verified(tries, sets, percent)))
     found = stash(components(links))
-    # last, all pairs of different components that share two bands at once: classes outside the least one's component
+    # last, what is still apart: classes outside the least one's component, against all classes of their bands
     apart = _marked(shared, found).withColumn("out", F.col("c") != F.col("lead_c"))
     open_keys = apart.filter("out").select("key").distinct()
     left = apart.join(open_keys, "key", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("out").alias("out"))
-    at = F.sequence(F.lit(0), F.lit(n_bands - 1))
-    both = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(min(TWINS, n_bands - 1))), lambda s: F.xxhash64(F.get("keys", i), F.get("keys", (i + s) % n_bands), i, s))))
-    twins = stash(left.join(heads.select("rep", "keys"), "rep").select("rep", "n", "c", "out", F.explode(both).alias("key")))
-    wanted = twins.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("out").alias("any")).filter("lo <> hi and any").select("key")
-    twins = stash(twins.join(wanted, "key", "left_semi"))
-    one = twins.filter("out").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    two = twins.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-    rest = one.join(two, "key").filter((F.col("xc") != F.col("yc")) & alike(F.col("xn"), F.col("yn"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = _overlapping(stash(left), sets, percent)
     rest = stash(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = components(links.unionByName(_verified(rest, sets, percent)))
