@@ -19,8 +19,6 @@ from .textvec import pieces
 KINDS = ("email", "ip", "card", "phone")
 #: Terms are looked for so many characters around an entity, in runs of at least four letters.
 REACH = 80
-#: Distinct texts that must show an entity with a term before their association counts.
-SUPPORT = 3
 #: A term discloses an entity whose information it gives away by this part or more.
 DISCLOSURE = 0.8
 #: Terms counted in one pass over the corpus; more take more passes.
@@ -133,18 +131,16 @@ def _term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "term string, n_t long")
 
 
-def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, base, terms: base spans of every row, and the spans of terms that disclose its entities.
 
-    With p from the documents of the corpus, a term t discloses an entity c if PMI(c, t) >= disclosure * -log p(c)
-    and at least support texts show both near each other. terms is an array of structs (s, e). Null texts count as
+    With p from the documents of the corpus, a term t discloses an entity c if PMI(c, t) >= disclosure * -log p(c),
+    be c in many documents or in one. terms is an array of structs (s, e). Null texts count as
     empty; repeated rows have equal results, one each; an empty table gives no rows; other columns are ignored.
     """
     scanned = stash(_scan(docs))
-    near = scanned.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("c")).select("text_key", "c.*")
-    by_text = near.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
-    pairs = stash(pairs)
+    near = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("c")).select("c.*")
+    pairs = stash(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")))
     seen = pairs.select("term").distinct()
     n_terms = seen.count()
     plain = scanned.select("doc_id", "text_key", "base")
@@ -183,12 +179,12 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """The same rows and columns with texts generalised; n_chars, where there is one, follows the text.
 
     Base kinds are replaced where the texts stand; only rows with disclosing terms are looked up.
     """
-    found = stash(find(docs, support, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
+    found = stash(find(docs, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
     own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
     if found.isEmpty():
         rows = own.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
