@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +18,12 @@ from .runtime import ship, stash
 from .textvec import pieces
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms are looked for so many characters around an entity, in runs of at least four letters.
-REACH = 80
 #: A term discloses an entity whose information it gives away by this part or more.
 DISCLOSURE = 0.8
-#: Terms counted in one pass over the corpus; more take more passes.
-TERMS_A_PASS = 100_000
+#: Different terms that a task counts before it sends them on.
+TERMS_HELD = 300_000
+#: Terms of texts sent on at once, but for those of one text.
+WORDS_A_BATCH = 50_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,6 +32,7 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Terms are runs of at least four letters.
 _TERM = re.compile(r"[^\W\d_]{4,}")
 
 
@@ -69,21 +71,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms around each span and outside all of them."""
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Each term of the text with its places outside all spans."""
     taken = sorted((s, e) for _, s, e in spans)
-    out = []
-    for kind, start, end in spans:
-        entity = f"{kind}:{text[start:end].lower()}"
-        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-        while 0 < lo < start and text[lo - 1].isalpha() and text[lo].isalpha():
-            lo += 1
-        for m in _TERM.finditer(text, lo, hi):
-            s, e = m.span()
-            if e == hi < len(text) and text[hi].isalpha():
-                continue
-            if not any(s < b and a < e for a, b in taken if a < hi and b > lo):
-                out.append((entity, m[0].lower(), s, e))
+    out: dict[str, list[tuple[int, int]]] = {}
+    at = covered = 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][0] < e:
+            covered = max(covered, taken[at][1])
+            at += 1
+        if s >= covered:
+            out.setdefault(m[0].lower(), []).append((s, e))
     return out
 
 
@@ -92,69 +91,108 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Each row's base spans, and the contexts of its entities."""
+    """Each row's base spans and entities, and its text where it has any."""
     ship(docs.sparkSession)
-    place = pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int64()), ("e", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            spans, near, key = [], [], []
+            base, key, entities, kept = [], [], [], []
             for t in b.column("text").to_pylist():
-                own = base_spans(t or "")
-                spans.append(joined(own))
-                near.append([dict(zip(("entity", "term", "s", "e"), c, strict=True)) for c in contexts(t, own)] if own else [])
+                spans = base_spans(t or "")
+                base.append(joined(spans))
+                entities.append(sorted({f"{k}:{t[s:e].lower()}" for k, s, e in spans}))
+                kept.append(t if spans else None)
                 key.append(int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(spans), pa.array(near, pa.list_(place))], ["doc_id", "text_key", "base", "near"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(kept, pa.string())], ["doc_id", "text_key", "base", "entities", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, text_key long, base string, entities array<string>, text string")
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """text_key, term: the terms of each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            key, term = array("q"), []
+            for k, t in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                term += terms_of(t, base_spans(t))
+                key.extend([k] * (len(term) - len(key)))
+                if len(key) > WORDS_A_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(term, pa.string())], ["text_key", "term"])
+                    key, term = array("q"), []
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(term, pa.string())], ["text_key", "term"])
+
+    return texts.select("text_key", "text").mapInArrow(work, "text_key long, term string")
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, text_key long, base string, near array<struct<entity:string,term:string,s:long,e:long>>")
 
+def _places(texts: DataFrame) -> DataFrame:
+    """text_key, terms: the places in each text of the terms in its column marked, in order."""
+    place = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            out = []
+            for t, marked in zip(b.column("text").to_pylist(), b.column("marked").to_pylist(), strict=True):
+                own = terms_of(t, base_spans(t))
+                out.append([{"s": s, "e": e} for s, e in sorted(x for term in marked for x in own[term])])
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(out, place)], ["text_key", "terms"])
+
+    return texts.select("text_key", "text", "marked").mapInArrow(work, "text_key long, terms array<struct<s:long,e:long>>")
+
+
+def _term_counts(docs: DataFrame) -> DataFrame:
+    """term, n_t: the documents of the whole corpus that hold each term; a task adds up its own before it sends them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
 
-def _term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """term, n_t: the documents of the whole corpus that hold each term; a task sends a row a term at most."""
-    spark = docs.sparkSession
-    blocks = -(-n_terms // TERMS_A_PASS)
-    out = None
-    for i in range(blocks):
-        # a block holds TERMS_A_PASS terms on average, a bounded set for each worker
-        own = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()))
+        def held() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+            count.clear()
+            return out
 
-        def work(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            count: Counter[str] = Counter()
-            for b in batches:
-                for t in b.column("text"):
-                    if text := t.as_py():
-                        count.update(own.value.intersection(_TERM.findall(text.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+        for b in batches:
+            for t in b.column("text"):
+                if text := t.as_py():
+                    count.update({x.lower() for x in set(_TERM.findall(text))})
+                    if len(count) > TERMS_HELD:
+                        yield held()
+        yield held()
 
-        part = docs.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "term string, n_t long")
+    return docs.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, base, terms: base spans of every row, and the spans of terms that disclose its entities.
 
     With p from the documents of the corpus, a term t discloses an entity c if PMI(c, t) >= disclosure * -log p(c),
-    be c in many documents or in one. terms is an array of structs (s, e). Null texts count as
+    be c in many documents or in one; c and t go together where a document holds both, at any distance. All places
+    of t in all documents that hold c are marked. terms is an array of structs (s, e). Null texts count as
     empty; repeated rows have equal results, one each; an empty table gives no rows; other columns are ignored.
     """
     scanned = stash(_scan(docs))
-    near = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("c")).select("c.*")
-    pairs = stash(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")))
-    seen = pairs.select("term").distinct()
-    n_terms = seen.count()
     plain = scanned.select("doc_id", "text_key", "base")
-    if not n_terms:
+    # rows of one text hold the same; m of them
+    texts = stash(scanned.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("m"), F.first("entities").alias("entities"), F.first("text").alias("text")))
+    if texts.isEmpty():
         return plain.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
-    total = scanned.count()
-    entities = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    counted = pairs.join(entities, "entity").join(_term_counts(docs, seen, n_terms), "term")
-    pmi = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    telling = counted.filter(pmi >= F.lit(disclosure) * F.log(F.lit(float(total)) / F.col("n_c"))).select("entity", "term")
-    places = scanned.select("doc_id", "text_key", F.explode("near").alias("c")).select("doc_id", "text_key", "c.*")
-    # repeated rows fall together here, so each gets the same spans below
-    terms = places.join(telling, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
-    return plain.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left").drop("_d", "_k")
+    total = F.lit(float(scanned.count()))
+    named = texts.select("text_key", "m", F.explode("entities").alias("entity"))
+    # entities that stand in the same texts have the same terms: one stands for all
+    where = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"at{i}") for i in range(2)]
+    entities = named.groupBy("entity").agg(F.sum("m").alias("n_c"), F.count(F.lit(1)).alias("texts"), *where)
+    entities = entities.groupBy("n_c", "texts", "at0", "at1").agg(F.min("entity").alias("entity")).select("entity", "n_c")
+    # n_ct <= n_c, so no term of more documents than this can pass
+    most = F.pow(total, F.lit(1 - disclosure)) * F.pow(F.col("n_c"), F.lit(disclosure)) * (1 + 1e-9)
+    held = named.join(entities, "entity").withColumn("most", most)
+    words = _words(texts).join(_term_counts(docs), "term")
+    pairs = stash(held.join(words, "text_key").filter(F.col("n_t") <= F.col("most")).select("text_key", "m", "entity", "term", "n_c", "n_t"))
+    counted = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("m").alias("n_ct"))
+    pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    telling = counted.filter(pmi >= F.lit(disclosure) * F.log(total / F.col("n_c"))).select("entity", "term")
+    marked = pairs.join(telling, ["entity", "term"], "left_semi").select("text_key", "term").distinct()
+    terms = _places(texts.join(marked.groupBy("text_key").agg(F.collect_list("term").alias("marked")), "text_key"))
+    return plain.join(terms, "text_key", "left").select("doc_id", "text_key", "base", "terms")
 
 
 def _of_kind(kind: str):

@@ -1,5 +1,10 @@
 """Rows that an operator once left out of its job."""
 
+import math
+import random
+import re
+from collections import Counter
+
 from glyphward.llm import pii
 
 from .conftest import prose
@@ -26,3 +31,36 @@ def test_pii_entity_of_one_text(spark):
     out = spans(df)
     assert out[0] == ["Falcon"] and not any(out[i] for i in range(1, 60))
     assert rows(pii.sanitise(df).filter("doc_id = 0"))[0]["text"] == "alpha [term] lead [email] beta"
+
+
+def test_pii_terms_at_any_distance(spark):
+    """A term goes with an entity anywhere in a document, and is marked wherever that stands."""
+    gap = prose(7, 60)
+    docs = [(0, f"Falcon {gap} ann@corp.org {gap} Falcon")] + [(i, prose(i, 60)) for i in range(1, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert spans(df)[0] == ["Falcon", "Falcon"]
+    assert "Falcon" not in rows(pii.sanitise(df).filter("doc_id = 0"))[0]["text"]
+
+
+def test_pii_equals_plain_counts(spark):
+    """Against counts of whole documents, with copies, entities of many documents and of the same ones."""
+    draw = random.Random(11)
+    docs = []
+    for i in range(120):
+        words = ["".join("abcdefghij"[int(x)] for x in f"{int(draw.expovariate(0.005)):05}") for _ in range(draw.randrange(5, 60))]
+        for _ in range(draw.choice([0, 0, 1, 3])):
+            words.insert(draw.randrange(len(words)), f"user{int(draw.expovariate(0.1))}@corp.org")
+        docs += [(i, " ".join(words))] * draw.choice([1, 1, 1, 2])
+    docs.append((None, None))
+    entities = [set(re.findall(r"user\d+@corp.org", t or "")) for _, t in docs]
+    terms = [set(re.findall(r"[a-j]{5}", re.sub(r"user\d+@corp.org", "", t or ""))) for _, t in docs]
+    n_c, n_t = (Counter(x for own in by for x in own) for by in (entities, terms))
+    n_ct = Counter((c, t) for cs, ts in zip(entities, terms, strict=True) for c in cs for t in ts)
+    n = len(docs)
+    telling = {(c, t) for (c, t), k in n_ct.items() if math.log(n * k / (n_c[c] * n_t[t])) >= 0.8 * math.log(n / n_c[c])}
+    want = {}
+    for (i, text), cs in zip(docs, entities, strict=True):
+        want[i] = [m[0] for m in re.finditer(r"\b[a-j]{5}\b", text or "") if any((c, m[0]) in telling for c in cs)]
+    assert any(want.values()) and any(n_c[c] > 1 for c, _ in telling)
+    out = spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {i: x for i, x in out.items() if i is not None} == {i: x for i, x in want.items() if i is not None}
