@@ -146,6 +146,18 @@ def q_spoof_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def q_confusable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: how often each word of each whole text is confusable with ASCII; others give no row."""
+    words = dirty(spark, sf_dir).select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return words.filter(confusable_with_ascii(F.col("word"))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_spoof_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: words of whole texts that differ but have one skeleton."""
+    words = dirty(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def q_table_scan(spark: SparkSession, sf_dir: str, table: str = "pages", keys: tuple = ("page_id",), text: str = "html") -> DataFrame:
     out = scan(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, text), text)
     return out.select(*keys, "dangerous", F.size(F.filter("pii_findings", lambda x: x["detector"] == "email")).cast("long").alias("n_email"))
@@ -196,6 +208,7 @@ QUERIES = {
     "contains_bidi": _of(contains_bidi),
     "unbalanced_bidi": _of(unbalanced_bidi),
     "confusable_with_ascii": _of(lambda t: confusable_with_ascii(F.substring_index(t, " ", 1))),
+    "confusable_words": q_confusable_words,
     "email_findings": partial(q_spans, where="detector = 'email'"),
     "phone_findings": partial(q_spans, where="detector = 'phone'"),
     "ipv4_findings": partial(q_spans, where="detector = 'ipv4'"),
@@ -214,6 +227,7 @@ QUERIES = {
     "pii_spans": q_pii_long,
     "scan_verdict": q_verdict,
     "spoof_groups": q_spoof_pairs,
+    "spoof_words": q_spoof_words,
     "finding_rollup": q_rollup,
     "pages_scan": q_table_scan,
     "conversations_scan": partial(q_table_scan, table="conversations", keys=("conv_id", "turn"), text="text"),
@@ -235,6 +249,7 @@ ORACLE_SQL = {
     "contains_bidi": _result("doc_id % 20 IN (0, 1, 18)"),
     "unbalanced_bidi": _result("doc_id % 20 IN (0, 18)"),
     "confusable_with_ascii": _result("doc_id % 20 IN (7, 8, 9, 10)"),
+    "confusable_words": f"{_DIRTY}, w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT doc_id, t AS word, {_swaps()} AS skeleton FROM w WHERE NOT regexp_full_match(t, '[\\x00-\\x7F]*')) SELECT doc_id, word, count(*) AS n FROM s WHERE skeleton <> word AND regexp_full_match(skeleton, '[\\x00-\\x7F]*') GROUP BY 1, 2",
     "email_findings": _unnested(_EMAIL, "[redacted-email]", but="kys@example.com"),
     "phone_findings": _unnested(_PHONE, "[redacted-phone]", 1),
     "ipv4_findings": _unnested(_IPV4, "[redacted-ip]"),
@@ -249,6 +264,7 @@ ORACLE_SQL = {
     "CAST(0 AS BIGINT) AS rule_index, CAST(1 + (doc_id % 20 = 18)::INT AS BIGINT) AS start_line, CASE WHEN doc_id % 20 = 18 THEN \"offset\" - 5 ELSE \"offset\" + 1 END AS start_column, CASE WHEN doc_id % 20 = 18 THEN \"offset\" - 4 ELSE \"offset\" + 2 END AS end_column, \"offset\" AS char_offset FROM hits",
     "scan_verdict": _HITS + "SELECT doc_id, coalesce(bool_or(category <> 'homoglyph'), false) AS dangerous, count(category) AS n_unicode FROM dirty LEFT JOIN hits USING (doc_id) GROUP BY doc_id",
     "spoof_groups": f"{_DIRTY}, w AS (SELECT DISTINCT string_split(t, ' ')[1] AS t FROM dirty), s AS (SELECT {_swaps()} AS skeleton FROM w) SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1",
+    "spoof_words": f"{_DIRTY}, w AS (SELECT DISTINCT unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT {_swaps()} AS skeleton FROM w) SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1",
     "finding_rollup": _HITS + "SELECT category, codepoint, count(*) AS n FROM hits GROUP BY ROLLUP (category, codepoint)",
     "pages_scan": f"SELECT page_id, false AS dangerous, len({_all(_EMAIL, text='html')}) AS n_email FROM pages",
     "conversations_scan": f"SELECT conv_id, turn, false AS dangerous, len({_all(_EMAIL, text='text')}) AS n_email FROM conversations",
