@@ -96,6 +96,8 @@ def _arrays(blob: bytes) -> dict[str, np.ndarray]:
 def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row where the SQL condition is_query holds.
 
+    Query rows that share a vec_id are separate queries, each with its own k rows.
+
     Components become floor(scale * x). Vectors that are null or empty, or hold null or non-finite components, take
     no part, nor do null vec_ids; vectors are compared with those of their own length. Rows that share a vec_id are
     separate candidates, none of them for a query of that id. Shards (SHARD rows on average) and blocks of queries
@@ -118,7 +120,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, points = whole(pdf)
-        return pd.DataFrame({"dim": [pdf["dim"][0]], "block": [pdf["block"][0]], "asks": [_blob(ids=ids, points=points, floor=np.full(len(ids), -np.inf))]})
+        return pd.DataFrame({"dim": [pdf["dim"][0]], "block": [pdf["block"][0]], "asks": [_blob(ids=ids, points=points, row=np.arange(len(ids)), floor=np.full(len(ids), -np.inf))]})
 
     trees = stash(
         rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary")
@@ -137,14 +139,15 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for tree, blob in zip(pdf["tree"], pdf["asks"], strict=True):
+            for dim, tree, blob in zip(pdf["dim"], pdf["tree"], pdf["asks"], strict=True):
                 a = _arrays(blob)
                 score, ids = search(_arrays(tree), a["ids"], a["points"], a["floor"], k)
                 hit = np.isfinite(score)
-                yield pd.DataFrame({"query_id": np.repeat(a["ids"], hit.sum(axis=1)), "vec_id": ids[hit], "score": score[hit].astype(np.int64)})
+                yield pd.DataFrame({"query_id": np.repeat(a["ids"], hit.sum(axis=1)), "dim": dim, "row": np.repeat(a["row"], hit.sum(axis=1)), "vec_id": ids[hit], "score": score[hit].astype(np.int64)})
 
     seeded = stash(asks.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(trees, ["dim", "shard"], "left").mapInPandas(seed, "dim int, block int, asks binary"))
     pairs = seeded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
-    found = pairs.mapInPandas(find, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInPandas(find, "query_id long, dim int, row long, vec_id long, score long")
+    # a query's id and length give its block, and row its place there
+    rank = F.row_number().over(Window.partitionBy("query_id", "dim", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
-from glyphward.llm import pii
+import numpy as np
+
+from glyphward.llm import pii, topk
 
 from .conftest import prose
 
@@ -64,3 +66,19 @@ def test_pii_equals_plain_counts(spark):
     assert any(want.values()) and any(n_c[c] > 1 for c, _ in telling)
     out = spans(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {i: x for i, x in out.items() if i is not None} == {i: x for i, x in want.items() if i is not None}
+
+
+def test_top_k_of_repeated_queries(spark):
+    """Each row of a query has its own k rows, whether its copies have the same vector, another or one of other length."""
+    draw = np.random.default_rng(12)
+    data = [(i, draw.normal(size=4).tolist()) for i in range(1, 200)] + [(200 + i, draw.normal(size=3).tolist()) for i in range(1, 50)]
+    asks = [(50, data[49][1])] * 2 + [(0, draw.normal(size=4).tolist())] * 3 + [(0, draw.normal(size=4).tolist()), (0, draw.normal(size=3).tolist())]
+    data += asks
+    out = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), "vec_id % 50 = 0", 5)))
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in data]
+    want = Counter()
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), i) for i, x in whole if i != q and len(x) == len(v))[:5]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert out == want
