@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """A dictionary for each language: raw text of a bounded sample of its labelled rows (columns text, lang).
 
-    The sample has about sample_docs rows of a language, chosen by a hash of doc_id, and sample_chars of each.
+    The sample has about sample_docs rows of a language, chosen by a hash of doc_id, and sample_chars of each. All of
+    them go into its dictionary, cut evenly to that many bytes; how much other languages have does not matter.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     counts = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
@@ -38,14 +40,25 @@ def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMP
     sample = known.filter(draw <= share[F.col("lang")]).select("lang", F.substring("text", 1, sample_chars).alias("t")).distinct()
     top = sample.withColumn("r", F.row_number().over(_window())).filter(F.col("r") <= 4 * sample_docs).drop("r").collect()
     texts: dict[str, list[str]] = {}
-    for lang, t in sorted((r["lang"], r["t"]) for r in top):
+    for lang, _, t in sorted((r["lang"], hashlib.blake2b(r["t"].encode(), digest_size=8).digest(), r["t"]) for r in top):
         texts.setdefault(lang, []).append(t)
     if missing := [r["lang"] for r in counts if r["lang"] not in texts]:
         for r in known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.substring("text", 1, sample_chars), F.xxhash64("doc_id")).alias("t")).collect():
             texts[r["lang"]] = [r["t"]]
-    raw = {lang: "".join(map(plain, t)).encode() for lang, t in texts.items()}
-    size = max(8 << 10, min(dictionary, *(len(x) for x in raw.values()), dictionary))
-    return {lang: x[-size:] for lang, x in sorted(raw.items())}
+    return {lang: evenly([plain(x).encode() for x in t], dictionary) for lang, t in sorted(texts.items())}
+
+
+def evenly(parts: list[bytes], size: int) -> bytes:
+    """The parts joined, each cut to one length so that all have at most size bytes; short parts leave room for others."""
+    left, most = size, 0
+    for i, n in enumerate(sorted(map(len, parts))):
+        most = left // (len(parts) - i)
+        if n > most:
+            break
+        left -= n
+    else:
+        return b"".join(parts)
+    return b"".join(x[:most] for x in parts)
 
 
 def _window():

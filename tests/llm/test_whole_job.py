@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from glyphward.llm import pii, topk
+from glyphward.llm import langid, pii, topk
 
 from .conftest import prose
 
@@ -82,3 +82,18 @@ def test_top_k_of_repeated_queries(spark):
             best = sorted((-int(v @ x), i) for i, x in whole if i != q and len(x) == len(v))[:5]
             want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     assert out == want
+
+
+def test_language_dictionaries_draw_on_the_whole_sample(spark):
+    """Each text of the sample is in its language's dictionary, and a language of one short row shortens no other's."""
+    name = lambda i: "".join("abcdefghij"[int(x)] for x in f"{i:03}")
+    docs = [(i, f"{name(i)} " + prose(i, 500), "en") for i in range(100)] + [(1000, "tere tulemast", "et")]
+    d = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert d["et"] == b" tere tulemast " and 0.95 * langid.DICTIONARY < len(d["en"]) <= langid.DICTIONARY
+    assert all(f" {name(i)} ".encode() in d["en"] for i in range(100))
+
+
+def test_evenly():
+    assert langid.evenly([b"aaaa", b"b", b"cccccc"], 20) == b"aaaabcccccc"
+    assert langid.evenly([b"aaaa", b"b", b"cccccc"], 7) == b"aaabccc"
+    assert langid.evenly([], 7) == b""
