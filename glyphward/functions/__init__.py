@@ -1,4 +1,21 @@
 from .spans import apply_spans, detect, resolve
-from .unicode import clean_unicode, confusable_with_ascii, contains_bidi, is_bidi_control, is_confusable, skeleton, strip_bidi, unbalanced_bidi, unicode_findings
+from .sql import register
+from .unicode import (
+    bidi_name,
+    clean_unicode,
+    confusable_with_ascii,
+    contains_bidi,
+    find_bidi,
+    is_bidi_control,
+    is_confusable,
+    skeleton,
+    strip_bidi,
+    target,
+    unbalanced_bidi,
+    unicode_findings,
+)
 
-__all__ = ["apply_spans", "clean_unicode", "confusable_with_ascii", "contains_bidi", "detect", "is_bidi_control", "is_confusable", "resolve", "skeleton", "strip_bidi", "unbalanced_bidi", "unicode_findings"]
+__all__ = [
+    "apply_spans", "bidi_name", "clean_unicode", "confusable_with_ascii", "contains_bidi", "detect", "find_bidi", "is_bidi_control",
+    "is_confusable", "register", "resolve", "skeleton", "strip_bidi", "target", "unbalanced_bidi", "unicode_findings",
+]

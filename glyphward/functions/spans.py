@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import operator
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..tables import PROFANITY, SOFTENERS
+from .arrays import BLOCK, bind, call, none, running
 
 #: Word characters as in Python; the literal character beyond U+FFFF makes Java's look-behind step by code points.
 _W = "[\\p{L}\\p{N}_\U00020000]"
@@ -16,18 +20,23 @@ _EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 _SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 _OCTET = "(?:25[0-5]|2[0-4]\\p{Nd}|1?\\p{Nd}?\\p{Nd})"
 _RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
-#: Shapes of secrets and personal data, in the order of detection (fixed values): detector, pattern, category, severity, replacement, what a text must hold.
+#: Non-ASCII characters that match ASCII letters where case is ignored, and those letters.
+_CASED, _PLAIN = "\u017f\u212a\u0130\u0131", "skii"
+#: A match before any choice, with what the choice goes by first.
+_SPAN = "rank:int,less:int,start:int,seq:int,end:int,category:string,severity:string,matched:string,replacement:string,detector:string"
+#: Shapes of secrets and personal data, in the order of detection (fixed values): detector, pattern, category, severity,
+#: replacement, and the pattern of what a text must hold to be worth a search.
 SHAPES = (
     ("openai_key", f"{_EDGE}sk-[A-Za-z0-9]{{16,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "sk-"),
     ("anthropic_key", f"{_EDGE}sk-ant-[A-Za-z0-9_-]{{16,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "sk-ant-"),
     ("aws_access_key", f"{_EDGE}AKIA[0-9A-Z]{{16}}{_EDGE}", "secret", "critical", "[redacted-secret]", "AKIA"),
-    ("github_token", f"{_EDGE}gh[pousr]_[A-Za-z0-9]{{20,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "gh"),
-    ("slack_token", f"{_EDGE}xox[baprs]-[A-Za-z0-9-]{{10,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "xox"),
+    ("github_token", f"{_EDGE}gh[pousr]_[A-Za-z0-9]{{20,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "gh[pousr]_"),
+    ("slack_token", f"{_EDGE}xox[baprs]-[A-Za-z0-9-]{{10,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "xox[baprs]-"),
     ("generic_bearer", f"{_EDGE}[Bb]earer{_SPACE}+[A-Za-z0-9._-]{{20,}}{_EDGE}", "secret", "critical", "[redacted-secret]", "earer"),
     ("email", f"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{_EDGE}", "pii", "high", "[redacted-email]", "@"),
-    ("ssn", f"{_EDGE}\\p{{Nd}}{{3}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{4}}{_EDGE}", "pii", "critical", "[redacted-ssn]", "-"),
-    ("phone", f"(?<!{_W})(?:\\+?1(?:[-.]|{_SPACE})?)?\\(?\\p{{Nd}}{{3}}\\)?(?:[-.]|{_SPACE})?\\p{{Nd}}{{3}}(?:[-.]|{_SPACE})?\\p{{Nd}}{{4}}(?!{_W})", "pii", "medium", "[redacted-phone]", ""),
-    ("ipv4", f"{_EDGE}(?:{_OCTET}\\.){{3}}{_OCTET}{_EDGE}", "pii", "low", "[redacted-ip]", "."),
+    ("ssn", f"{_EDGE}\\p{{Nd}}{{3}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{4}}{_EDGE}", "pii", "critical", "[redacted-ssn]", "\\p{Nd}-\\p{Nd}"),
+    ("phone", f"(?<!{_W})(?:\\+?1(?:[-.]|{_SPACE})?)?\\(?\\p{{Nd}}{{3}}\\)?(?:[-.]|{_SPACE})?\\p{{Nd}}{{3}}(?:[-.]|{_SPACE})?\\p{{Nd}}{{4}}(?!{_W})", "pii", "medium", "[redacted-phone]", "\\p{Nd}{4}"),
+    ("ipv4", f"{_EDGE}(?:{_OCTET}\\.){{3}}{_OCTET}{_EDGE}", "pii", "low", "[redacted-ip]", "\\p{Nd}\\.\\p{Nd}"),
 )
 
 
@@ -49,79 +58,149 @@ class Lexicon:
 
     def merged_with(self, path: str) -> Lexicon:
         """This lexicon with a JSON file's entries put over it."""
-        import json
-
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         return Lexicon(self.profanity | data.get("profanity", {}), self.softeners | data.get("softeners", {}), list(dict.fromkeys([*self.slurs, *data.get("slurs", [])])))
 
 
+def _first_letters(words: list[str]) -> str:
+    """A look-ahead for the first characters of the words, where case is ignored; it spares a look-behind at most places."""
+    first = {c for w in words for c in (w[0], w[0].lower(), w[0].upper()) if len(c) == 1}
+    first |= {odd for odd, c in zip(_CASED, _PLAIN, strict=True) if c in first}
+    return f"(?=[{''.join(re.escape(c) for c in sorted(first))}])" if all(c.isascii() or c in _CASED for c in first) else ""
+
+
 def _whole_words(words) -> str | None:
-    own = sorted((re.escape(w) for w in words if w), key=len, reverse=True)
-    return f"(?iu)(?<!{_W})(?:{'|'.join(own)})(?!{_W})" if own else None
+    """A pattern of the words, longest first, with no word character on either side; None without words."""
+    own = sorted((w for w in words if w), key=len, reverse=True)
+    return f"{_first_letters(own)}(?iu)(?<!{_W})(?:{'|'.join(map(re.escape, own))})(?!{_W})" if own else None
 
 
-def _spans(text: Column, pattern: str, seq: int, category: str, severity: str, replacement, detector: str, gate: Column) -> Column:
-    """Matches with their offsets: what stands between matches, and the matches, have lengths that add up."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _mentions(text: Column, words) -> Column:
+    """Whether the text may hold one of the words, in any case: a quick look without patterns."""
+    own = sorted({w.translate(str.maketrans(_CASED, _PLAIN)).lower() for w in words if w})
+    if not all(w.isascii() for w in own):
+        return F.lit(True)
+    kept = [w for w in own if not any(x != w and x in w for x in own)]
+    return bind(F.lower(F.translate(text, _CASED, _PLAIN)), lambda t: reduce(operator.or_, [t.contains(w) for w in kept]))
 
-    def whole(m: Column, i: Column) -> Column:
-        length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.char_length(y))
-        start = length(gaps, i + 1) + length(hits, i)
-        repl = replacement(m) if callable(replacement) else F.lit(replacement)
-        end = start + F.char_length(m)
-        return F.struct(
-            F.lit(-_RANK[severity]).alias("rank"), (start - end).alias("less"), start.alias("start"), F.lit(seq).alias("seq"), end.alias("end"),
-            F.lit(category).alias("category"), F.lit(severity).alias("severity"), m.alias("matched"), repl.alias("replacement"), F.lit(detector).alias("detector"),
-        )
 
-    return F.transform(F.when(gate, hits).otherwise(F.array().cast("array<string>")), whole)
+def _cuts(text: Column, pattern: str, detector: int, gate: Column) -> Column:
+    """array<struct<detector, gap, m>>: the length of what stands before each match, and the match; last, what is behind them."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    each = call("zip_with", gaps, hits, f"(g, h) -> named_struct('detector', {detector}, 'gap', char_length(g), 'm', h)")
+    return F.when(gate, each).otherwise(none("struct<detector:int,gap:int,m:string>"))
 
 
-def raw_spans(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    """All detectors' matches in the order of detection; they may overlap."""
-    parts = [_spans(text, p, i, cat, sev, repl, name, text.contains(need) if need else text.rlike("\\p{Nd}{4}")) for i, (name, p, cat, sev, repl, need) in enumerate(SHAPES)]
+def _detectors(text: Column, lexicon: Lexicon) -> list[tuple[str, str, str, str, str, Column]]:
+    """name, pattern, category, severity, replacement (for words that have one each: what others get), and a quick look first."""
+    literal = re.compile(r"[A-Za-z@-]+")
+    out = [(name, p, cat, sev, repl, text.contains(need) if literal.fullmatch(need) else text.rlike(need)) for name, p, cat, sev, repl, need in SHAPES]
     if p := _whole_words(lexicon.profanity):
-        words = F.create_map(*[F.lit(x) for kv in lexicon.profanity.items() for x in kv])
-        parts.append(_spans(text, p, 50, "profanity", "medium", lambda m: F.coalesce(F.try_element_at(words, F.lower(m)), F.lit("[removed]")), "profanity", text.rlike(p)))
+        out.append(("profanity", p, "profanity", "medium", "[removed]", _mentions(text, lexicon.profanity) & text.rlike(p)))
     if lexicon.softeners:
-        some = text.rlike("(?iu)" + "|".join(map(re.escape, lexicon.softeners)))
-        for i, (phrase, repl) in enumerate(lexicon.softeners.items()):
-            p = f"(?iu)(?<!{_W}){re.escape(phrase)}(?!{_W})"
-            parts.append(_spans(text, p, 100 + i, "hostility", "critical" if repl == "[removed]" else "high", repl, "softener", some & text.rlike(p)))
+        some = _mentions(text, lexicon.softeners)
+        for phrase, repl in lexicon.softeners.items():
+            p = f"{_first_letters([phrase])}(?iu)(?<!{_W}){re.escape(phrase)}(?!{_W})"
+            out.append(("softener", p, "hostility", "critical" if repl == "[removed]" else "high", repl, some & text.rlike(p)))
     if p := _whole_words(lexicon.slurs):
-        parts.append(_spans(text, p, 10_000, "slur", "critical", "[redacted-slur]", "slur", text.rlike(p)))
-    return F.flatten(F.array(*parts))
+        out.append(("slur", p, "slur", "critical", "[redacted-slur]", _mentions(text, lexicon.slurs) & text.rlike(p)))
+    return out
+
+
+def raw_spans(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    """All detectors' matches in the order of detection; they may overlap.
+
+    Lengths of matches and of what stands between them add up to offsets, for all detectors in one walk.
+    """
+    detectors = _detectors(text, lexicon)
+    cuts = F.flatten(F.array(*[_cuts(text, p, i, gate) for i, (_, p, _, _, _, gate) in enumerate(detectors)]))
+    at = "if(a.state.detector = x.detector, a.state.at, 0) + x.gap"
+    after = f"named_struct('detector', x.detector, 'at', {at} + coalesce(char_length(x.m), 0))"
+    element = f"named_struct('detector', x.detector, 'start', {at}, 'm', x.m)"
+    placed = running(cuts, "named_struct('detector', -1, 'at', 0)", after, element, "struct<detector:int,start:int,m:string>")
+    rows = [{"rank": -_RANK[sev], "category": cat, "severity": sev, "replacement": repl, "detector": name} for name, _, cat, sev, repl, _ in detectors]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,category:string,severity:string,replacement:string,detector:string>>")
+    words = F.from_json(F.lit(json.dumps(lexicon.profanity)), "map<string,string>")
+
+    def whole(x: Column) -> Column:
+        own = F.element_at(table, x["detector"] + 1)
+        named = F.when(own["detector"] == "profanity", F.try_element_at(words, F.lower(x["m"])))
+        return bind(F.struct(x.alias("x"), own.alias("own"), named.alias("named"), (x["start"] + F.char_length(x["m"])).alias("end")), _span)
+
+    return F.transform(call("filter", placed, "x -> x.m is not null"), whole)
+
+
+def _span(v: Column) -> Column:
+    fields = "named_struct('rank', y.own.rank, 'less', y.x.start - y.end, 'start', y.x.start, 'seq', y.x.detector, 'end', y.end, 'category', y.own.category, "
+    fields += "'severity', y.own.severity, 'matched', y.x.m, 'replacement', coalesce(y.named, y.own.replacement), 'detector', y.own.detector)"
+    return F.element_at(call("transform", F.array(v), f"y -> {fields}"), 1)
 
 
 def resolve(spans: Column) -> Column:
-    """Greedy choice of disjoint spans: by severity, length, start, then order of detection; sorted by start."""
-    order = F.array_sort(spans)
-    clear = lambda acc, x: ~F.exists(acc, lambda c: (x["start"] < c["end"]) & (x["end"] > c["start"]))
-    taken = F.aggregate(order, F.slice(order, 1, 0), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    """Greedy choice of disjoint spans: by severity, length, start, then order of detection; sorted by start.
+
+    Spans that overlap, directly or through others, form a group; a choice never depends on another group's.
+    """
+    by_start = F.array_sort(call("transform", spans, "x -> named_struct('from', x.start, 'span', x)"))
+    fresh = "x.span.start >= a.state.reach"
+    group = f"if({fresh}, x.span.start, a.state.grp)"
+    reach = f"if({fresh}, x.span.end, greatest(a.state.reach, x.span.end))"
+    first = "named_struct('reach', -1, 'grp', -1)"
+    grouped = running(by_start, first, f"named_struct('reach', {reach}, 'grp', {group})", f"named_struct('grp', {group}, 'span', x.span)", f"struct<grp:int,span:struct<{_SPAN}>>")
+    # spans of a group come in the order of choice; state: what the group has taken so far
+    nothing = "cast(array() as array<struct<start:int,end:int>>)"
+    taken = f"if(a.state.grp = x.grp, a.state.taken, {nothing})"
+    clear = f"not exists({taken}, c -> x.span.start < c.end and x.span.end > c.start)"
+    more = f"if({clear}, concat({taken}, array(named_struct('start', x.span.start, 'end', x.span.end))), {taken})"
+    chosen = running(F.array_sort(grouped), f"named_struct('grp', -1, 'taken', {nothing})", f"named_struct('grp', x.grp, 'taken', {more})", f"named_struct('clear', {clear}, 'span', x.span)", f"struct<clear:boolean,span:struct<{_SPAN}>>")
     names = ("start", "end", "category", "severity", "matched", "replacement", "detector")
-    return F.array_sort(F.transform(taken, lambda x: F.struct(*[x[n].alias(n) for n in names])))
+    fields = ", ".join(f"'{n}', x.span.{n}" for n in names)
+    return F.array_sort(call("transform", call("filter", chosen, "x -> x.clear"), f"x -> named_struct({fields})"))
+
+
+#: A chosen span, as detect() gives it.
+FOUND = "struct<start:int,end:int,category:string,severity:string,matched:string,replacement:string,detector:string>"
 
 
 def detect(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    """array<struct<start, end, category, severity, matched, replacement, detector>>; empty for null texts."""
-    kind = "array<struct<start:int,end:int,category:string,severity:string,matched:string,replacement:string,detector:string>>"
-    return F.coalesce(resolve(raw_spans(text, lexicon)), F.array().cast(kind)).cast(kind)
+    """array<FOUND> of the disjoint spans, by start; empty for null texts."""
+    return F.coalesce(resolve(raw_spans(text, lexicon)), none(FOUND)).cast(f"array<{FOUND}>")
+
+
+def _lifted(x: Column) -> Column:
+    """The replacement, with its match's capital where it softens a word."""
+    r, m = x["replacement"], x["matched"]
+    a, b = F.left(m, F.lit(1)), F.left(r, F.lit(1))
+    lift = ~(r.startswith("[") & r.endswith("]")) & (F.upper(a) == a) & (F.lower(a) != a) & (F.lower(b) == b) & (F.upper(b) != b)
+    return F.when(lift, F.concat(F.upper(b), F.substr(r, F.lit(2)))).otherwise(r)
 
 
 def apply_spans(text: Column, spans: Column, keep_case: bool = False) -> Column:
-    """The text with each span replaced; keep_case gives a softened word its match's capital."""
-
-    def put(x: Column) -> Column:
-        r, m = x["replacement"], x["matched"]
-        if not keep_case:
-            return r
-        redacted = r.startswith("[") & r.endswith("]")
-        a, b = F.left(m, F.lit(1)), F.left(r, F.lit(1))
-        lift = ~redacted & (F.upper(a) == a) & (F.lower(a) != a) & (F.lower(b) == b) & (F.upper(b) != b)
-        return F.when(lift, F.concat(F.upper(b), F.substr(r, F.lit(2)))).otherwise(r)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"]), put(x)).alias("out"))).otherwise(a)
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with each span replaced, but for spans that begin inside an earlier one.
+
+    keep_case gives a softened word its match's capital. The text is cut once for a block of spans and each section once
+    for a span, so long texts with many spans are not read from the start for each of them.
+    """
+    apart = running(spans, "0", "if(x.start >= a.state, x.end, a.state)", "named_struct('keep', x.start >= a.state, 'span', x)", f"struct<keep:boolean,span:{FOUND}>")
+    kept = call("transform", call("filter", apart, "x -> x.keep"), "x -> x.span")
+
+    def section(xs: Column, b: Column) -> Column:
+        first, after = b * BLOCK, (b + 1) * BLOCK
+        lo = F.when(b == 0, F.lit(0)).otherwise(xs[first]["start"])
+        hi = F.when(after < F.size(xs), xs[after]["start"]).otherwise(F.char_length(text))
+        whole = F.struct(lo.alias("lo"), F.substr(text, lo + 1, hi - lo).alias("cut"), F.slice(xs, first + 1, F.lit(BLOCK)).alias("own"))
+
+        def put(s: Column) -> Column:
+            end = lambda i: F.when(i == 0, s["lo"]).otherwise(s["own"][i - 1]["end"])
+            piece = lambda x, i: F.concat(F.substr(s["cut"], end(i) - s["lo"] + 1, x["start"] - end(i)), _lifted(x) if keep_case else x["replacement"])
+            rest = F.substr(s["cut"], end(F.size(s["own"])) - s["lo"] + 1)
+            return F.concat(F.array_join(F.transform(s["own"], piece), ""), rest)
+
+        return bind(whole, put)
+
+    def whole(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        return F.array_join(F.transform(blocks, lambda b: section(xs, b)), "")
+
+    return F.when(F.size(spans) > 0, bind(kept, whole)).otherwise(text)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..tables import BIDI, UnicodeScanOptions, confusables, flagged, folds
+from .arrays import bind, call, none, running
 
 FINDING = "struct<char:string,codepoint:string,name:string,category:string,unicode_category:string,severity:string,action:string,replacement:string,detail:string>"
 _BIDI = "".join(map(chr, BIDI))
@@ -36,19 +39,30 @@ def _swap(text: Column, table: dict[str, str]) -> Column:
 
 
 def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
-    """array<struct<offset, char, ...>> in offset order (code points from 0); empty for null texts."""
+    """array<struct<offset, char, ...>> in offset order (code points from 0); empty for null texts.
+
+    Only runs of characters other than visible ASCII, blanks and line ends are looked at one by one.
+    """
     table = flagged(options)
-    chars, values = "".join(table), _lookup(table, FINDING)
-    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("offset"), c.alias("c"))), lambda x: _holds(x["c"], chars))
+    chars = "".join(table)
+    values = F.from_json(F.lit(json.dumps(list(table.values()))), f"array<{FINDING}>")
+    usual = "[\\t\\n\\r -~]+" if not any(c in table for c in "\t\n\r") else "[ -~]+"
+    runs = call("zip_with", F.split(text, usual, -1), F.regexp_extract_all(text, F.lit(usual), F.lit(0)), "(r, u) -> named_struct('run', r, 'behind', coalesce(char_length(u), 0))")
+    placed = running(runs, "0", "a.state + char_length(x.run) + x.behind", "named_struct('at', a.state, 'run', x.run)", "struct<at:int,run:string>")
+
+    def inside(x: Column) -> Column:
+        # translate() leaves nothing of a flagged character; its place in chars is that of its finding
+        each = F.transform(F.split(x["run"], ""), lambda c, i: F.struct((x["at"] + i).alias("offset"), c.alias("c")))
+        return F.filter(each, lambda y: _holds(y["c"], chars))
+
+    found = F.flatten(F.transform(F.filter(placed, lambda x: _holds(x["run"], chars)), inside))
 
     def whole(x: Column) -> Column:
-        f = F.element_at(values, x["c"])
         names = ("char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")
-        return F.struct(x["offset"].alias("offset"), *[f[n].alias(n) for n in names])
+        return bind(F.element_at(values, F.instr(F.lit(chars), x["c"])), lambda f: F.struct(x["offset"].alias("offset"), *[f[n].alias(n) for n in names]))
 
-    found = F.transform(at, whole)
-    kind = "array<struct<offset:int," + FINDING.removeprefix("struct<") + ">"
-    return F.coalesce(F.when(_holds(text, chars), found), F.array().cast(kind))
+    kind = "struct<offset:int," + FINDING.removeprefix("struct<")
+    return F.coalesce(F.when(_holds(text, chars), F.transform(found, whole)), none(kind))
 
 
 def clean_unicode(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
@@ -73,6 +87,30 @@ def is_bidi_control(ch: Column) -> Column:
     return (F.char_length(ch) == 1) & _holds(ch, _BIDI)
 
 
+def find_bidi(text: Column) -> Column:
+    """array<struct<offset, char>> of all bidirectional controls, by offset; empty for null texts."""
+    only = UnicodeScanOptions(zero_width=False, invisible=False, control=False, homoglyph=False)
+    return F.transform(unicode_findings(text, only), lambda x: F.struct(x["offset"].alias("offset"), x["char"].alias("char")))
+
+
+def bidi_name(ch: Column) -> Column:
+    """The name of a character: of the bidirectional controls, else of Unicode, else its code point as U+XXXX.
+
+    Names of all other characters are not in the plan, so a pandas function looks them up.
+    """
+
+    def named(chars: pd.Series) -> pd.Series:
+        return chars.map(lambda c: unicodedata.name(c, f"U+{ord(c):04X}"), na_action="ignore")
+
+    own = _lookup({chr(cp): name for cp, name in BIDI.items()}, "string")
+    return F.coalesce(F.try_element_at(own, ch), F.pandas_udf(named, "string")(ch))
+
+
+def target(ch: Column) -> Column:
+    """The ASCII form that the fixed table gives a character; null for others."""
+    return F.try_element_at(_lookup(confusables(), "string"), ch)
+
+
 def is_confusable(ch: Column) -> Column:
     """Whether the fixed table has the character; compatibility forms alone do not count."""
     return (F.char_length(ch) == 1) & _holds(ch, "".join(confusables()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, call, running
 from ..functions.spans import Lexicon, apply_spans, detect
 from ..functions.unicode import clean_unicode, unicode_findings
 from ..tables import LEVEL, RULES, ScanOptions
@@ -39,55 +40,77 @@ def findings(df: DataFrame, key: str = "doc_id", column: str = "unicode_findings
     return df.select(key, F.inline(column))
 
 
-def to_json(column: str = "source") -> Column:
-    """A scanned row as JSON; what PII matched is left out."""
+def to_json() -> Column:
+    """A scanned row as JSON; neither the source nor what PII matched is in it."""
     pii = F.transform("pii_findings", lambda x: F.struct(*[x[n].alias(n) for n in ("start", "end", "category", "severity", "detector", "replacement")]))
-    return F.to_json(F.struct(F.col("source").alias("source"), F.col("clean"), F.col("dangerous"), F.col("counts"), F.col("unicode_findings"), pii.alias("pii_findings")))
+    unicode = F.transform("unicode_findings", lambda x: F.struct(*[x[n].alias(n) for n in ("offset", "char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")]))
+    return F.to_json(F.struct(F.col("dangerous"), F.col("counts"), F.col("clean"), unicode.alias("unicode_findings"), pii.alias("pii_findings")))
+
+
+def _categories(findings: Column) -> Column:
+    """The categories in the order of their first findings."""
+    return F.array_distinct(F.transform(findings, lambda x: x["category"]))
+
+
+def regions(source: Column, findings: Column) -> Column:
+    """array<struct<line, column>> from 1 of the findings (by offset): line ends and findings are walked through once."""
+    ends = running(F.split(source, "\n"), "0", "a.state + char_length(x) + 1", "named_struct('at', a.state + char_length(x), 'here', false)", "struct<at:int,here:boolean>")
+    events = F.array_sort(F.concat(ends, call("transform", findings, "x -> named_struct('at', x.offset, 'here', true)")))
+    after = "if(x.here, a.state, named_struct('line', a.state.line + 1, 'start', x.at + 1))"
+    place = "named_struct('line', a.state.line, 'column', x.at - a.state.start + 1, 'here', x.here)"
+    walked = running(events, "named_struct('line', 1, 'start', 0)", after, place, "struct<line:int,column:int,here:boolean>")
+    return call("transform", call("filter", walked, "x -> x.here"), "x -> named_struct('line', x.line, 'column', x.column)")
+
+
+def _by_key(table: dict, key: Column, value=lambda v: v) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, value(v))])[key]
+
+
+def _message(x: Column) -> Column:
+    return F.format_string("%s (%s, category %s) at offset %d: %s. Action: %s.", x["name"], x["codepoint"], x["unicode_category"], x["offset"], x["detail"], x["action"])
 
 
 def sarif_results(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a Unicode finding: rule, index of the rule by first appearance, level, line and column from 1."""
-    rows = scanned.select(key, "source", F.array_distinct(F.transform("unicode_findings", lambda x: x["category"])).alias("_order"), F.inline("unicode_findings"))
-    before = F.substr("source", F.lit(1), F.col("offset"))
-    pick = lambda i: F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[i])])[F.col("category")]
-    level = F.create_map(*[F.lit(x) for kv in LEVEL.items() for x in kv])[F.col("severity")]
-    line = F.char_length(before) - F.char_length(F.translate(before, "\n", "")) + 1
-    column = F.char_length(F.substring_index(before, "\n", -1)) + 1
-    return rows.select(
-        key, F.concat(F.lit(f"{TOOL}/"), pick(0)).alias("rule_id"), (F.array_position("_order", F.col("category")) - 1).cast("int").alias("rule_index"), level.alias("level"),
-        line.alias("start_line"), column.alias("start_column"), (column + 1).alias("end_column"), F.col("offset").alias("char_offset"), F.lit(1).alias("char_length"),
-        F.format_string("%s (%s, category %s) at offset %d: %s. Action: %s.", "name", "codepoint", "unicode_category", "offset", "detail", "action").alias("message"),
-        "category", "codepoint", "unicode_category", "severity", "action",
-    )
+
+    def result(order: Column, x: Column, r: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit(f"{TOOL}/"), _by_key(RULES, x["category"], lambda v: v[0])).alias("rule_id"), (F.array_position(order, x["category"]) - 1).cast("int").alias("rule_index"),
+            _by_key(LEVEL, x["severity"]).alias("level"), r["line"].alias("start_line"), r["column"].alias("start_column"), (r["column"] + 1).alias("end_column"),
+            x["offset"].alias("char_offset"), F.lit(1).alias("char_length"), _message(x).alias("message"), *[x[n].alias(n) for n in ("category", "codepoint", "unicode_category", "severity", "action")],
+        )
+
+    found = F.col("unicode_findings")
+    rows = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col("source"), found), lambda x, r: result(order, x, r)))
+    return scanned.select(key, F.inline(rows))
 
 
 def sarif(scanned: DataFrame, key: str = "doc_id", uri: Column | None = None) -> DataFrame:
     """key and a SARIF 2.1.0 log a document, as JSON; PII is not in it."""
-    uri = F.lit("input") if uri is None else uri
-    rows = scanned.withColumn("_uri", uri)
-    order = F.array_distinct(F.transform("unicode_findings", lambda x: x["category"]))
-    table = lambda i: F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[i])])
-    level = F.create_map(*[F.lit(x) for kv in LEVEL.items() for x in kv])
-
-    def result(x: Column) -> Column:
-        before = F.substr("source", F.lit(1), x["offset"])
-        column = F.char_length(F.substring_index(before, "\n", -1)) + 1
-        region = F.struct(
-            (F.char_length(before) - F.char_length(F.translate(before, "\n", "")) + 1).alias("startLine"), column.alias("startColumn"), (column + 1).alias("endColumn"), x["offset"].alias("charOffset"), F.lit(1).alias("charLength")
-        )
-        place = F.struct(F.struct(F.struct(F.col("_uri").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-        said = F.format_string("%s (%s, category %s) at offset %d: %s. Action: %s.", x["name"], x["codepoint"], x["unicode_category"], x["offset"], x["detail"], x["action"])
+    place = F.struct((F.lit("input") if uri is None else uri).alias("uri"))
+
+    def result(order: Column, x: Column, r: Column) -> Column:
+        region = F.struct(r["line"].alias("startLine"), r["column"].alias("startColumn"), (r["column"] + 1).alias("endColumn"), x["offset"].alias("charOffset"), F.lit(1).alias("charLength"))
+        spot = F.struct(F.struct(place.alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
         props = F.struct(x["codepoint"].alias("codepoint"), x["unicode_category"].alias("unicodeCategory"), x["severity"].alias("severity"), x["action"].alias("action"))
         return F.struct(
-            F.concat(F.lit(f"{TOOL}/"), table(0)[x["category"]]).alias("ruleId"), (F.array_position(order, x["category"]) - 1).cast("int").alias("ruleIndex"), level[x["severity"]].alias("level"),
-            F.struct(said.alias("text")).alias("message"), F.array(place).alias("locations"), props.alias("properties"),
+            F.concat(F.lit(f"{TOOL}/"), _by_key(RULES, x["category"], lambda v: v[0])).alias("ruleId"), (F.array_position(order, x["category"]) - 1).cast("int").alias("ruleIndex"),
+            _by_key(LEVEL, x["severity"]).alias("level"), F.struct(_message(x).alias("text")).alias("message"), F.array(spot).alias("locations"), props.alias("properties"),
+        )
+
+    def rule(c: Column) -> Column:
+        name, short, more, level = (_by_key(RULES, c, lambda v, i=i: v[i]) for i in range(1, 5))
+        return F.struct(
+            F.concat(F.lit(f"{TOOL}/"), _by_key(RULES, c, lambda v: v[0])).alias("id"), name.alias("name"), F.struct(short.alias("text")).alias("shortDescription"),
+            more.alias("helpUri"), F.struct(level.alias("level")).alias("defaultConfiguration"),
         )
 
-    rule = lambda c: F.struct(F.concat(F.lit(f"{TOOL}/"), table(0)[c]).alias("id"), table(1)[c].alias("name"), F.struct(table(2)[c].alias("text")).alias("shortDescription"), table(3)[c].alias("helpUri"), F.struct(table(4)[c].alias("level")).alias("defaultConfiguration"))
-    driver = F.struct(F.lit(TOOL).alias("name"), F.transform(order, rule).alias("rules"))
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.transform("unicode_findings", result).alias("results"))
+    found = F.col("unicode_findings")
+    driver = F.struct(F.lit(TOOL).alias("name"), F.transform(_categories(found), rule).alias("rules"))
+    results = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col("source"), found), lambda x, r: result(order, x, r)))
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), results.alias("results"))
     log = F.struct(F.lit("https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return rows.select(key, F.to_json(log).alias("sarif"))
+    return scanned.select(key, F.to_json(log).alias("sarif"))
 
 
 def _preview(text: Column) -> Column:
