@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_unicode, confusable_with_ascii, contains_bidi, skeleton, strip_bidi, unbalanced_bidi, unicode_findings
 from ..functions.spans import Lexicon, raw_spans, resolve
-from ..operators import clean, findings, render_scan, sanitize, sarif, sarif_results, scan, to_json
-from ..tables import UnicodeScanOptions
+from ..operators import clean, sanitize, sarif_results, scan
+from ..tables import BIDI, PROFANITY, SOFTENERS, UnicodeScanOptions
+from . import planted
 
 PLANTED = (
     "x‮y", "ok ‪a‬ b", "​zw", "A️B", "t\U000e0041g", "ar؀b", "c\x07d\x1be", "раypal.com", "Αlpha οmega", "ｆull nb", "brand™ \U0001d400BC ﬁn",
@@ -73,6 +74,22 @@ def _unnested(pattern: str, replacement: str, group: int = 0, but: str = "") ->
     return f"{_DIRTY}, m AS (SELECT doc_id, unnest({_all(pattern, group)}) AS matched FROM dirty) SELECT doc_id, matched, '{replacement}' AS replacement FROM m{f' WHERE matched <> {chr(39)}{but}{chr(39)}' if but else ''}"
 
 
+_WORDS = f"(?i)\\b(?:{'|'.join(sorted(PROFANITY, key=len, reverse=True))})\\b"
+_PHRASES = f"(?i)\\b(?:{'|'.join(SOFTENERS)})\\b".replace("'", "''")
+_WORD_FORMS, _PHRASE_FORMS = ("CASE lower(matched) " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in x.items()) + " END" for x in (PROFANITY, SOFTENERS))
+_IS_ASCII = "regexp_full_match({}, '[\\x00-\\x7F]*')"
+_BIDI_CLASS = "[" + "".join(f"\\x{{{cp:04X}}}" for cp in BIDI) + "]"
+# everything dangerous: format characters, controls but for tab and line ends, fillers, selectors and tags
+_HOLDS_DANGER = "regexp_matches({}, '[\\p{{Cf}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}\\x{{FE00}}-\\x{{FE0F}}\\x{{E0100}}-\\x{{E01EF}}\\x{{E0000}}-\\x{{E007F}}]')"
+# lines and signs by code point; the two kinds of openings are added up by line
+_UNBALANCED = (
+    f"{_DIRTY}, chars AS (SELECT doc_id, unnest(range(length(t))) AS o, unicode(unnest(string_split(t, ''))) AS cp FROM dirty), signs AS (SELECT doc_id, o, cp, sum(CASE WHEN cp BETWEEN 8234 AND 8238 OR cp > 8233 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY o) AS line FROM chars "
+    "WHERE cp IN (10, 11, 12, 13, 28, 29, 30, 133, 8232, 8233) OR cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297), walked AS (SELECT doc_id, line, o, sum(CASE WHEN cp IN (8234, 8235, 8237, 8238) THEN 1 WHEN cp = 8236 THEN -1 ELSE 0 END) OVER w AS e, "
+    "sum(CASE WHEN cp IN (8294, 8295, 8296) THEN 1 WHEN cp = 8297 THEN -1 ELSE 0 END) OVER w AS i FROM signs WINDOW w AS (PARTITION BY doc_id, line ORDER BY o)), "
+    "bad AS (SELECT doc_id FROM walked GROUP BY doc_id, line HAVING min(e) < 0 OR min(i) < 0 OR arg_max(e, o) <> 0 OR arg_max(i, o) <> 0) SELECT doc_id, doc_id IN (SELECT doc_id FROM bad) AS result FROM dirty"
+)
+
+
 _FINDING = ("offset", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")
 
 
@@ -110,42 +127,16 @@ def q_policy(spark: SparkSession, sf_dir: str, provider: str = "generic") -> Dat
     return out.select("doc_id", F.col("score").cast("long").alias("score"), "acceptable", F.array_join("blocked_by", ",").alias("blocked_by"))
 
 
-def q_sanitized(spark: SparkSession, sf_dir: str, aggressive: bool = False) -> DataFrame:
-    return sanitize(dirty(spark, sf_dir), aggressive=aggressive).select("doc_id", "clean", "summary")
-
-
 def q_sarif_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("rule_index", "start_line", "start_column", "end_column", "char_offset")
     return sarif_results(scan(dirty(spark, sf_dir))).select("doc_id", "rule_id", "level", *[F.col(c).cast("long").alias(c) for c in cols])
 
 
-def q_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sarif(scan(dirty(spark, sf_dir)))
-
-
-def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(dirty(spark, sf_dir)).select("doc_id", render_scan().alias("report"))
-
-
-def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(dirty(spark, sf_dir)).select("doc_id", to_json().alias("json"))
-
-
-def q_pii_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(scan(dirty(spark, sf_dir)), column="pii_findings").select("doc_id", "start", "end", "category", "detector")
-
-
 def q_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(dirty(spark, sf_dir))
     return out.select("doc_id", "dangerous", F.size("unicode_findings").cast("long").alias("n_unicode"))
 
 
-def q_spoof_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: first words that differ but have one skeleton. Words are few and distinct before they are grouped."""
-    words = dirty(spark, sf_dir).select(F.substring_index("text", " ", 1).alias("word")).distinct()
-    return words.groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def q_confusable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: how often each word of each whole text is confusable with ASCII; others give no row."""
     words = dirty(spark, sf_dir).select("doc_id", F.explode(F.split("text", " ")).alias("word"))
@@ -173,7 +164,7 @@ def _of(make, **options) -> Column:
 
 
 _FOUND = _HITS + 'SELECT doc_id, "offset", codepoint, name, category, unicode_category, severity, action, replacement, detail FROM hits'
-_COUNTS = f"len({_all(_SECRET)})", f"len({_all(_EMAIL)}) - (t LIKE 'kys@%')::INT + len({_all(_IPV4)}) + len({_all(_SSN)}) + len({_all(_PHONE, 1)})", "(doc_id % 20 IN (15, 16))::INT", "2 * (doc_id % 20 = 14)::INT"
+_COUNTS = f"len({_all(_SECRET)})", f"len({_all(_EMAIL)}) - (t LIKE 'kys@%')::INT + len({_all(_IPV4)}) + len({_all(_SSN)}) + len({_all(_PHONE, 1)})", f"len({_all(_PHRASES)})", f"len({_all(_WORDS)})"
 _SCORE = f"greatest(0, 100 - 100 * {_COUNTS[0]} - 20 * ({_COUNTS[1]}) - 15 * {_COUNTS[2]} - 8 * {_COUNTS[3]})"
 
 
@@ -207,7 +198,7 @@ QUERIES = {
     "skeleton": _of(skeleton),
     "contains_bidi": _of(contains_bidi),
     "unbalanced_bidi": _of(unbalanced_bidi),
-    "confusable_with_ascii": _of(lambda t: confusable_with_ascii(F.substring_index(t, " ", 1))),
+    "confusable_with_ascii": _of(confusable_with_ascii),
     "confusable_words": q_confusable_words,
     "email_findings": partial(q_spans, where="detector = 'email'"),
     "phone_findings": partial(q_spans, where="detector = 'phone'"),
@@ -218,19 +209,13 @@ QUERIES = {
     "softener_findings": partial(q_spans, where="category = 'hostility'"),
     "policy_generic": q_policy,
     "policy_strict": partial(q_policy, provider="strict"),
-    "sanitized": q_sanitized,
-    "sanitized_aggressive": partial(q_sanitized, aggressive=True),
     "sarif_regions": q_sarif_regions,
-    "sarif_log": q_sarif,
-    "human_report": q_report,
-    "scan_json": q_json,
-    "pii_spans": q_pii_long,
     "scan_verdict": q_verdict,
-    "spoof_groups": q_spoof_pairs,
     "spoof_words": q_spoof_words,
     "finding_rollup": q_rollup,
     "pages_scan": q_table_scan,
     "conversations_scan": partial(q_table_scan, table="conversations", keys=("conv_id", "turn"), text="text"),
+    **planted.QUERIES,
 }
 
 _FALLEN = "CASE WHEN codepoint = 'U+200B' THEN 'invisible' ELSE category END"
@@ -246,26 +231,28 @@ ORACLE_SQL = {
     "clean_text": f"{_DIRTY} SELECT doc_id, {_REDACTED} AS clean FROM dirty",
     "strip_bidi": _result(_swaps("bidi", fold=False)),
     "skeleton": _result(_swaps()),
-    "contains_bidi": _result("doc_id % 20 IN (0, 1, 18)"),
-    "unbalanced_bidi": _result("doc_id % 20 IN (0, 18)"),
-    "confusable_with_ascii": _result("doc_id % 20 IN (7, 8, 9, 10)"),
+    "contains_bidi": _result(f"regexp_matches(t, '{_BIDI_CLASS}')"),
+    "unbalanced_bidi": _UNBALANCED,
+    "confusable_with_ascii": _result(f"NOT {_IS_ASCII.format('t')} AND {_swaps()} <> t AND {_IS_ASCII.format(_swaps())}"),
     "confusable_words": f"{_DIRTY}, w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT doc_id, t AS word, {_swaps()} AS skeleton FROM w WHERE NOT regexp_full_match(t, '[\\x00-\\x7F]*')) SELECT doc_id, word, count(*) AS n FROM s WHERE skeleton <> word AND regexp_full_match(skeleton, '[\\x00-\\x7F]*') GROUP BY 1, 2",
     "email_findings": _unnested(_EMAIL, "[redacted-email]", but="kys@example.com"),
     "phone_findings": _unnested(_PHONE, "[redacted-phone]", 1),
     "ipv4_findings": _unnested(_IPV4, "[redacted-ip]"),
     "ssn_findings": _unnested(_SSN, "[redacted-ssn]"),
     "secret_findings": _unnested(_SECRET, "[redacted-secret]"),
-    "profanity_findings": f"{_DIRTY}, m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)\\b(?:shit|pissed)\\b')) AS matched FROM dirty) SELECT doc_id, matched, CASE lower(matched) WHEN 'shit' THEN 'junk' ELSE 'annoyed' END AS replacement FROM m",
-    "softener_findings": "SELECT doc_id, CASE doc_id % 20 WHEN 15 THEN 'kys' ELSE 'Shut up' END AS matched, CASE doc_id % 20 WHEN 15 THEN '[removed]' ELSE 'please hold on' END AS replacement FROM documents WHERE doc_id % 20 IN (15, 16)",
+    "profanity_findings": f"{_DIRTY}, m AS (SELECT doc_id, unnest({_all(_WORDS)}) AS matched FROM dirty) SELECT doc_id, matched, {_WORD_FORMS} AS replacement FROM m",
+    "softener_findings": f"{_DIRTY}, m AS (SELECT doc_id, unnest({_all(_PHRASES)}) AS matched FROM dirty) SELECT doc_id, matched, {_PHRASE_FORMS} AS replacement FROM m",
     "policy_generic": _policy_sql(80, False),
     "policy_strict": _policy_sql(90, True),
     "sarif_regions": _HITS
-    + "SELECT doc_id, 'glyphward/' || CASE category WHEN 'bidi' THEN 'bidi-control' WHEN 'zero_width' THEN 'zero-width' WHEN 'control' THEN 'control-char' ELSE category END AS rule_id, CASE category WHEN 'homoglyph' THEN 'warning' ELSE 'error' END AS level, "
-    "CAST(0 AS BIGINT) AS rule_index, CAST(1 + (doc_id % 20 = 18)::INT AS BIGINT) AS start_line, CASE WHEN doc_id % 20 = 18 THEN \"offset\" - 5 ELSE \"offset\" + 1 END AS start_column, CASE WHEN doc_id % 20 = 18 THEN \"offset\" - 4 ELSE \"offset\" + 2 END AS end_column, \"offset\" AS char_offset FROM hits",
+    + ", firsts AS (SELECT doc_id, category, min(\"offset\") AS pos FROM hits GROUP BY 1, 2), ranks AS (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS rule_index FROM firsts), "
+    "heads AS (SELECT hits.*, rule_index, substr(t, 1, \"offset\") AS head FROM hits JOIN ranks USING (doc_id, category) JOIN dirty USING (doc_id)) "
+    "SELECT doc_id, 'glyphward/' || CASE category WHEN 'bidi' THEN 'bidi-control' WHEN 'zero_width' THEN 'zero-width' WHEN 'control' THEN 'control-char' ELSE category END AS rule_id, CASE category WHEN 'homoglyph' THEN 'warning' ELSE 'error' END AS level, "
+    "rule_index, length(head) - length(replace(head, chr(10), '')) + 1 AS start_line, length(string_split(head, chr(10))[-1]) + 1 AS start_column, length(string_split(head, chr(10))[-1]) + 2 AS end_column, \"offset\" AS char_offset FROM heads",
     "scan_verdict": _HITS + "SELECT doc_id, coalesce(bool_or(category <> 'homoglyph'), false) AS dangerous, count(category) AS n_unicode FROM dirty LEFT JOIN hits USING (doc_id) GROUP BY doc_id",
-    "spoof_groups": f"{_DIRTY}, w AS (SELECT DISTINCT string_split(t, ' ')[1] AS t FROM dirty), s AS (SELECT {_swaps()} AS skeleton FROM w) SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1",
     "spoof_words": f"{_DIRTY}, w AS (SELECT DISTINCT unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT {_swaps()} AS skeleton FROM w) SELECT skeleton, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1",
     "finding_rollup": _HITS + "SELECT category, codepoint, count(*) AS n FROM hits GROUP BY ROLLUP (category, codepoint)",
-    "pages_scan": f"SELECT page_id, false AS dangerous, len({_all(_EMAIL, text='html')}) AS n_email FROM pages",
-    "conversations_scan": f"SELECT conv_id, turn, false AS dangerous, len({_all(_EMAIL, text='text')}) AS n_email FROM conversations",
+    "pages_scan": f"SELECT page_id, {_HOLDS_DANGER.format('html')} AS dangerous, len({_all(_EMAIL, text='html')}) AS n_email FROM pages",
+    "conversations_scan": f"SELECT conv_id, turn, {_HOLDS_DANGER.format('text')} AS dangerous, len({_all(_EMAIL, text='text')}) AS n_email FROM conversations",
+    **planted.ORACLE_SQL,
 }
