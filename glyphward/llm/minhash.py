@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import ship, stash
+from .runtime import Scratch, heavy, heavy_join, ship
 from .textvec import U, distinct, mix, pieces, shingles
 
 #: Bands of rows: a pair of similarity 0.8 shares none of them with probability (1 - 0.8**ROWS)**BANDS < 1e-6.
 BANDS, ROWS = 48, 6
+#: A pair is not verified if its sketches agree in so few bins that a similar pair's would with this probability at most.
+UNLIKELY = 1e-9
 #: Further turns of stars, and the share of all shingle rows from which the counts of a shingle are broadcast (so 1 / HEAVY at most).
 STARS, HEAVY = 2, 0.001
+#: One in so many classes is looked at to find the bands that hold a large share of all.
+LOOK = 64
+#: Fingerprints that a task keeps to see repeated sets.
+SEEN = 1_000_000
 
 
 def fast_sketch(items: np.ndarray, size: int) -> np.ndarray:
@@ -52,35 +59,63 @@ def bands(sketch: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set that do not depend on the order of its hashes."""
+    return int(own.sum(dtype=U).view(np.int64)), int(mix(own ^ U(0xABCDEF)).sum(dtype=U).view(np.int64))
+
+
 def _sketches(docs: DataFrame, k: int, n_bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint of the whole set), keys (of bands; null for an empty set)."""
+    """doc_id, n_shingles, f1, f2 (fingerprint of the whole set), keys (of bands).
+
+    keys is null for empty sets, for rows without a doc_id and where the task has given those of an equal set.
+    """
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in pieces(batches):
             hashes, offs = shingles(b.column("text"), k)
+            known = b.column("doc_id").is_valid().to_pylist()
             n, f1, f2, keys = [], [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for d in range(len(offs) - 1):
                 own = distinct(hashes[offs[d] : offs[d + 1]])
+                me = _fingerprint(own)
+                first = known[d] and len(own) > 0 and me not in seen
+                if first:
+                    seen.add(me)
                 n.append(len(own))
-                f1.append(int(own.sum(dtype=U).view(np.int64)))
-                f2.append(int(mix(own ^ U(0xABCDEF)).sum(dtype=U).view(np.int64)))
-                keys.append(bands(fast_sketch(own, n_bands * rows), n_bands, rows) if len(own) else None)
+                f1.append(me[0])
+                f2.append(me[1])
+                keys.append(bands(fast_sketch(own, n_bands * rows), n_bands, rows) if first else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, items: the full sets as sorted 64-bit hashes."""
+def _sets(docs: DataFrame, members: DataFrame, k: int, size: int) -> DataFrame:
+    """id, items (the full set as sorted 64-bit hashes), sketch (a byte of each bin) of members (id, rep, f1, f2).
+
+    The set of a class is that of the row of document rep which has its fingerprint.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in pieces(batches):
             hashes, offs = shingles(b.column("text"), k)
-            items = [distinct(hashes[offs[d] : offs[d + 1]]).tobytes() for d in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.binary())], ["id", "items"])
+            ids, items, sketch = [], [], []
+            for d, (i, *f) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "f1", "f2")), strict=True)):
+                own = distinct(hashes[offs[d] : offs[d + 1]])
+                if i not in seen and tuple(f) == _fingerprint(own):
+                    seen.add(i)
+                    ids.append(i)
+                    items.append(own.tobytes())
+                    sketch.append(mix(fast_sketch(own, size)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary()), pa.array(sketch, pa.binary())], ["id", "items", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "id long, items binary")
+    own = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("id", "rep", "f1", "f2"), "rep")
+    return own.select("text", "id", "f1", "f2").mapInArrow(work, "id long, items binary, sketch binary")
 
 
 def _items(sets: DataFrame) -> DataFrame:
@@ -94,36 +129,55 @@ def _items(sets: DataFrame) -> DataFrame:
                     part = own[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], ["id", "item"])
 
-    return sets.mapInArrow(work, "id long, item long")
+    return sets.select("id", "items").mapInArrow(work, "id long, item long")
 
 
-def _overlapping(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of left (rep, n, c, out) with one out at least and different c that prefix filtering cannot rule out.
+def _overlapping(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: the pairs of left (id, n, c, out) with one out at least and different c that prefix filtering cannot rule out.
 
     Shingles are ordered from rare to common, those of one set alone first. r counts a set's shingles from one on, so
     what two sets share is at most the lesser r of the first shingle that both hold: no pair of similarity percent / 100
     is lost, and sets that differ in more than their few rare shingles do not meet. Counts of the most common shingles
     are broadcast, so that no key of the join holds more than HEAVY of the rows.
     """
-    rows = stash(_items(sets.join(left.select(F.col("rep").alias("id")), "id", "left_semi")))
-    counts = stash(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    rows = scratch.stash(_items(sets.join(left.select("id"), "id", "left_semi")))
+    counts = scratch.stash(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     bar = (counts.agg(F.sum("df")).first()[0] or 0) * HEAVY
-    heavy = F.broadcast(counts.filter(F.col("df") >= bar))
-    light = rows.join(heavy.select("item"), "item", "left_anti").join(counts.filter(F.col("df") < bar), "item")
+    hot = F.broadcast(counts.filter(F.col("df") >= bar))
+    light = rows.join(hot.select("item"), "item", "left_anti").join(counts.filter(F.col("df") < bar), "item")
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("item"))
-    prefix = rows.join(heavy, "item").unionByName(light).withColumn("r", F.row_number().over(order).cast("long"))
-    prefix = stash(prefix.join(left, F.col("id") == F.col("rep")).filter(100 * F.col("r") >= percent * F.col("n")).select("item", "rep", "n", "c", "out", "r"))
+    prefix = rows.join(hot, "item").unionByName(light).withColumn("r", F.row_number().over(order).cast("long"))
+    prefix = scratch.stash(prefix.join(left, "id").filter(100 * F.col("r") >= percent * F.col("n")).select("item", "id", "n", "c", "out", "r"))
+    scratch.drop(rows, counts)
     wanted = prefix.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("out").alias("any")).filter("lo <> hi and any").select("item")
-    prefix = stash(prefix.join(wanted, "item", "left_semi"))
-    one = prefix.filter("out").select("item", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("r").alias("xr"))
-    two = prefix.select("item", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("r").alias("yr"), F.col("out").alias("yout"))
+    prefix = scratch.stash(prefix.join(wanted, "item", "left_semi"))
+    one = prefix.filter("out").select("item", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("r").alias("xr"))
+    two = prefix.select("item", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("r").alias("yr"), F.col("out").alias("yout"))
     enough = (100 + percent) * F.least("xr", "yr") >= percent * (F.col("xn") + F.col("yn"))
     pairs = one.join(two, "item").filter((F.col("xc") != F.col("yc")) & (~F.col("yout") | (F.col("x") < F.col("y"))) & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
+def least_bins(size: int, percent: int) -> int:
+    """The bins in which sketches of similarity percent / 100 agree at least, but for probability UNLIKELY (Hoeffding)."""
+    return max(0, math.floor(size * (percent / 100 - math.sqrt(-math.log(UNLIKELY) / (2 * size)))))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, bins: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in so many bins at least."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+            yield b.filter(pa.array((x == y).sum(axis=1) >= bins)).select(["a", "b"])
+
+    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    two = heavy_join(one, sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a", heavy(pairs, "a", HEAVY))
+    return two.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bins: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union; a may stand in many pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,17 +189,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    near = scratch.stash(_alike(pairs, sets, bins))
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    own = sets.select("id", "items").join(ids, "id", "left_semi")
+    one = near.join(own.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    two = heavy_join(one, own.select(F.col("id").alias("a"), F.col("items").alias("x")), "a", heavy(near, "a", HEAVY), "x")
     return two.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (the least id reachable) of all ids in links (a, b), by alternating large and small stars.
 
     Each round rewrites the links around each id's least neighbour, until a round changes nothing.
     """
-    links = stash(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    links = scratch.stash(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     state = None
     while True:
         both = links.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(links.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
@@ -153,18 +210,54 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
-        links = stash(small.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), "hi")).distinct())
+        before, links = links, scratch.stash(small.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), "hi")).distinct())
+        scratch.drop(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == state:
             return links.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
         state = now
 
 
-def _marked(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """shared with each class's component c and that of the band's least class, lead_c."""
-    own = shared.join(found, shared["rep"] == found["id"], "left").select("key", "rep", "n", "lead", F.coalesce("component", "rep").alias("c"))
-    ahead = found.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
-    return own.join(ahead, F.col("lead") == F.col("_l"), "left").select("key", "rep", "n", "lead", "c", F.coalesce("_c", "lead").alias("lead_c"))
+def _shared(sketched: DataFrame, classes: DataFrame, hot_bar: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, id, n, lead, lead_n of bands that more than one class shares, with the least class of each; the hot keys).
+
+    Bands are grouped by one shuffle of their rows. Those that hold a large share of all classes are known from one class
+    in LOOK, so at most LOOK * bands / hot_bar of them; their leads are pre-aggregated and broadcast, no task has all of such a band.
+    """
+    keyed = sketched.filter(F.col("keys").isNotNull())
+    look = keyed.filter(F.pmod(F.xxhash64("f1"), F.lit(LOOK)) == 0).select(F.explode("keys").alias("key"))
+    hot = scratch.stash(look.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= hot_bar).select("key"))
+    ours = classes.select("n_shingles", "f1", "f2", "id")
+    banded = keyed.join(ours, ["n_shingles", "f1", "f2"]).select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    least = F.min(F.struct("id", "n"))
+    own = Window.partitionBy("key")
+    light = banded.join(F.broadcast(hot), "key", "left_anti").select("key", "id", "n", least.over(own).alias("first"), F.max("id").over(own).alias("last"))
+    found = light
+    if not hot.isEmpty():
+        rows = scratch.stash(banded.join(F.broadcast(hot), "key", "left_semi").distinct())
+        found = found.unionByName(rows.join(F.broadcast(rows.groupBy("key").agg(least.alias("first"), F.max("id").alias("last"))), "key").select("key", "id", "n", "first", "last"))
+    # a set may have come from several tasks
+    found = found.filter("first.id <> last").select("key", "id", "n", F.col("first.id").alias("lead"), F.col("first.n").alias("lead_n"))
+    return scratch.stash(found), hot
+
+
+def _classes(known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(n_shingles, f1, f2, size, rep: the least doc_id, id; links between classes of one document, if any has several).
+
+    id is rep, but where documents have rows with different sets it is a hash, as rep would not tell classes apart.
+    """
+    same = ["n_shingles", "f1", "f2"]
+    classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    ends = known.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi"))
+    several = scratch.stash(ends.filter("lo <> hi").select("doc_id"))
+    if several.isEmpty():
+        return scratch.stash(classes.withColumn("id", F.col("rep"))), None
+    mixed = several.select(F.col("doc_id").alias("rep"), F.lit(True).alias("mixed"))
+    named = classes.join(mixed, "rep", "left").withColumn("id", F.when(F.col("mixed"), F.xxhash64("rep", *same)).otherwise(F.col("rep"))).drop("mixed")
+    named = scratch.stash(named.select(*same, "rep", "size", "id"))
+    rows = known.select("doc_id", *same).join(several, "doc_id", "left_semi").distinct().join(named.select(*same, "id"), same).select("doc_id", "id")
+    links = rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("a <> id").select("a", F.col("id").alias("b"))
+    return named, scratch.stash(links)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,54 +266,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int
     Sets: distinct k-word shingles of whole texts (fewer words: the whole sequence). Links: Jaccard similarity of at
     least percent / 100, confirmed on full sets. component_id is the least doc_id reachable; kept marks that row.
     Null, empty and blank texts have empty sets and no links. Equal sets are one class, whose least doc_id stands
-    for it. Rows of one doc_id count as one document; null doc_ids take no part: their component_id is null, they
-    are kept. An empty table gives no rows; other columns are ignored.
+    for it. Rows of one doc_id count as one document, which has the links of all their texts; null doc_ids take no part:
+    their component_id is null, they are kept. An empty table gives no rows; other columns are ignored.
 
     Candidates are classes that share a band. First each class is held against the least class of each of its bands,
-    then, in bands whose classes are still in different components, against other hubs for a few turns. Last, the
-    classes of such bands meet through the rare shingles of their sets, which loses no pair of them that is similar
-    enough. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
+    then, in bands whose other classes are in different components, against further hubs for a few turns. Last, the
+    classes of bands that are still open meet through the rare shingles of their sets, which loses no pair of them that
+    is similar enough. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
     """
-    sketched = stash(_sketches(docs, k, n_bands, rows))
-    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    ids = stash(known.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"]).select("doc_id", "rep"))
-    heads = known.join(classes.select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")))
-    # bands that more than one class shares
-    banded = heads.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    least = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).filter("first.rep <> last")
-    shared = stash(banded.join(least.select("key", "first"), "key").select("key", "rep", "n", F.col("first.rep").alias("lead"), F.col("first.n").alias("lead_n")))
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(docs, k, percent, n_bands, rows, scratch))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, n_bands: int, rows: int, scratch: Scratch) -> DataFrame:
+    sketched = scratch.stash(_sketches(docs, k, n_bands, rows))
+    known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).drop("keys")
+    classes, links = _classes(known, scratch)
+    total, docs_total = classes.agg(F.count(F.lit(1)), F.sum("size")).first()
+    shared, hot_keys = _shared(sketched, classes, max(8, int(HEAVY * total / LOOK)), scratch)
+    members = classes.join(shared.select("id").distinct(), "id", "left_semi")
+    sets = scratch.stash(_sets(docs, members, k, n_bands * rows))
+    bins = least_bins(n_bands * rows, percent)
     alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    members = shared.select(F.col("rep").alias("id")).distinct()
-    sets = stash(_sets(docs.select("doc_id", "text").join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
-    stars = shared.filter((F.col("rep") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stash(_verified(stars, sets, percent))
-    # what no star has joined: further stars around members outside the component of the band's least class
-    for turn in range(STARS):
-        found = stash(components(links))
-        marked = _marked(shared, found)
-        apart = marked.filter("c <> lead_c")
-        hub = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "c")).alias("hub"))
-        tries = marked.join(hub, "key").filter((F.col("c") != F.col("hub.c")) & alike(F.col("n"), F.col("hub.n")))
-        tries = stash(tries.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-        if tries.isEmpty():
+    tests = scratch.stash(shared.filter((F.col("id") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    verified = scratch.stash(_verified(tests, sets, percent, bins, scratch))
+    links = scratch.stash(verified.unionByName(links)) if links is not None else verified
+    # rest: classes that have not yet been held against all others of the band
+    rest = shared.filter(F.col("id") != F.col("lead")).select("key", "id", "n").distinct()
+    found = scratch.stash(components(links, scratch))
+    for turn in range(STARS + 1):
+        own = rest.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "c")).alias("hub")
+        open_ = scratch.stash(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo <> hi").select("key", "hub"))
+        if open_.isEmpty():
             break
-        stars = stars.unionByName(tries)
-        links = stash(links.unionByName(_verified(tries, sets, percent)))
-    found = stash(components(links))
-    # last, what is still apart: classes outside the least one's component, against all classes of their bands
-    apart = _marked(shared, found).withColumn("out", F.col("c") != F.col("lead_c"))
-    open_keys = apart.filter("out").select("key").distinct()
-    left = apart.join(open_keys, "key", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("out").alias("out"))
-    rest = _overlapping(stash(left), sets, percent)
-    rest = stash(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_verified(rest, sets, percent)))
-    final = ids.join(found, ids["rep"] == found["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
-    final = final.select(F.col("doc_id").alias("_d"), "c")
-    out = sketched.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("_d"), "left")
-    component = F.coalesce(F.col("c"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        rest = scratch.stash(heavy_join(scratch.stash(own), open_, "key", hot_keys))
+        if turn == STARS:
+            out = rest.withColumn("out", F.col("c") != F.col("hub.c"))
+            left = out.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("out").alias("out"))
+            tries = _overlapping(scratch.stash(left), sets, percent, scratch)
+        else:
+            tries = rest.filter((F.col("c") != F.col("hub.c")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+            rest = rest.filter(F.col("id") != F.col("hub.id")).select("key", "id", "n")
+        backwards = tests.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        tries = scratch.stash(tries.join(tests.unionByName(backwards), ["a", "b"], "left_anti"))
+        if tries.isEmpty():
+            continue
+        tests = tests.unionByName(tries)
+        links = scratch.stash(links.unionByName(_verified(tries, sets, percent, bins, scratch)))
+        found = scratch.stash(components(links, scratch))
+    # the class of a row tells its component; a hot class is broadcast
+    ours = classes.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    least = ours.groupBy("c").agg(F.min("rep").alias("least"))
+    ours = scratch.stash(ours.join(least, "c").select("n_shingles", "f1", "f2", "size", F.col("least").alias("component_id")))
+    hot = ours.filter(F.col("size") >= HEAVY * (docs_total or 0)).select("n_shingles", "f1", "f2")
+    same = ["n_shingles", "f1", "f2"]
+    got = heavy_join(known, ours.drop("size"), same, hot).select("doc_id", "n_shingles", "component_id")
+    none = sketched.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return got.unionByName(none).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -229,7 +332,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows with null doc_id, which take no part, all stay.
     """
     found = near_duplicates(docs, k, percent)
-    keep = stash(found.filter("kept and doc_id is not null").select("doc_id").distinct())
+    keep = found.filter("kept and doc_id is not null").select("doc_id").distinct()
     stay = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not again.isEmpty():

@@ -16,6 +16,8 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows and bytes of an Arrow batch at most, so that a batch of long texts stays small beside the heap.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes that are broadcast at most where sizes have no other bound.
+BROADCAST = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,9 +31,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only on a local master, where it is unset, a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="glyphward-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -39,10 +43,66 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables of one computation: stash() as above, drop() for those that are done with; all go when the block ends.
+
+    The block's own result must be given through result(), which writes it first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stash(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths[id(out)] = out, path
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return stash(df)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in list(self.paths.values())])
+
+
+def heavy(rows: DataFrame, key: str, share: float, least: int = 1000) -> DataFrame:
+    """The values of key that at least this share of the rows have, and so many rows: 1 / share of them at most."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.filter(F.col("_n") >= max(least, total * share)).select(key)
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: DataFrame, weighed: str | None = None) -> DataFrame:
+    """Inner join with right, which has one row a key; rows of the few hot keys meet broadcast rows where they stand.
+
+    So no task gets all rows of a hot key. If column weighed of the hot keys' rows takes over BROADCAST bytes, all are shuffled.
+    """
+    if hot.isEmpty():
+        return left.join(right, on)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    if weighed and (few.agg(F.sum(F.octet_length(weighed))).first()[0] or 0) > BROADCAST:
+        return left.join(right, on)
+    here = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on)
+    return here.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
 
 
 def ranked(df: DataFrame, group: str, cell: str, order: list, out: str) -> DataFrame:
