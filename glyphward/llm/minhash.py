@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import Scratch, heavy, heavy_join, ship
+from .runtime import Scratch, heavy, heavy_join, only, ship, stash
 from .textvec import U, distinct, mix, pieces, shingles
 
 #: Bands of rows: a pair of similarity 0.8 shares none of them with probability (1 - 0.8**ROWS)**BANDS < 1e-6.
@@ -94,7 +94,7 @@ def _sketches(docs: DataFrame, k: int, n_bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, members: DataFrame, k: int, size: int) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, k: int, size: int, scratch: Scratch) -> DataFrame:
     """id, items (the full set as sorted 64-bit hashes), sketch (a byte of each bin) of members (id, rep, f1, f2).
 
     The set of a class is that of the row of document rep which has its fingerprint.
@@ -114,7 +114,9 @@ def _sets(docs: DataFrame, members: DataFrame, k: int, size: int) -> DataFrame:
                     sketch.append(mix(fast_sketch(own, size)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary()), pa.array(sketch, pa.binary())], ["id", "items", "sketch"])
 
-    own = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("id", "rep", "f1", "f2"), "rep")
+    # the texts of members alone are shuffled, if any
+    picked = only(docs.select(F.col("doc_id").alias("rep"), "text"), scratch.stash(members.select("rep").distinct()), "rep")
+    own = picked.join(members.select("id", "rep", "f1", "f2"), "rep")
     return own.select("text", "id", "f1", "f2").mapInArrow(work, "id long, items binary, sketch binary")
 
 
@@ -284,8 +286,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, n_bands: int, rows:
     classes, links = _classes(known, scratch)
     total, docs_total = classes.agg(F.count(F.lit(1)), F.sum("size")).first()
     shared, hot_keys = _shared(sketched, classes, max(8, int(HEAVY * total / LOOK)), scratch)
-    members = classes.join(shared.select("id").distinct(), "id", "left_semi")
-    sets = scratch.stash(_sets(docs, members, k, n_bands * rows))
+    members = scratch.stash(classes.join(shared.select("id").distinct(), "id", "left_semi"))
+    sets = scratch.stash(_sets(docs, members, k, n_bands * rows, scratch))
     bins = least_bins(n_bands * rows, percent)
     alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     tests = scratch.stash(shared.filter((F.col("id") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
@@ -332,9 +334,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows with null doc_id, which take no part, all stay.
     """
     found = near_duplicates(docs, k, percent)
-    keep = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not again.isEmpty():
+    gone = stash(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"))
+    stay = only(docs.filter("doc_id is not null"), gone, "doc_id", out=True)
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))

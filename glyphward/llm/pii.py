@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import ship, stash
+from .runtime import only, ship, stash
 from .textvec import pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -220,14 +220,19 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """The same rows and columns with texts generalised; n_chars, where there is one, follows the text.
 
-    Base kinds are replaced where the texts stand; only rows with disclosing terms are looked up.
+    Base kinds are replaced where the texts stand; only rows of documents with disclosing terms are looked up.
     """
     found = stash(find(docs, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
     own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    no_terms = F.lit(None).cast("array<struct<s:long,e:long>>").alias("terms")
     if found.isEmpty():
-        rows = own.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
+        rows = own.select("text", no_terms, "_all")
     else:
-        rows = _key(own).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left")
+        ids = stash(found.select(F.col("_d").alias("doc_id")).distinct().filter("doc_id is not null"))
+        known = own.filter("doc_id is not null")
+        told = only(known, ids, "doc_id").unionByName(own.filter("doc_id is null"))
+        told = _key(told).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left")
+        rows = told.select("text", "terms", "_all").unionByName(only(known, ids, "doc_id", out=True).select("text", no_terms, "_all"))
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

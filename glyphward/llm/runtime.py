@@ -18,6 +18,8 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes that are broadcast at most where sizes have no other bound.
 BROADCAST = 64 << 20
+#: Numbers that are broadcast at most as keys of a join (about 20 bytes each).
+IDS = 2_000_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -105,6 +107,16 @@ def heavy_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: Data
     return here.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
 
 
+def only(rows: DataFrame, ids: DataFrame, key: str, out: bool = False) -> DataFrame:
+    """The rows whose key is in ids, or with out those whose is not; nulls are in no ids.
+
+    Up to IDS ids (a stashed table of that one column) are broadcast, so the rows, with their texts, stay where they are;
+    beyond that both sides are shuffled.
+    """
+    few = ids.limit(IDS + 1).count() <= IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_anti" if out else "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def ranked(df: DataFrame, group: str, cell: str, order: list, out: str) -> DataFrame:
     """Adds out: the 0-based rank of each row in its group, by (cell, *order), without a task for a group.
 
