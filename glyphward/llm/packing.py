@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,20 +31,27 @@ class Coder:
 
     A border lies before a blank, tab or line end that follows a visible ASCII or Latin-1 character: there the
     pattern splits in every context. The merges run in tiktoken over the JSON file's vocabulary; check() holds
-    the ids against the tokenizers library itself.
+    the ids against the tokenizers library itself. With added, text that spells one of the file's added tokens is that
+    token, and what stands before and behind it is encoded on its own, as the library has it by default; else it is
+    ordinary text (the library's encode_special_tokens).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.reference = Tokenizer.from_file(path)
-        self.reference.encode_special_tokens = True
+        self.reference.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
-        special = {t["content"] for t in data.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in data.get("added_tokens", [])):
+            raise ValueError("added tokens that take in what stands around them are not known here")
+        spelt = sorted(special, key=len, reverse=True)
+        self.added = {t.encode(): special[t] for t in spelt} if added else {}
+        self.spelt = re.compile(b"|".join(map(re.escape, self.added))) if self.added else None
         ranks = {bytes(byte[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
         self.enc = tiktoken.Encoding("json", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -56,14 +64,24 @@ class Coder:
         self.pool = np.zeros(0, np.uint32)
 
     def check(self, texts: list[str]) -> None:
-        for t in texts:
-            if self.reference.encode(t, add_special_tokens=False).ids != self.enc.encode_ordinary(t):
+        ids, offs = self.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            if self.reference.encode(t, add_special_tokens=False).ids != ids[offs[i] : offs[i + 1]].tolist():
                 raise ValueError("the vocabulary file does not encode as expected")
 
-    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, safe: np.ndarray) -> None:
-        """Encode the given new segments; those between two borders run as one text."""
+    def _spelt(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the added tokens that texts spell."""
+        data, found = raw.tobytes(), []
+        if self.spelt and self.spelt.search(data):
+            for a, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                found += [(a + m.start(), a + m.end()) for m in self.spelt.finditer(data[a:e])]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, safe: np.ndarray, whole: np.ndarray) -> None:
+        """Encode the given new segments; those between two borders run as one text; whole ones are added tokens."""
         order = np.concatenate([np.flatnonzero(safe), np.flatnonzero(~safe)])
-        starts, ends, keys, n = starts[order], ends[order], keys[order], int(safe.sum())
+        starts, ends, keys, whole, n = starts[order], ends[order], keys[order], whole[order], int(safe.sum())
         length = ends - starts
         ids, count = [], np.zeros(len(keys), np.int64)
         at = 0
@@ -80,7 +98,8 @@ class Coder:
             ids.append(got)
             at = end
         for i in range(n, len(keys)):
-            got = self.enc.encode_ordinary(raw[starts[i] : ends[i]].tobytes().decode())
+            own = raw[starts[i] : ends[i]].tobytes()
+            got = [self.added[own]] if whole[i] else self.enc.encode_ordinary(own.decode())
             count[i] = len(got)
             ids.append(np.array(got, np.uint32))
         start = len(self.pool) + np.cumsum(count) - count
@@ -93,8 +112,9 @@ class Coder:
         """Ids of all texts one after the other, and len + 1 offsets."""
         raw, offs = flat(texts)
         if not self.checked:
+            self.checked = True
             self.check([str(t or "")[:2000] for t in texts[:3].to_pylist()])
-            self.checked, self.reference = True, None  # its tables are large
+            self.reference = None  # its tables are large
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         blank = (raw == 0x20) | (raw == 0x0A) | (raw == 0x0D) | (raw == 0x09)
@@ -105,10 +125,16 @@ class Coder:
         inner = border.copy()
         border[offs] = True
         inner[offs] = False
+        token_starts, token_ends = self._spelt(raw, offs)
+        for a, e in zip(token_starts.tolist(), token_ends.tolist(), strict=True):
+            border[a : e + 1] = [True, *[False] * (e - a - 1), True]
+            inner[a : e + 1] = False
         at = np.flatnonzero(border)
         starts, ends = at[:-1], at[1:]
-        safe = inner[starts] & inner[ends]
-        keys = span_hashes(raw, starts, ends) ^ np.where(safe, np.uint64(0), np.uint64(0x5851F42D4C957F2D))
+        safe, whole = inner[starts] & inner[ends], np.isin(starts, token_starts)
+        # a segment's ids depend on whether its ends are borders, and whether it is an added token
+        kind = np.where(safe, np.uint64(0), np.where(whole, np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)))
+        keys = span_hashes(raw, starts, ends) ^ kind
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > MEMO:
             self.forget()
@@ -116,7 +142,7 @@ class Coder:
         new = np.ones(len(distinct), bool) if not len(self.keys) else self.keys[np.minimum(i, len(self.keys) - 1)] != distinct
         if new.any():
             f = first[new]
-            self._learn(raw, starts[f], ends[f], distinct[new], safe[f])
+            self._learn(raw, starts[f], ends[f], distinct[new], safe[f], whole[f])
             i = np.searchsorted(self.keys, distinct)
         i = i[back]
         count = self.count[i]
@@ -126,16 +152,19 @@ class Coder:
 
 
 @lru_cache(1)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, added: bool = False) -> Coder:
+    return Coder(path, added)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, width: int, keep_ids: bool = False) -> DataFrame:
-    """Cuts each document's ids, with END_ID behind, every width ids: doc_id, start, length, ids_crc32, doc_tokens."""
+def token_pieces(docs: DataFrame, vocabulary: str, width: int, keep_ids: bool = False, added: bool = False) -> DataFrame:
+    """Cuts each document's ids, with END_ID behind, every width ids: doc_id, start, length, ids_crc32, doc_tokens.
+
+    added: whether text that spells an added token is that token.
+    """
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(vocabulary)
+        code = coder(vocabulary, added)
         for b in pieces(batches):
             ids, offs = code.encode(b.column("text"))
             n = len(offs) - 1
@@ -289,12 +318,13 @@ def pack(parts: DataFrame, width: int, grain: int = 16) -> DataFrame:
     return placed.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("_slot")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048, grain: int = 16, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048, grain: int = 16, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have END_ID alone. With keep_ids, column ids holds each piece's ids.
+    Null and empty texts have END_ID alone. With keep_ids, column ids holds each piece's ids. With added, text that spells
+    an added token, such as <|endoftext|>, is that token (the library's default), else ordinary text.
     """
-    return pack(stash(token_pieces(docs, vocabulary, width, keep_ids)), width, grain)
+    return pack(stash(token_pieces(docs, vocabulary, width, keep_ids, added)), width, grain)
 
 
 def sequences(packed: DataFrame, width: int = 2048, pad_id: int = 0) -> DataFrame:
