@@ -14,20 +14,24 @@ from pyspark.sql import functions as F
 from .runtime import ship
 from .textvec import pieces
 
-#: Of each language the sample has at most so many documents and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 150, 3000
-#: Bytes of a dictionary, and of the parts of a text that are encoded on their own.
-DICTIONARY, PART = 96 << 10, 4096
+#: Documents of a language that the sample has, about; bytes of a dictionary, which draws on all of them.
+SAMPLE_DOCS, DICTIONARY = 150, 96 << 10
+#: Bytes of a sampled text that go to the driver at most, in slices of SLICE bytes spread over all of it.
+KEPT, SLICE = 8 * DICTIONARY // SAMPLE_DOCS, 256
+#: Bytes of the parts of a text that are encoded on their own, and the level at which all are.
+PART, LEVEL = 4096, 6
 MOST_LANGUAGES = 500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """A dictionary for each language: raw text of a bounded sample of its labelled rows (columns text, lang).
 
-    The sample has about sample_docs rows of a language, chosen by a hash of doc_id, and sample_chars of each. All of
-    them go into its dictionary, cut evenly to that many bytes; how much other languages have does not matter.
+    The sample has about sample_docs rows of a language, chosen by a hash of doc_id. All of them go into its dictionary
+    with slices of equal length, spread over their whole texts; how much other languages have does not matter. Rows
+    whose text is null or without letters teach nothing.
     """
+    ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     counts = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
@@ -36,20 +40,41 @@ def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMP
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            cut = [spread(plain(t).encode(), KEPT) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(cut, pa.binary())], ["lang", "t"])
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return rows.select("lang", "text").mapInArrow(work, "lang string, t binary")
+
     # repeated rows share a draw; distinct keeps the sample bounded
-    sample = known.filter(draw <= share[F.col("lang")]).select("lang", F.substring("text", 1, sample_chars).alias("t")).distinct()
+    sample = drawn(known.filter(draw <= share[F.col("lang")])).distinct()
     top = sample.withColumn("r", F.row_number().over(_window())).filter(F.col("r") <= 4 * sample_docs).drop("r").collect()
-    texts: dict[str, list[str]] = {}
-    for lang, _, t in sorted((r["lang"], hashlib.blake2b(r["t"].encode(), digest_size=8).digest(), r["t"]) for r in top):
+    texts: dict[str, list[bytes]] = {}
+    for lang, _, t in sorted((r["lang"], hashlib.blake2b(r["t"], digest_size=8).digest(), bytes(r["t"])) for r in top):
         texts.setdefault(lang, []).append(t)
     if missing := [r["lang"] for r in counts if r["lang"] not in texts]:
-        for r in known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.substring("text", 1, sample_chars), F.xxhash64("doc_id")).alias("t")).collect():
-            texts[r["lang"]] = [r["t"]]
-    return {lang: evenly([plain(x).encode() for x in t], dictionary) for lang, t in sorted(texts.items())}
+        # rare languages of which the draw has taken no row: the one with the least hash
+        least = known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.xxhash64("doc_id")).alias("_h"))
+        rows = known.join(F.broadcast(least), "lang").filter(F.xxhash64("doc_id") == F.col("_h"))
+        for r in drawn(rows).groupBy("lang").agg(F.min("t").alias("t")).collect():
+            texts[r["lang"]] = [bytes(r["t"])]
+    return {lang: evenly(t, dictionary) for lang, t in sorted(texts.items())}
+
+
+def spread(text: bytes, size: int) -> bytes:
+    """The text, or size bytes of it in slices of about SLICE bytes at equal distances, from its start to its end."""
+    if len(text) <= size:
+        return text
+    n = max(1, size // SLICE)
+    length = size // n
+    return b"".join(text[(len(text) - length) * i // max(1, n - 1) :][:length] for i in range(n))
 
 
 def evenly(parts: list[bytes], size: int) -> bytes:
-    """The parts joined, each cut to one length so that all have at most size bytes; short parts leave room for others."""
+    """The parts joined, each cut by spread() to one length so that all have at most size bytes; short parts leave room for others."""
     left, most = size, 0
     for i, n in enumerate(sorted(map(len, parts))):
         most = left // (len(parts) - i)
@@ -58,7 +83,7 @@ def evenly(parts: list[bytes], size: int) -> bytes:
         left -= n
     else:
         return b"".join(parts)
-    return b"".join(x[:most] for x in parts)
+    return b"".join(spread(x, most) for x in parts)
 
 
 def _window():
@@ -72,28 +97,30 @@ def plain(text: str) -> str:
     return f" {' '.join(_WORD.findall(text.lower()))} "
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numerals such as fractions and superscripts are none."""
+    return any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
+
+
 class Classifier:
     """Bytes that a text takes with each language's dictionary; the smallest wins, ties go to the first name."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard as z
 
-        self.names = list(dictionaries)
-        self.fast, self.fine = [], []
+        self.names, self.coders = list(dictionaries), []
         for data in dictionaries.values():
-            for level, into in ((3, self.fast), (19, self.fine)):
-                d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                into.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.coders.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, raw: bytes) -> np.ndarray:
-        own = self.fine if len(raw) <= 512 else self.fast
         parts = [raw[i : i + PART] for i in range(0, len(raw), PART)]
-        return np.array([sum(len(c.compress(p)) for p in parts) for c in own], float)
+        return np.array([sum(len(c.compress(p)) for p in parts) for c in self.coders], float)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score, margin: the part by which the next language's size is larger)."""
-        if not text or not self.names or not _WORD.search(text):
+        if not text or not self.names or not has_letter(text):
             return "und", 0.0, 0.0
         size = self.sizes(plain(text).encode())
         if len(size) == 1:
