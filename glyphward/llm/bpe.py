@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame
 from .runtime import ship
 from .textvec import pieces
 
-#: Characters that a leaf of the tree encodes at once.
-LEAF = 2048
-#: A place where every split by the pattern has a border, whatever stands further left or right: no alternative
-#: takes a character that is not white space and white space after it.
-_BORDER = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n\t\r])")
+#: Characters that a leaf of the tree encodes at once, and tokens of each side that a window within a match begins with.
+LEAF, WINDOW = 2048, 8
+#: Characters on each side of a seam that are looked at for a run of letters.
+RUN = 1024
+_SPACES = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
+_MARKS, _UNSPACED = "\\u3001\\u3002\\u300a-\\u300f\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f", "\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
+#: A place where every split by the pattern has a border, whatever stands further left or right. No alternative takes
+#: white space behind anything else, or both a letter and a mark, but for an apostrophe and ASCII letters.
+_BORDER = re.compile(f"(?<=[^{_SPACES}])(?=[ \\n\\t\\r])|(?<=[{_UNSPACED}])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[{_UNSPACED}])")
+#: A run of letters at the end of a text, and at the start of one: a match of the pattern that goes on over a seam. Letters
+#: close behind an apostrophe are left out, as a contraction may take them.
+_LAST_LETTERS, _FIRST_LETTERS = re.compile(f"[{_UNSPACED}]+$"), re.compile(f"[{_UNSPACED}]+")
 
 
 @lru_cache(2)
@@ -53,20 +60,64 @@ def _first_border(s: str) -> int:
     return m.start() if m else len(s)
 
 
+def _stable(enc, x: int, y: int) -> bool:
+    """Whether tokens x and y stand side by side in the encoding of their own bytes."""
+    return enc._encode_single_piece(enc.decode_single_token_bytes(x) + enc.decode_single_token_bytes(y)) == [x, y]
+
+
 def join(enc, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
     """The monoid's operation on (text, ids): only a window around the seam is encoded again.
 
     The window reaches from the last border of the left text to the first border of the right one. Borders split
-    the pattern's matches in any context, so ids outside the window are those of the whole text.
+    the pattern's matches in any context, so ids outside the window are those of the whole text. Where a run of letters
+    of a script without blanks crosses the seam, the window is within that run, and grows until tokens are stable.
     """
     (a, ia), (b, ib) = left, right
     if not a or not b:
         return a + b, ia + ib
+    one, two = _LAST_LETTERS.search(a, max(0, len(a) - RUN)), _FIRST_LETTERS.match(b, 0, RUN)
+    if one and two:
+        # the run may begin before what has been looked at; the tokens of its seen part follow a stable place all the same
+        drop = _tokens_of(enc, ia, len(one[0].encode()), True)
+        skip = _tokens_of(enc, ib, len(two[0].encode()), False)
+        if drop and skip:
+            done = _grown(enc, ia, ib, drop, skip)
+            if done is not None:
+                return a + b, done
     i, j = _last_border(a), _first_border(b)
     drop, skip = len(enc.encode_ordinary(a[i:])), len(enc.encode_ordinary(b[:j]))
     return a + b, ia[: len(ia) - drop] + enc.encode_ordinary(a[i:] + b[:j]) + ib[skip:]
 
 
+def _tokens_of(enc, ids: list[int], size: int, last: bool) -> int:
+    """How many whole tokens the last (or first) size bytes hold."""
+    n = total = 0
+    while n < len(ids):
+        total += len(enc.decode_single_token_bytes(ids[-1 - n] if last else ids[n]))
+        if total > size:
+            break
+        n += 1
+    return n
+
+
+def _grown(enc, left: list[int], right: list[int], drop: int, skip: int) -> list[int] | None:
+    """Both encodings joined by a window of at most drop and skip tokens around the seam; None if none of these is stable.
+
+    Beyond a window that ends where a run's seen part does, the neighbour may belong to the run too: it must be stable.
+    """
+    n = WINDOW
+    while True:
+        i, j = min(n, drop), min(n, skip)
+        new = enc._encode_single_piece(b"".join(map(enc.decode_single_token_bytes, left[len(left) - i :] + right[:j])))
+        before = i < drop and _stable(enc, left[len(left) - i - 1], new[0])
+        behind = j < skip and _stable(enc, new[-1], right[j])
+        if before and behind:
+            return left[: len(left) - i] + new + right[j:]
+        if i == drop and j == skip:
+            return None
+        n *= 2
+
+
 def encode(enc, text: str, leaf: int = LEAF) -> list[int]:
     """Ids of the text: halves are encoded recursively and joined."""
 
