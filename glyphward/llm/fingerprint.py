@@ -18,8 +18,10 @@ from .textvec import mix, pieces, shingles
 WORDS, BINS, BITS = 5, 256, 4
 #: The fingerprint of a text without words.
 EMPTY = "empty"
-#: Ranges of doc_id are this many at most, so their heads are a bounded table.
-MOST_RANGES = 10_000
+#: Rows of a range on average, and ranges at most: beyond that ranges grow, so that their cuts and heads stay a small table.
+RANGE_ROWS, MOST_RANGES = 1000, 1_000_000
+#: The order of rows: with a doc_id first, by descending doc_id (its complement), then by the text's hash.
+_ORDER = np.dtype([("none", "i1"), ("id", "<i8"), ("hash", "<i8")])
 
 
 @lru_cache(4)
@@ -84,7 +86,10 @@ def fingerprint_likeness(a: str, b: str, bits: int = BITS) -> float:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint of every document; null and empty texts, and those of white space, have EMPTY."""
+    """doc_id, fingerprint of every document; null and empty texts, and those of white space, have EMPTY.
+
+    Repeated rows have equal results; an empty table gives no rows; other columns are ignored.
+    """
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,43 +99,50 @@ def fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: in
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fingerprint string")
 
 
+def _keys(none: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), _ORDER)
+    out["none"], out["id"], out["hash"] = none, ids, hashes
+    return out
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, _range, _head) dealt so that each row and the next by descending doc_id share a range.
 
-    Ranges are cut at quantiles of doc_id. The first row of each range is added once more, marked _head, behind the
-    range before it (the last range gets the first range's). Null doc_ids come last; rows of equal doc_id are ordered
-    by their text's hash.
+    Null doc_ids come last; rows of equal doc_id, or without, are ordered by their text's hash. Ranges are cut at places
+    that a hash of doc_id and text chooses, RANGE_ROWS rows apart on average, so many rows of one doc_id are cut as well;
+    only rows that are equal in both stay together. The first row of each range is added once more, marked _head,
+    behind the range before it (the last range gets the first range's).
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
-    total = docs.select("doc_id").count()
-    n = min(MOST_RANGES, max(1, total // 1000))
-    cut = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    cuts = np.array(sorted({c for c in cut or []}), np.int64)
+    none, flipped = F.col("doc_id").isNull().cast("byte"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
+    docs = docs.select("doc_id", "text", none.alias("_none"), flipped.alias("_id"), F.xxhash64("text").alias("_hash"))
+    order = docs.select("_none", "_id", "_hash")
+    apart = max(RANGE_ROWS, order.count() // MOST_RANGES)
+    chosen = order.filter(F.pmod(F.xxhash64("_none", "_id", "_hash"), F.lit(apart)) == 0).distinct().toPandas()
+    cuts = np.sort(_keys(chosen["_none"], chosen["_id"], chosen["_hash"]))
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.full(len(ids), len(cuts), np.int32)
-        out[known] = len(cuts) - np.searchsorted(cuts, ids[known].astype("int64").to_numpy(), "left")
-        out[~known] = len(cuts)
-        return pd.Series(out)
-
-    dealt = docs.withColumn("_range", place("doc_id"))
-    heads = sorted((r["_range"], r["top"]) for r in docs.select("doc_id").withColumn("_range", place("doc_id")).groupBy("_range").agg(F.max("doc_id").alias("top")).collect())
-    follow = [(heads[i - 1][0], heads[i][1]) for i in range(len(heads))]
-    table = spark.createDataFrame(follow, "_range int, _top long")
-    copies = docs.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("_top"))).select("doc_id", "text", "_range", F.lit(True).alias("_head"))
-    rows = dealt.withColumn("_head", F.lit(False)).unionByName(copies)
-    return rows.repartition("_range").sortWithinPartitions("_range", "_head", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    def place(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, _keys(none, ids, hashes), "right").astype(np.int32))
+
+    placed = place("_none", "_id", "_hash").alias("_range")
+    tops = order.select(placed, F.struct("_none", "_id", "_hash").alias("top")).groupBy("_range").agg(F.min("top").alias("top")).collect()
+    tops = sorted((r["_range"], *r["top"]) for r in tops)
+    follow = [(tops[i - 1][0], *tops[i][1:]) for i in range(len(tops))]
+    table = spark.createDataFrame(follow, "_range int, _none byte, _id long, _hash long")
+    copies = docs.join(F.broadcast(table), ["_none", "_id", "_hash"]).withColumn("_head", F.lit(True))
+    rows = docs.withColumn("_range", placed).withColumn("_head", F.lit(False)).unionByName(copies)
+    dealt = rows.repartition("_range").sortWithinPartitions("_range", "_head", "_none", "_id", "_hash")
+    return dealt.select("doc_id", "text", "_range", "_head")
 
 
 def edit_fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and the next document's.
 
     The edited text has its last floor(n / 3) code points replaced by the first as many (or all) of the next
-    document by descending doc_id; after the last document comes the first. Null texts count as empty. Returns
+    document by descending doc_id; after the last document comes the first. Null texts count as empty, null doc_ids come
+    last, rows of one doc_id by their text's hash; an empty table gives no rows; other columns are ignored. Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ranked
+from .runtime import ranked, stash
 
 #: Points of the ring, and rows that one ranking task cell holds.
 POINTS = 1 << 14
@@ -72,7 +72,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, key: Column |
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.element_at(table, point + 1).alias("_arc"),
+        # rows that are alike in doc_id come from many places, which tell them apart
+        F.xxhash64("doc_id", F.spark_partition_id()).alias("_salt"),
     )
+    rows = stash(rows)
     counts = [0] * len(owners)
     for r in rows.groupBy("_arc").agg(F.count(F.lit(1)).alias("c")).collect():
         counts[r["_arc"]] = r["c"]
@@ -87,7 +90,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, key: Column |
             start += c
     # a hot text's arc is ranked in many cells
     cells = F.split(F.lit(",".join(str(1 + c // CELL) for c in counts)), ",").cast("array<int>")
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.element_at(cells, F.col("_arc") + 1)))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_salt"), F.element_at(cells, F.col("_arc") + 1))).drop("_salt")
     placed = ranked(rows, "_arc", "_cell", ["text_crc32", "doc_id", "size"], "_rank")
     # the plan has a row for each arc and overflow: bounded by the ring (arcs * shards), not by the data
     plan_df = docs.sparkSession.createDataFrame(plan, "_a int, _lo long, _hi long, shard int, _base long")
