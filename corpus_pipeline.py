@@ -32,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all tokens in sequences of 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, added=True)
 
 
 STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", pack)]
