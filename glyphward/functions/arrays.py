@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -42,3 +42,12 @@ def running(items: Column, state: str, after: str, element: str, kind: str) -> C
     blocks = f"if(size(xs) > 0, sequence(0, cast(floor((size(xs) - 1) / {BLOCK}) as int)), cast(array() as array<int>))"
     whole = f"xs -> flatten(aggregate({blocks}, named_struct('state', {state}, 'out', cast(array() as array<array<{kind}>>)), (acc, b) -> {join}).out)"
     return F.element_at(call("transform", F.array(items), whole), 1)
+
+
+def rows_of(df: DataFrame, structs: Column | str, mark: str, *keys: Column | str) -> DataFrame:
+    """The keys and the fields of each struct of an array, a row each; field mark is null in none of them.
+
+    A plain inline() would have the optimizer test the array's size first, which evaluates all that makes the array
+    twice, with its own parts put in wherever they are used.
+    """
+    return df.select(*keys, F.inline_outer(structs)).filter(F.col(mark).isNotNull())

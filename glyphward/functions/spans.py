@@ -22,6 +22,8 @@ _OCTET = "(?:25[0-5]|2[0-4]\\p{Nd}|1?\\p{Nd}?\\p{Nd})"
 _RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 #: Non-ASCII characters that match ASCII letters where case is ignored, and those letters.
 _CASED, _PLAIN = "\u017f\u212a\u0130\u0131", "skii"
+#: A match behind what stands before it, whose length is gap; without a match behind the last one.
+_CUT = "struct<detector:int,gap:int,m:string>"
 #: A match before any choice, with what the choice goes by first.
 _SPAN = "rank:int,less:int,start:int,seq:int,end:int,category:string,severity:string,matched:string,replacement:string,detector:string"
 #: Shapes of secrets and personal data, in the order of detection (fixed values): detector, pattern, category, severity,
@@ -77,32 +79,38 @@ def _whole_words(words) -> str | None:
 
 
 def _mentions(text: Column, words) -> Column:
-    """Whether the text may hold one of the words, in any case: a quick look without patterns."""
+    """Whether the text may hold one of the words, in any case: a quick look without patterns.
+
+    Of the characters that match ASCII letters, lower() turns only the Kelvin sign into one; texts with the others may
+    hold anything.
+    """
     own = sorted({w.translate(str.maketrans(_CASED, _PLAIN)).lower() for w in words if w})
     if not all(w.isascii() for w in own):
         return F.lit(True)
     kept = [w for w in own if not any(x != w and x in w for x in own)]
-    return bind(F.lower(F.translate(text, _CASED, _PLAIN)), lambda t: reduce(operator.or_, [t.contains(w) for w in kept]))
+    return bind(F.lower(text), lambda t: reduce(operator.or_, [t.contains(w) for w in kept])) | text.rlike(f"[{_CASED}]")
 
 
 def _cuts(text: Column, pattern: str, detector: int, gate: Column) -> Column:
     """array<struct<detector, gap, m>>: the length of what stands before each match, and the match; last, what is behind them."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     each = call("zip_with", gaps, hits, f"(g, h) -> named_struct('detector', {detector}, 'gap', char_length(g), 'm', h)")
-    return F.when(gate, each).otherwise(none("struct<detector:int,gap:int,m:string>"))
+    return F.when(gate, each).otherwise(none(_CUT))
 
 
-def _detectors(text: Column, lexicon: Lexicon) -> list[tuple[str, str, str, str, str, Column]]:
-    """name, pattern, category, severity, replacement (for words that have one each: what others get), and a quick look first."""
+def _detectors(text: Column, lexicon: Lexicon) -> list[tuple[str, str, str, str, str, Column | None]]:
+    """name, pattern, category, severity, replacement (for words that have one each: what others get), and a quick look first.
+
+    Phrases have none of their own: raw_spans() looks for all of them at once.
+    """
     literal = re.compile(r"[A-Za-z@-]+")
     out = [(name, p, cat, sev, repl, text.contains(need) if literal.fullmatch(need) else text.rlike(need)) for name, p, cat, sev, repl, need in SHAPES]
     if p := _whole_words(lexicon.profanity):
         out.append(("profanity", p, "profanity", "medium", "[removed]", _mentions(text, lexicon.profanity) & text.rlike(p)))
     if lexicon.softeners:
-        some = _mentions(text, lexicon.softeners)
         for phrase, repl in lexicon.softeners.items():
             p = f"{_first_letters([phrase])}(?iu)(?<!{_W}){re.escape(phrase)}(?!{_W})"
-            out.append(("softener", p, "hostility", "critical" if repl == "[removed]" else "high", repl, some & text.rlike(p)))
+            out.append(("softener", p, "hostility", "critical" if repl == "[removed]" else "high", repl, None))
     if p := _whole_words(lexicon.slurs):
         out.append(("slur", p, "slur", "critical", "[redacted-slur]", _mentions(text, lexicon.slurs) & text.rlike(p)))
     return out
@@ -114,7 +122,10 @@ def raw_spans(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     Lengths of matches and of what stands between them add up to offsets, for all detectors in one walk.
     """
     detectors = _detectors(text, lexicon)
-    cuts = F.flatten(F.array(*[_cuts(text, p, i, gate) for i, (_, p, _, _, _, gate) in enumerate(detectors)]))
+    own = [(_cuts(text, p, i, text.rlike(p) if gate is None else gate), gate is None) for i, (_, p, _, _, _, gate) in enumerate(detectors)]
+    phrases = F.flatten(F.array(*[c for c, phrase in own if phrase]))
+    kinds = [c for c, phrase in own if not phrase] + ([F.when(_mentions(text, lexicon.softeners), phrases).otherwise(none(_CUT))] if lexicon.softeners else [])
+    cuts = F.flatten(F.array(*kinds))
     at = "if(a.state.detector = x.detector, a.state.at, 0) + x.gap"
     after = f"named_struct('detector', x.detector, 'at', {at} + coalesce(char_length(x.m), 0))"
     element = f"named_struct('detector', x.detector, 'start', {at}, 'm', x.m)"

@@ -25,6 +25,15 @@ def _holds(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "") != text
 
 
+#: Characters other than visible ASCII, blanks and line ends; few texts need more than a look for one.
+_UNUSUAL = "[^\\t\\n\\r -~]"
+
+
+def _worth(text: Column, table) -> Column:
+    """A quick look whether any character of the table may be in the text."""
+    return text.rlike("[^ -~]" if any(c in "\t\n\r" for c in table) else _UNUSUAL)
+
+
 def _swap(text: Column, table: dict[str, str]) -> Column:
     """Each character by its value: one-to-one and deletions in one translate(), longer values in a split text."""
     one = {k: v for k, v in table.items() if len(v) == 1}
@@ -32,10 +41,10 @@ def _swap(text: Column, table: dict[str, str]) -> Column:
     long = {k: v for k, v in table.items() if len(v) > 1}
     out = F.translate(text, "".join(one) + gone, "".join(one.values())) if one or gone else text
     if not long:
-        return out
+        return F.when(_worth(text, table), out).otherwise(text)
     keys, values = "".join(long), _lookup(long, "string")
     parts = F.transform(F.split(out, ""), lambda c: F.when(_holds(c, keys), F.element_at(values, c)).otherwise(c))
-    return F.when(_holds(out, keys), F.array_join(parts, "")).otherwise(out)
+    return F.when(_worth(text, table), F.when(_holds(out, keys), F.array_join(parts, "")).otherwise(out)).otherwise(text)
 
 
 def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
@@ -62,7 +71,7 @@ def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOpti
         return bind(F.element_at(values, F.instr(F.lit(chars), x["c"])), lambda f: F.struct(x["offset"].alias("offset"), *[f[n].alias(n) for n in names]))
 
     kind = "struct<offset:int," + FINDING.removeprefix("struct<")
-    return F.coalesce(F.when(_holds(text, chars), F.transform(found, whole)), none(kind))
+    return F.coalesce(F.when(_worth(text, table), F.transform(found, whole)), none(kind))
 
 
 def clean_unicode(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import rows_of
 from ..functions.unicode import skeleton
 
 
@@ -24,17 +25,18 @@ def union_findings(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Unicode findings have offsets in the source, personal data in the text without dangerous characters.
     """
-    unicode = scanned.select(key, F.inline("unicode_findings"))
+    unicode = rows_of(scanned, "unicode_findings", "offset", key)
     unicode = unicode.select(key, F.lit("unicode").alias("kind"), F.col("offset").alias("start"), (F.col("offset") + 1).alias("end"), "category", "severity", F.col("codepoint").alias("detector"), "replacement")
-    pii = scanned.select(key, F.inline("pii_findings"))
+    pii = rows_of(scanned, "pii_findings", "start", key)
     return unicode.unionByName(pii.select(key, F.lit("pii").alias("kind"), "start", "end", "category", "severity", "detector", "replacement"))
 
 
 def findings_by(scanned: DataFrame, *keys: str) -> DataFrame:
     """Per values of the keys and category: the Unicode findings, and the rows that hold one. Rows are counted before the shuffle."""
     kinds = scanned.select(*keys, F.array_distinct(F.transform("unicode_findings", lambda x: x["category"])).alias("_k"), "unicode_findings")
-    each = kinds.select(*keys, F.explode(F.transform("_k", lambda k: F.struct(k.alias("category"), F.size(F.filter("unicode_findings", lambda x: x["category"] == k)).alias("n")))).alias("_f"))
-    return each.groupBy(*keys, F.col("_f.category").alias("category")).agg(F.sum("_f.n").alias("n_findings"), F.count(F.lit(1)).alias("n_docs"))
+    numbers = F.transform("_k", lambda k: F.struct(k.alias("category"), F.size(F.filter("unicode_findings", lambda x: x["category"] == k)).alias("_n")))
+    each = rows_of(kinds, numbers, "category", *keys)
+    return each.groupBy(*keys, "category").agg(F.sum("_n").alias("n_findings"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def ranked_by_findings(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

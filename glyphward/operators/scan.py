@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bind, call, running
+from ..functions.arrays import bind, call, rows_of, running
 from ..functions.spans import Lexicon, apply_spans, detect
 from ..functions.unicode import clean_unicode, unicode_findings
 from ..tables import LEVEL, RULES, ScanOptions
@@ -37,7 +37,7 @@ def clean(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions(
 
 def findings(df: DataFrame, key: str = "doc_id", column: str = "unicode_findings") -> DataFrame:
     """One row a finding of scan()'s result."""
-    return df.select(key, F.inline(column))
+    return rows_of(df, column, "category", key)
 
 
 def to_json() -> Column:
@@ -82,7 +82,7 @@ def sarif_results(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
     found = F.col("unicode_findings")
     rows = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col("source"), found), lambda x, r: result(order, x, r)))
-    return scanned.select(key, F.inline(rows))
+    return rows_of(scanned, rows, "rule_id", key)
 
 
 def sarif(scanned: DataFrame, key: str = "doc_id", uri: Column | None = None) -> DataFrame:

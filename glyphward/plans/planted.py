@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bidi_name, confusable_with_ascii, detect, find_bidi, is_bidi_control, is_confusable, target
+from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon
 from ..operators import clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoofs, to_json, top_findings, union_findings
+from ..sources import spread
 from ..tables import PROFANITY, SOFTENERS, ScanOptions, UnicodeScanOptions
 
 PLANTS = (
@@ -35,7 +37,7 @@ VIEW = (
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text of the view."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     plants = F.array(*map(F.lit, PLANTS))
     one, two, three = (F.element_at(plants, F.pmod(F.expr(p), F.lit(len(PLANTS))).cast("int") + 1) for p in _PICKS)
     third = F.floor(F.char_length("text") / 3).cast("int")
@@ -146,7 +148,7 @@ def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_detected(spark: SparkSession, sf_dir: str, lexicon: Lexicon = Lexicon(), where: str = "true") -> DataFrame:
     """All detectors' chosen spans in the texts as they stand."""
-    rows = planted(spark, sf_dir).select("doc_id", F.inline(detect(F.col("text"), lexicon))).filter(where)
+    rows = rows_of(planted(spark, sf_dir), detect(F.col("text"), lexicon), "start", "doc_id").filter(where)
     redacted = F.col("replacement").startswith("[") & F.col("replacement").endswith("]")
     return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "category", "severity", "matched", "replacement", "detector", redacted.alias("redacted"))
 
@@ -262,7 +264,7 @@ def q_clean(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def q_bidi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = planted(spark, sf_dir).select("doc_id", F.inline(find_bidi(F.col("text"))))
+    rows = rows_of(planted(spark, sf_dir), find_bidi(F.col("text")), "char", "doc_id")
     return rows.select("doc_id", F.col("offset").cast("long").alias("offset"), F.hex(F.encode("char", "UTF-8")).alias("bytes"))
 
 

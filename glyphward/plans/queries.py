@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_unicode, confusable_with_ascii, contains_bidi, skeleton, strip_bidi, unbalanced_bidi, unicode_findings
+from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon, raw_spans, resolve
 from ..operators import clean, sanitize, sarif_results, scan
+from ..sources import spread
 from ..tables import BIDI, PROFANITY, SOFTENERS, UnicodeScanOptions
 from . import planted
 
@@ -26,7 +28,7 @@ _DIRTY = f"WITH dirty AS (SELECT doc_id, CASE doc_id % {len(PLANTED)} {_CASES} E
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     planted = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED)).cast("int") + 1)
     return docs.select("doc_id", F.concat(planted, F.lit(" "), "text").alias("text"))
 
@@ -94,7 +96,7 @@ _FINDING = ("offset", "codepoint", "name", "category", "unicode_category", "seve
 
 
 def _long(df: DataFrame, options: UnicodeScanOptions = UnicodeScanOptions()) -> DataFrame:
-    return df.select("doc_id", F.inline(unicode_findings(F.col("text"), options))).withColumn("offset", F.col("offset").cast("long"))
+    return rows_of(df, unicode_findings(F.col("text"), options), "codepoint", "doc_id").withColumn("offset", F.col("offset").cast("long"))
 
 
 def q_unicode_findings(spark: SparkSession, sf_dir: str, where: str = "true", **off: bool) -> DataFrame:
@@ -114,7 +116,7 @@ def q_dangerous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_spans(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    rows = dirty(spark, sf_dir).select("doc_id", F.inline(resolve(raw_spans(F.col("text"), Lexicon()))))
+    rows = rows_of(dirty(spark, sf_dir), resolve(raw_spans(F.col("text"), Lexicon())), "start", "doc_id")
     return rows.filter(where).select("doc_id", "matched", "replacement")
 
 
@@ -150,7 +152,7 @@ def q_spoof_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_table_scan(spark: SparkSession, sf_dir: str, table: str = "pages", keys: tuple = ("page_id",), text: str = "html") -> DataFrame:
-    out = scan(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, text), text)
+    out = scan(spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, text)), text)
     return out.select(*keys, "dangerous", F.size(F.filter("pii_findings", lambda x: x["detector"] == "email")).cast("long").alias("n_email"))
 
 

@@ -22,3 +22,16 @@ def read_text(spark: SparkSession, *texts: str | None) -> DataFrame:
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """A column of JSON, SARIF or reports as text files."""
     df.select(F.col(column).alias("value")).write.text(path)
+
+
+#: Bytes up to which a table counts as small.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt to all cores if it is small: a small file is often one row group, which one task reads alone.
+
+    Larger tables have many row groups and stay as they are read.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
