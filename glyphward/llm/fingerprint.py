@@ -18,8 +18,10 @@ from .textvec import mix, pieces, shingles
 WORDS, BINS, BITS = 5, 256, 4
 #: The fingerprint of a text without words.
 EMPTY = "empty"
-#: Rows of a range on average, and ranges at most: beyond that ranges grow, so that their cuts and heads stay a small table.
-RANGE_ROWS, MOST_RANGES = 1000, 1_000_000
+#: Rows of a range, about, and places drawn for each cut, of which every DRAWN-th is taken, so that ranges are of like size.
+RANGE_ROWS, DRAWN = 1000, 16
+#: Places drawn at most: beyond that ranges grow, so that places, cuts and heads stay small tables.
+MOST_PLACES = 1_000_000
 #: The order of rows: with a doc_id first, by descending doc_id (its complement), then by the text's hash.
 _ORDER = np.dtype([("none", "i1"), ("id", "<i8"), ("hash", "<i8")])
 
@@ -108,8 +110,8 @@ def _keys(none: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, _range, _head) dealt so that each row and the next by descending doc_id share a range.
 
-    Null doc_ids come last; rows of equal doc_id, or without, are ordered by their text's hash. Ranges are cut at places
-    that a hash of doc_id and text chooses, RANGE_ROWS rows apart on average, so many rows of one doc_id are cut as well;
+    Null doc_ids come last; rows of equal doc_id, or without, are ordered by their text's hash. Ranges are cut between
+    places that a hash of doc_id and text draws, RANGE_ROWS rows apart or so, so many rows of one doc_id are cut as well;
     only rows that are equal in both stay together. The first row of each range is added once more, marked _head,
     behind the range before it (the last range gets the first range's).
     """
@@ -118,9 +120,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     none, flipped = F.col("doc_id").isNull().cast("byte"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
     docs = docs.select("doc_id", "text", none.alias("_none"), flipped.alias("_id"), F.xxhash64("text").alias("_hash"))
     order = docs.select("_none", "_id", "_hash")
-    apart = max(RANGE_ROWS, order.count() // MOST_RANGES)
-    chosen = order.filter(F.pmod(F.xxhash64("_none", "_id", "_hash"), F.lit(apart)) == 0).distinct().toPandas()
-    cuts = np.sort(_keys(chosen["_none"], chosen["_id"], chosen["_hash"]))
+    apart = max(1, RANGE_ROWS // DRAWN, order.count() // MOST_PLACES)
+    drawn = order.filter(F.pmod(F.xxhash64("_none", "_id", "_hash"), F.lit(apart)) == 0).distinct().toPandas()
+    cuts = np.sort(_keys(drawn["_none"], drawn["_id"], drawn["_hash"]))[DRAWN // 2 :: DRAWN]
 
     @F.pandas_udf("int")
     def place(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
