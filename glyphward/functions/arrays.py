@@ -31,7 +31,7 @@ def call(function: str, *arguments: Column | str) -> Column:
 
 
 def running(items: Column, state: str, after: str, element: str, kind: str) -> Column:
-    """array<kind> of the elements along the items; null for null items.
+    """array<kind> of the elements along the items; empty for null items.
 
     state is the first state in SQL; after and element are the next state and the element of item x in state a.state.
     """
