@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 
 from .runtime import ship, stash
 
+#: Rows of a shard, queries of a block, points of a leaf; groups of near rows at most, and sampled rows for each centre.
 SHARD, BLOCK, LEAF = 4096, 2048, 128
+GROUPS, DRAWN = 256, 4
 
 
 def build(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -93,6 +95,28 @@ def _arrays(blob: bytes) -> dict[str, np.ndarray]:
     return dict(np.load(io.BytesIO(blob)))
 
 
+def _whole(vectors: list, scale: int) -> np.ndarray:
+    return np.floor(scale * np.stack([np.asarray(x, np.float64) for x in vectors]))
+
+
+def _centres(rows: DataFrame, sizes: dict[int, int], scale: int) -> dict[int, np.ndarray]:
+    """For each vector length of more than one shard: the centres of its groups, rows drawn by a hash of vec_id.
+
+    The sample is bounded (DRAWN * GROUPS rows of a length, about); any centres give right results.
+    """
+    share = {d: min(1.0, DRAWN * min(GROUPS, -(-n // SHARD)) / n) for d, n in sizes.items() if n > SHARD}
+    if not share:
+        return {}
+    part = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) / 1e6
+    few = rows.filter(F.col("dim").isin(*share)).filter(draw <= F.try_element_at(part, F.col("dim"))).select("dim", "embedding").distinct()
+    most = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("embedding")))
+    out: dict[int, list] = {}
+    for r in few.withColumn("r", most).filter(F.col("r") <= GROUPS).collect():
+        out.setdefault(r["dim"], []).append((r["r"], r["embedding"]))
+    return {d: _whole([v for _, v in sorted(x)[: -(-sizes[d] // SHARD)]], scale) for d, x in out.items()}
+
+
 def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row where the SQL condition is_query holds.
 
@@ -100,54 +124,89 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
 
     Components become floor(scale * x). Vectors that are null or empty, or hold null or non-finite components, take
     no part, nor do null vec_ids; vectors are compared with those of their own length. Rows that share a vec_id are
-    separate candidates, none of them for a query of that id. Shards (SHARD rows on average) and blocks of queries
-    (BLOCK rows) are bounded; every block meets every shard. First each block searches one shard; its kth scores
-    then go with the block to all shards.
+    separate candidates, none of them for a query of that id. An empty table gives no rows; other columns are ignored.
+
+    Rows are dealt to the nearest of a bounded number of centres; a group's rows, however alike, go to shards of SHARD
+    rows on average, its queries to blocks of BLOCK rows. A block first searches the shards of its own group. Its kth scores
+    then rule out all groups whose ball holds nothing better for any query of the block, before any shard is sent to it;
+    in the shards of the others they are the floor of branch and bound.
     """
     spark = vectors.sparkSession
     ship(spark)
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "embedding", F.size("embedding").alias("dim"), F.expr(is_query).alias("q"))
-    sizes = {r["dim"]: (r["n"], r["nq"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("nq")).collect()}
-    shards = max([1, *(-(-n // SHARD) for n, _ in sizes.values())])
-    blocks = max([1, *(-(-(q or 0) // BLOCK) for _, q in sizes.values())])
-
-    def whole(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return pdf["vec_id"].to_numpy(np.int64), np.floor(scale * np.stack([np.asarray(x, np.float64) for x in pdf["embedding"]]))
+    rows = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"))
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    centres = _centres(rows, sizes, scale)
+    own_centres = spark.sparkContext.broadcast(centres)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row's group, its distance from the centre, and a number that tells rows of the task apart."""
+        count = 0
+        for pdf in batches:
+            group, away = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+            for dim in pdf["dim"].unique():
+                at = np.flatnonzero(pdf["dim"].to_numpy() == dim)
+                points = _whole(pdf["embedding"].iloc[at].to_list(), scale)
+                c = own_centres.value.get(int(dim), np.zeros((1, int(dim))))
+                near = (points @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+                group[at], away[at] = near, np.sqrt(((points - c[near]) ** 2).sum(axis=1))
+            salt = count + np.arange(len(pdf))
+            count += len(pdf)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "dim": pdf["dim"], "q": pdf["q"], "grp": group, "away": away, "salt": salt})
+
+    dealt = stash(rows.mapInPandas(deal, "vec_id long, embedding array<double>, dim int, q boolean, grp int, away double, salt long"))
+    groups = dealt.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max("away").alias("r")).collect()
+    balls: dict[int, list] = {}
+    for g in groups:
+        c = centres.get(g["dim"], np.zeros((1, g["dim"])))[g["grp"]]
+        balls.setdefault(g["dim"], []).append((g["grp"], c, g["r"] * (1 + 1e-9)))
+    own_balls = spark.sparkContext.broadcast({d: (np.array([g for g, _, _ in x]), np.stack([c for _, c, _ in x]), np.array([r for _, _, r in x])) for d, x in balls.items()})
+    schema = "dim int, grp int, shards int, blocks int"
+    table = spark.createDataFrame([(g["dim"], g["grp"], -(-g["n"] // SHARD), -(-(g["nq"] or 0) // BLOCK)) for g in groups], schema)
+    placed = dealt.drop("away").join(F.broadcast(table), ["dim", "grp"])
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [pdf["dim"][0]], "shard": [pdf["shard"][0]], "tree": [_blob(**build(*whole(pdf)))]})
+        tree = build(pdf["vec_id"].to_numpy(np.int64), _whole(pdf["embedding"].to_list(), scale))
+        return pd.DataFrame({"dim": [pdf["dim"][0]], "grp": [pdf["grp"][0]], "tree": [_blob(**tree)]})
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, points = whole(pdf)
-        return pd.DataFrame({"dim": [pdf["dim"][0]], "block": [pdf["block"][0]], "asks": [_blob(ids=ids, points=points, row=np.arange(len(ids)), floor=np.full(len(ids), -np.inf))]})
-
-    trees = stash(
-        rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary")
-    )
-    asks = rows.filter("q").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(bundle, "dim int, block int, asks binary")
+        asks = _blob(ids=pdf["vec_id"].to_numpy(np.int64), points=_whole(pdf["embedding"].to_list(), scale), floor=np.full(len(pdf), -np.inf))
+        return pd.DataFrame({"dim": [pdf["dim"][0]], "grp": [pdf["grp"][0]], "block": [pdf["block"][0]], "asks": [asks]})
 
-    def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for tree, blob in zip(pdf["tree"], pdf["asks"], strict=True):
-                a = _arrays(blob)
-                if tree is not None:
-                    a["floor"] = search(_arrays(tree), a["ids"], a["points"], a["floor"], k)[0][:, -1]
-                out.append(_blob(**a))
-            yield pd.DataFrame({"dim": pdf["dim"], "block": pdf["block"], "asks": out})
+    spot = F.xxhash64("salt", "vec_id")
+    trees = stash(placed.withColumn("shard", F.pmod(spot, F.col("shards")).cast("int")).groupBy("dim", "grp", "shard").applyInPandas(plant, "dim int, grp int, tree binary"))
+    asks = placed.filter("q").withColumn("block", F.pmod(spot, F.col("blocks")).cast("int")).groupBy("dim", "grp", "block").applyInPandas(bundle, "dim int, grp int, block int, asks binary")
+    asks = stash(asks.withColumnRenamed("grp", "home"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, tree, blob in zip(pdf["dim"], pdf["tree"], pdf["asks"], strict=True):
+            for dim, home, block, tree, blob in zip(pdf["dim"], pdf["home"], pdf["block"], pdf["tree"], pdf["asks"], strict=True):
                 a = _arrays(blob)
                 score, ids = search(_arrays(tree), a["ids"], a["points"], a["floor"], k)
                 hit = np.isfinite(score)
-                yield pd.DataFrame({"query_id": np.repeat(a["ids"], hit.sum(axis=1)), "dim": dim, "row": np.repeat(a["row"], hit.sum(axis=1)), "vec_id": ids[hit], "score": score[hit].astype(np.int64)})
-
-    seeded = stash(asks.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(trees, ["dim", "shard"], "left").mapInPandas(seed, "dim int, block int, asks binary"))
-    pairs = seeded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
-    found = pairs.mapInPandas(find, "query_id long, dim int, row long, vec_id long, score long")
-    # a query's id and length give its block, and row its place there
-    rank = F.row_number().over(Window.partitionBy("query_id", "dim", "row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                n = hit.sum(axis=1)
+                yield pd.DataFrame({"query_id": np.repeat(a["ids"], n), "dim": dim, "home": home, "block": block, "row": np.repeat(np.arange(len(n)), n), "vec_id": ids[hit], "score": score[hit].astype(np.int64)})
+
+    def better(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks with their queries' kth scores as floors, once for each other group that may hold something as good."""
+        for pdf in batches:
+            for dim, home, block, blob, row, kth in zip(pdf["dim"], pdf["home"], pdf["block"], pdf["asks"], pdf["rows"], pdf["kths"], strict=True):
+                a = _arrays(blob)
+                if row is not None:
+                    a["floor"][np.asarray(row, np.int64)] = kth
+                group, centre, radius = own_balls.value[int(dim)]
+                reach = a["points"] @ centre.T + np.sqrt((a["points"] ** 2).sum(axis=1))[:, None] * radius
+                some = (reach + 1e-9 * np.abs(reach) + 1e-6 >= a["floor"][:, None]).any(axis=0) & (group != home)
+                full = _blob(**a)
+                for g in group[some]:
+                    yield pd.DataFrame({"dim": [dim], "home": [home], "block": [block], "grp": [g], "asks": [full]})
+
+    hits = "query_id long, dim int, home int, block int, row long, vec_id long, score long"
+    query = Window.partitionBy("dim", "home", "block", "row").orderBy(F.desc("score"), "vec_id")
+    first = stash(asks.withColumn("grp", F.col("home")).join(trees, ["dim", "grp"]).mapInPandas(find, hits).withColumn("rank", F.row_number().over(query)).filter(F.col("rank") <= k))
+    floors = first.filter(F.col("rank") == k).groupBy("dim", "home", "block").agg(F.collect_list(F.struct("row", "score")).alias("f"))
+    floors = floors.select("dim", "home", "block", F.col("f.row").alias("rows"), F.col("f.score").alias("kths"))
+    wanted = asks.join(floors, ["dim", "home", "block"], "left").select("dim", "home", "block", "asks", "rows", "kths").mapInPandas(better, "dim int, home int, block int, grp int, asks binary")
+    other = wanted.join(trees, ["dim", "grp"]).mapInPandas(find, hits)
+    found = first.drop("rank").unionByName(other)
+    return found.withColumn("rank", F.row_number().over(query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

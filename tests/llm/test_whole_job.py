@@ -97,3 +97,22 @@ def test_evenly():
     assert langid.evenly([b"aaaa", b"b", b"cccccc"], 20) == b"aaaabcccccc"
     assert langid.evenly([b"aaaa", b"b", b"cccccc"], 7) == b"aaabccc"
     assert langid.evenly([], 7) == b""
+
+
+def test_top_k_over_many_groups(spark, monkeypatch):
+    """Small shards and blocks, so that groups are many: clustered vectors, copies of one vector under one id, ties."""
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    draw = np.random.default_rng(13)
+    centres = draw.normal(size=(12, 6)) * 3
+    data = [(i, (centres[i % 12] + draw.normal(size=6) * 0.2).tolist()) for i in range(900)]
+    data += [(5000, [0.25] * 6)] * 300 + [(6000 + i, [1.0] * 6) for i in range(50)] + [(100 + i, [0.5, 0.25]) for i in range(0, 200, 10)]
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in data]
+    want = Counter()
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), i) for i, x in whole if i != q and len(x) == len(v))[:5]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    out = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df, "vec_id % 50 = 0", 5)))
+    assert out == want
