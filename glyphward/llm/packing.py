@@ -286,36 +286,49 @@ def layout(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 def pack(parts: DataFrame, width: int, grain: int = 16) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...) of 1 to width ids.
 
-    Lengths are counted in classes of grain ids, so the histogram has width / grain entries at most however many
-    rows there are; it alone goes to the driver. Pieces of a class are ranked by a bounded-cell rank and take the
-    places of the patterns in order. Identical rows are interchangeable; an empty table gives no rows.
+    Lengths are counted in classes of grain ids, so the histogram has width / grain + grain entries at most however many
+    rows there are; it alone goes to the driver. As many pieces of one short length (half a grain or less) as fit share a
+    place of one grain. Pieces of a class are ranked by a bounded-cell rank and take the places of the patterns in order.
+    Identical rows are interchangeable; an empty table gives no rows.
     """
     spark = parts.sparkSession
-    parts = parts.withColumn("_class", F.ceil(F.col("length") / grain).cast("int"))
+    # a short length is a class of its own, marked by its sign
+    own_class = F.when(F.col("length") <= grain // 2, -F.col("length")).otherwise(F.ceil(F.col("length") / grain))
+    parts = parts.withColumn("_class", own_class.cast("int"))
     histogram = {r["_class"]: r["n"] for r in parts.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = layout(cutting_stock(histogram, width // grain))
+    demand = {c: n for c, n in histogram.items() if c > 0}
+    first: dict[int, int] = {}  # of the places of one grain, the first that a short length takes
+    for c in sorted(c for c in histogram if c < 0):
+        first[c] = demand.get(1, 0)
+        demand[1] = first[c] - histogram[c] // -(grain // -c)
+    places = layout(cutting_stock(demand, width // grain))
     cells = max(1, sum(histogram.values()) // 5000)
     keys = [c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in parts.columns]
     rows = ranked(parts.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells))), "_class", "_cell", keys, "_rank").drop("_cell")
-    own = spark.sparkContext.broadcast(places)
+    own = spark.sparkContext.broadcast((places, first))
     names = [f.name for f in parts.schema.fields if f.name != "_class"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, starts = own.value
         for b in batches:
             size, rank = np.asarray(b.column("_class")), np.asarray(b.column("_rank"))
-            sequence, slot = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            sequence, slot, inside = (np.zeros(len(size), np.int64) for _ in range(3))
             for s in np.unique(size):
                 here = size == s
-                table = own.value[int(s)]
-                row = table[np.searchsorted(table[:, 0], rank[here], "right") - 1]
-                over = rank[here] - row[:, 0]
+                place = rank[here]
+                if s < 0:
+                    together = grain // -int(s)
+                    inside[here], place = place % together, starts[int(s)] + place // together
+                table = tables[max(1, int(s))]
+                row = table[np.searchsorted(table[:, 0], place, "right") - 1]
+                over = place - row[:, 0]
                 sequence[here], slot[here] = row[:, 2] + over // row[:, 1], row[:, 3] + over % row[:, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(slot)], [*names, "sequence_id", "_slot"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(slot), pa.array(inside)], [*names, "sequence_id", "_slot", "_inside"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields if f.name != "_class")
-    placed = rows.mapInArrow(work, f"{fields}, sequence_id long, _slot long")
-    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("_slot")
+    placed = rows.mapInArrow(work, f"{fields}, sequence_id long, _slot long, _inside long")
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_slot", "_inside").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("_slot", "_inside")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048, grain: int = 16, keep_ids: bool = False, added: bool = False) -> DataFrame:

@@ -47,6 +47,23 @@ def test_packing_pads_little(spark):
     assert total >= 0.97 * 2048 * sequences
 
 
+def test_short_pieces_share_places(spark):
+    """Thousands of empty and tiny texts fill few sequences, each id in its place once."""
+    docs = [(i, "") for i in range(5000)] + [(10_000 + i, "a b c d e f g h i j k l m n o p"[: 2 * (i % 9)]) for i in range(900)]
+    out = rows(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), JSON))
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+    total = sum(r["length"] for r in out)
+    assert len(out) == len(docs) and len(by) <= 1.2 * total / 2048 + 1
+
+
 def test_memo_survives_many_segments(monkeypatch):
     """A worker's memo that starts afresh gives the same ids."""
     from tokenizers import Tokenizer
