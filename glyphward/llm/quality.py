@@ -122,26 +122,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on about sample rows of each label (columns doc_id, quality), chosen by a hash of doc_id.
 
     Null and other labels are left out. The sample's ids (2 * sample or so) are broadcast; its features are collected.
+    Equal rows teach once. Only if the ids or their rows are far more than the draw should give are some left out.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
     count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     share = F.when(F.col("quality") == 1, F.lit(min(1.0, sample / count.get(1, 1)))).otherwise(F.lit(min(1.0, sample / count.get(0, 1))))
-    picked = known.filter(draw <= share).select(F.col("doc_id").alias("_id"), "quality").limit(3 * sample)
+    picked = known.filter(draw <= share).select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(3 * sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "quality").mapInArrow(work, "quality int, x array<double>").limit(4 * sample).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "quality").distinct().mapInArrow(work, "quality int, x array<double>").limit(4 * sample).toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_FEATURES))
     return fit(x, rows["quality"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted for every document; null texts count as empty; repeated rows have equal results."""
+    """doc_id, score, predicted for every document; null texts count as empty; repeated rows have equal results.
+
+    Null doc_ids are scored like others; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
     ship(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model)
 
