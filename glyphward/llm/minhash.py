@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -243,6 +245,32 @@ def _shared(sketched: DataFrame, classes: DataFrame, hot_bar: int, scratch: Scra
     return scratch.stash(found), hot
 
 
+def _drawn(turn: int, *more: str) -> Column:
+    """What the hub of a band in that turn has least of all its classes: a hash of the class."""
+    return F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", *more)
+
+
+def _unsettled(own: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, n, c, out: classes (key, id, n, c) of bands which, but for the hubs of all turns, are in different components.
+
+    out: in another component than a drawn class of the band, so of two classes apart one is out at least. Hot bands
+    are pre-aggregated, the others looked at where their rows meet.
+    """
+    hubs = [F.min(_drawn(turn)) for turn in range(STARS)]
+    no_hub = reduce(operator.and_, [F.col("id") != F.col(f"hub{turn}.id") for turn in range(STARS)])
+    ends = {"lo": F.min("c"), "hi": F.max("c"), "ref": F.min(_drawn(STARS, "c"))}
+    band = Window.partitionBy("key")
+    light = own.join(F.broadcast(hot), "key", "left_anti").select("*", *[h.over(band).alias(f"hub{t}") for t, h in enumerate(hubs)]).filter(no_hub)
+    open_ = light.select("id", "n", "c", *[x.over(band).alias(n) for n, x in ends.items()]).filter("lo <> hi")
+    if not hot.isEmpty():
+        rows = scratch.stash(own.join(F.broadcast(hot), "key", "left_semi"))
+        rows = rows.join(F.broadcast(rows.groupBy("key").agg(*[h.alias(f"hub{t}") for t, h in enumerate(hubs)])), "key").filter(no_hub).select("key", "id", "n", "c")
+        apart = rows.groupBy("key").agg(*[x.alias(n) for n, x in ends.items()]).filter("lo <> hi")
+        open_ = open_.unionByName(rows.join(F.broadcast(apart), "key").select("id", "n", "c", *ends))
+    out = open_.withColumn("out", F.col("c") != F.col("ref.c"))
+    return out.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("out").alias("out"))
+
+
 def _classes(known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(n_shingles, f1, f2, size, rep: the least doc_id, id; links between classes of one document, if any has several).
 
@@ -293,23 +321,23 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, n_bands: int, rows:
     tests = scratch.stash(shared.filter((F.col("id") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     verified = scratch.stash(_verified(tests, sets, percent, bins, scratch))
     links = scratch.stash(verified.unionByName(links)) if links is not None else verified
-    # rest: classes that have not yet been held against all others of the band
-    rest = shared.filter(F.col("id") != F.col("lead")).select("key", "id", "n").distinct()
+    # rest: classes that have not been held against all others of the band as its least class
+    rest = scratch.stash(shared.filter(F.col("id") != F.col("lead")).select("key", "id", "n").distinct())
     found = scratch.stash(components(links, scratch))
     for turn in range(STARS + 1):
-        own = rest.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "c")).alias("hub")
-        open_ = scratch.stash(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo <> hi").select("key", "hub"))
-        if open_.isEmpty():
-            break
-        rest = scratch.stash(heavy_join(scratch.stash(own), open_, "key", hot_keys))
-        if turn == STARS:
-            out = rest.withColumn("out", F.col("c") != F.col("hub.c"))
-            left = out.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("out").alias("out"))
-            tries = _overlapping(scratch.stash(left), sets, percent, scratch)
+        own = scratch.stash(rest.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+        if turn < STARS:
+            hub = F.min(_drawn(turn, "n", "c")).alias("hub")
+            open_ = scratch.stash(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo <> hi").select("key", "hub"))
+            if open_.isEmpty():
+                break
+            apart = heavy_join(own, open_, "key", hot_keys).filter((F.col("c") != F.col("hub.c")) & alike(F.col("n"), F.col("hub.n")))
+            tries = apart.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            tries = rest.filter((F.col("c") != F.col("hub.c")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            rest = rest.filter(F.col("id") != F.col("hub.id")).select("key", "id", "n")
+            left = scratch.stash(_unsettled(own, hot_keys, scratch))
+            if left.isEmpty():
+                break
+            tries = _overlapping(left, sets, percent, scratch)
         backwards = tests.select(F.col("b").alias("a"), F.col("a").alias("b"))
         tries = scratch.stash(tries.join(tests.unionByName(backwards), ["a", "b"], "left_anti"))
         if tries.isEmpty():
