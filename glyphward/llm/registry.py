@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, minhash, packing, pii, quality, sharding, topk, warc
+from . import align, bpe, fingerprint, langid, minhash, mixing, packing, pii, quality, sharding, topk, warc, whiten
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", _held(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_warc, op3_packing, op4_language, op5_sharding, op6_bpe, op7_pii, op8_topk, op9_fingerprints, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(align.align(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _docs(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    return mixing.digest(mixing.mix(sizes, F.col("words")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_warc, op3_packing, op4_language, op5_sharding, op6_bpe, op7_pii, op8_topk, op9_fingerprints, op10_quality, op11_alignment, op12_mixing, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op12_mixing": mixing.SQL}
