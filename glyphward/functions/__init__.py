@@ -8,6 +8,7 @@ from .unicode import (
     find_bidi,
     is_bidi_control,
     is_confusable,
+    is_dangerous,
     skeleton,
     strip_bidi,
     target,
@@ -17,5 +18,5 @@ from .unicode import (
 
 __all__ = [
     "apply_spans", "bidi_name", "clean_unicode", "confusable_with_ascii", "contains_bidi", "detect", "find_bidi", "is_bidi_control",
-    "is_confusable", "register", "resolve", "skeleton", "strip_bidi", "target", "unbalanced_bidi", "unicode_findings",
+    "is_confusable", "is_dangerous", "register", "resolve", "skeleton", "strip_bidi", "target", "unbalanced_bidi", "unicode_findings",
 ]

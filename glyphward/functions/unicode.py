@@ -14,6 +14,8 @@ from .arrays import bind, call, none, running
 
 FINDING = "struct<char:string,codepoint:string,name:string,category:string,unicode_category:string,severity:string,action:string,replacement:string,detail:string>"
 _BIDI = "".join(map(chr, BIDI))
+#: Kinds of findings that make a text dangerous; look-alikes alone do not.
+DANGEROUS = ("bidi", "zero_width", "invisible", "control")
 
 
 def _lookup(table: dict, value_type: str) -> Column:
@@ -71,7 +73,13 @@ def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOpti
         return bind(F.element_at(values, F.instr(F.lit(chars), x["c"])), lambda f: F.struct(x["offset"].alias("offset"), *[f[n].alias(n) for n in names]))
 
     kind = "struct<offset:int," + FINDING.removeprefix("struct<")
-    return F.coalesce(F.when(_worth(text, table), F.transform(found, whole)), none(kind))
+    return F.coalesce(F.when(_worth(text, table) & _holds(text, chars), F.transform(found, whole)), none(kind))
+
+
+def is_dangerous(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
+    """Whether the text holds a flagged character that is no look-alike: a look alone, no findings are made. Null texts hold none."""
+    table = {c: f for c, f in flagged(options).items() if f["category"] in DANGEROUS}
+    return F.coalesce(_worth(text, table) & _holds(text, "".join(table)), F.lit(False)) if table else F.lit(False)
 
 
 def clean_unicode(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions.spans import Lexicon
 from .operators import render_scan, sanitize, scan, to_json
@@ -83,6 +84,10 @@ class Report:
     def summary(self) -> str:
         return self.text
 
+    def to_dict(self) -> dict:
+        """All fields as plain values; findings with what they matched."""
+        return {n: getattr(self, n) for n in ("provider", "score", "acceptable", "threshold", "blocked_by", "counts")} | {"findings": [asdict(f) for f in self.findings]}
+
 
 @dataclass(frozen=True)
 class Result:
@@ -91,9 +96,12 @@ class Result:
     clean: str
     report: Report
 
+    def to_dict(self) -> dict:
+        return {"clean": self.clean, "report": self.report.to_dict()}
+
 
 def scan_text(spark: SparkSession, text: str, options: ScanOptions = ScanOptions()) -> ScanResult:
-    row = scan(read_text(spark, text), options=options).withColumn("json", to_json()).withColumn("report", render_scan()).first().asDict(recursive=True)
+    row = scan(read_text(spark, text), options=options).withColumn("source", F.col("text")).withColumn("json", to_json()).withColumn("report", render_scan()).first().asDict(recursive=True)
     row["unicode_findings"] = [UFinding(**f) for f in row["unicode_findings"]]
     row["pii_findings"] = [Finding(**f) for f in row["pii_findings"]]
     return ScanResult(**{k: row[k] for k in ScanResult.__dataclass_fields__})

@@ -6,29 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import rows_of
+from ..functions.arrays import call, rows_of
 from ..functions.unicode import skeleton
+from ..sources import settled
 
 
-def quarantine(docs: DataFrame, scanned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key a dangerous row of scanned has."""
-    return docs.join(scanned.filter("dangerous").select(key), key, "left_semi")
+def quarantine(docs: DataFrame, scanned: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """The dangerous rows: of docs itself, scan()'s result, or, where scanned is another table, those that share their key with a dangerous row of it.
+
+    Keys are compared null-safe: rows without a key are those of scanned without one.
+    """
+    if scanned is None or scanned is docs:
+        return docs.filter("dangerous")
+    return docs.join(_bad(scanned, key), docs[key].eqNullSafe(F.col("_bad")), "left_semi")
+
+
+def clean_corpus(docs: DataFrame, scanned: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """The rows that quarantine() does not give: where any row of a key is dangerous, be the key null, none of them is left."""
+    if scanned is None or scanned is docs:
+        return docs.filter(~F.col("dangerous"))
+    return docs.join(_bad(scanned, key), docs[key].eqNullSafe(F.col("_bad")), "left_anti")
 
 
-def clean_corpus(docs: DataFrame, scanned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key no dangerous row of scanned has; rows with a null key stay."""
-    return docs.join(scanned.filter("dangerous").select(key), key, "left_anti")
+def _bad(scanned: DataFrame, key: str) -> DataFrame:
+    """The keys of dangerous rows, each once, so that a key of many rows is one on its side of the join."""
+    return scanned.filter("dangerous").select(F.col(key).alias("_bad")).distinct()
 
 
 def union_findings(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a finding of either kind: key, kind, start, end, category, severity, detector, replacement.
 
-    Unicode findings have offsets in the source, personal data in the text without dangerous characters.
+    Unicode findings have offsets in the source, personal data in the text without dangerous characters. Both kinds of a row
+    come from one array, so the table is read, and each text searched, once.
     """
-    unicode = rows_of(scanned, "unicode_findings", "offset", key)
-    unicode = unicode.select(key, F.lit("unicode").alias("kind"), F.col("offset").alias("start"), (F.col("offset") + 1).alias("end"), "category", "severity", F.col("codepoint").alias("detector"), "replacement")
-    pii = rows_of(scanned, "pii_findings", "start", key)
-    return unicode.unionByName(pii.select(key, F.lit("pii").alias("kind"), "start", "end", "category", "severity", "detector", "replacement"))
+    unicode = call("transform", "unicode_findings", "x -> named_struct('kind', 'unicode', 'start', x.offset, 'end', x.offset + 1, 'category', x.category, 'severity', x.severity, 'detector', x.codepoint, 'replacement', x.replacement)")
+    pii = call("transform", "pii_findings", "x -> named_struct('kind', 'pii', 'start', x.start, 'end', x.end, 'category', x.category, 'severity', x.severity, 'detector', x.detector, 'replacement', x.replacement)")
+    return rows_of(scanned, F.concat(unicode, pii), "kind", key)
 
 
 def findings_by(scanned: DataFrame, *keys: str) -> DataFrame:
@@ -42,9 +55,10 @@ def findings_by(scanned: DataFrame, *keys: str) -> DataFrame:
 def ranked_by_findings(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_findings, rank: rows by their number of findings, most first; equal numbers share a rank.
 
-    Only the different numbers, of which there are few, are put in order in one task; their ranks are joined back.
+    Numbers are written once, as they are needed twice. Only the different numbers, of which there are few, are put in order
+    in one task; their ranks are joined back.
     """
-    counted = scanned.select(key, (F.size("unicode_findings") + F.size("pii_findings")).cast("long").alias("n_findings"))
+    counted = settled(scanned.select(key, (F.size("unicode_findings") + F.size("pii_findings")).cast("long").alias("n_findings")))
     sizes = counted.groupBy("n_findings").agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(Window.orderBy(F.desc("n_findings")).rowsBetween(Window.unboundedPreceding, -1))
     ranks = sizes.select("n_findings", (F.coalesce(before, F.lit(0)) + 1).alias("rank"))
@@ -57,6 +71,60 @@ def top_findings(scanned: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return counted.orderBy(F.desc("n_findings"), key).limit(k)
 
 
+#: A key that one in so many rows has, or more, is met where its rows stand: at most so many keys are broadcast.
+HOT = 1000
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> DataFrame:
+    """Inner join with facts: one row a key, column weight being how many rows have it. No task gets all rows of a hot key.
+
+    Hot keys are known from the weights, and there are at most HOT of them; their facts are broadcast.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    bar = max(total / HOT, 1)
+    hot, rest = facts.filter(F.col(weight) >= bar), facts.filter(F.col(weight) < bar)
+    few = F.broadcast(hot.select(F.col(on).alias("_hot")))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(few, rows[on] == F.col("_hot"), "left_anti").join(rest, on))
+
+
+def _words(docs: DataFrame, text: str, *keys: str) -> DataFrame:
+    """The different words of each row's whole text, split at blanks."""
+    return docs.select(*keys, F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), " "))).alias("word"))
+
+
+def _spoof_words(docs: DataFrame, text: str) -> DataFrame:
+    """word, n_docs, skeleton, representative, n_words, group_docs of each word that looks like another.
+
+    Words are counted before they are shuffled, and a group's representative and sizes come from partial sums, so a skeleton
+    may have any share of the words. Written once.
+    """
+    words = _words(docs, text).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
+    words = settled(words.withColumn("skeleton", skeleton(F.col("word"))))
+    least = F.min(F.struct(F.col("word").rlike("[^\\x00-\\x7F]"), "word"))["word"]
+    groups = words.groupBy("skeleton").agg(least.alias("representative"), F.count(F.lit(1)).alias("n_words"), F.sum("n_docs").alias("group_docs"))
+    return settled(_with_facts(words, settled(groups.filter("n_words > 1")), "skeleton", "n_words"))
+
+
+def spoof_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """skeleton, representative, word, n_docs, n_links: each word that looks like others, with the one that stands for them all.
+
+    Words of whole texts, split at blanks, that differ but have one skeleton are all linked with each other. Rather than all
+    pairs, a word has its representative (the least ASCII word of its group, else the least; the representative's own row is
+    among them), the rows that hold it (n_docs) and the number of words that it is linked with (n_links). Null texts have no words.
+    """
+    return _spoof_words(docs, text).select("skeleton", "representative", "word", "n_docs", (F.col("n_words") - 1).alias("n_links"))
+
+
+def spoof_members(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, word, skeleton, representative, n_links: a row for each row of docs and each of its words that looks like another word.
+
+    Membership in two levels: words belong to a skeleton's representative, rows to words. A word or skeleton that
+    many rows have is met where they stand. Rows without a key and repeated rows have rows of their own.
+    """
+    facts = _spoof_words(docs, text)
+    return _with_facts(_words(docs, text, key), facts, "word", "n_docs").select(key, "word", "skeleton", "representative", (F.col("n_words") - 1).alias("n_links"))
+
+
 def spoofs(docs: DataFrame, text: str = "text") -> DataFrame:
     """skeleton, n: words of whole texts, split at blanks, that differ but look alike, and how many there are of them."""
     words = docs.select(F.explode(F.split(text, " ")).alias("word")).distinct()

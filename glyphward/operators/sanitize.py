@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import _SPACE, Lexicon, apply_spans, detect
 from ..tables import OTHER_WEIGHT, WEIGHTS
+from .scan import free
 
 
 @dataclass(frozen=True)
@@ -39,28 +40,42 @@ def _safe_sentences(text: Column, lexicon: Lexicon, policy: Policy) -> Column:
     return F.regexp_replace(F.array_join(kept, " "), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def sanitize(df: DataFrame, text: str = "text", provider: str = "generic", lexicon: Lexicon | None = None, aggressive: bool = False) -> DataFrame:
-    """df with clean, score, acceptable, threshold, blocked_by, counts, findings, summary.
+#: What sanitize() adds, behind its prefix.
+ADDED = ("clean", "score", "acceptable", "threshold", "blocked_by", "counts", "findings", "summary")
+
+
+def sanitize(df: DataFrame, text: str = "text", provider: str = "generic", lexicon: Lexicon | None = None, aggressive: bool = False, prefix: str = "") -> DataFrame:
+    """df, all its columns as they are, with clean, score, acceptable, threshold, blocked_by, counts, findings, summary, each name behind the prefix.
+
+    A table that has one of them is a ValueError; a prefix avoids it. A null text has a null clean text and no findings.
 
     Findings and score are of the original text; with aggressive, sentences with a blocking finding are dropped
     before the rest is softened and redacted.
     """
-    lexicon, policy = lexicon or Lexicon(), get_policy(provider)
-    out = df.withColumn("findings", detect(F.col(text), lexicon))
+    free(df, [prefix + n for n in ADDED])
+    own = "_glyphward_"
+    given = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{text}`").alias(f"{own}text"))
+    out = _sanitized(given, own, lexicon or Lexicon(), get_policy(provider), aggressive)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(own + n).alias(prefix + n) for n in ADDED])
+
+
+def _sanitized(df: DataFrame, own: str, lexicon: Lexicon, policy: Policy, aggressive: bool) -> DataFrame:
+    text, found, score, blocked_by, acceptable = (F.col(own + n) for n in ("text", "findings", "score", "blocked_by", "acceptable"))
+    out = df.withColumn(f"{own}findings", detect(text, lexicon))
     if aggressive:
-        out = out.withColumn("_rest", _safe_sentences(F.col(text), lexicon, policy)).withColumn("_spans", detect(F.col("_rest"), lexicon))
-        out = out.withColumn("clean", apply_spans(F.col("_rest"), F.col("_spans"), keep_case=True)).drop("_rest", "_spans")
+        out = out.withColumn(f"{own}rest", _safe_sentences(text, lexicon, policy)).withColumn(f"{own}spans", detect(F.col(f"{own}rest"), lexicon))
+        out = out.withColumn(f"{own}clean", apply_spans(F.col(f"{own}rest"), F.col(f"{own}spans"), keep_case=True))
     else:
-        out = out.withColumn("clean", apply_spans(F.col(text), F.col("findings"), keep_case=True))
-    kinds = F.transform("findings", lambda x: x["category"])
+        out = out.withColumn(f"{own}clean", apply_spans(text, found, keep_case=True))
+    kinds = F.transform(found, lambda x: x["category"])
     weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     lost = F.aggregate(kinds, F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at(weights, k), F.lit(OTHER_WEIGHT)))
-    out = out.withColumn("score", F.greatest(F.lit(0), 100 - lost)).withColumn("threshold", F.lit(policy.threshold))
-    out = out.withColumn("blocked_by", F.array_sort(F.array_distinct(F.filter(kinds, lambda k: k.isin(*policy.blocking)))))
-    out = out.withColumn("acceptable", (F.size("blocked_by") == 0) & (F.col("score") >= policy.threshold))
-    out = out.withColumn("counts", F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k))))))
-    verdict = F.when(F.col("acceptable"), "ACCEPTABLE").otherwise("NOT ACCEPTABLE")
-    listed = F.array_join(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
-    blocked = F.when(F.size("blocked_by") > 0, F.concat(F.lit("  blocked by: "), F.array_join("blocked_by", ", ")))
-    lines = [F.format_string(f"[{policy.name}] %s  score=%d/100 (threshold {policy.threshold})", verdict, "score"), blocked, F.concat(F.lit("  findings: "), F.when(listed != "", listed).otherwise("none"))]
-    return out.withColumn("summary", F.concat_ws("\n", *lines))
+    out = out.withColumn(f"{own}score", F.greatest(F.lit(0), 100 - lost)).withColumn(f"{own}threshold", F.lit(policy.threshold))
+    out = out.withColumn(f"{own}blocked_by", F.array_sort(F.array_distinct(F.filter(kinds, lambda k: k.isin(*policy.blocking)))))
+    out = out.withColumn(f"{own}acceptable", (F.size(blocked_by) == 0) & (score >= policy.threshold))
+    out = out.withColumn(f"{own}counts", F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k))))))
+    verdict = F.when(acceptable, "ACCEPTABLE").otherwise("NOT ACCEPTABLE")
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries(f"{own}counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
+    blocked = F.when(F.size(blocked_by) > 0, F.concat(F.lit("  blocked by: "), F.array_join(blocked_by, ", ")))
+    lines = [F.format_string(f"[{policy.name}] %s  score=%d/100 (threshold {policy.threshold})", verdict, score), blocked, F.concat(F.lit("  findings: "), F.when(listed != "", listed).otherwise("none"))]
+    return out.withColumn(f"{own}summary", F.concat_ws("\n", *lines))

@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, call, rows_of, running
 from ..functions.spans import Lexicon, apply_spans, detect
-from ..functions.unicode import clean_unicode, unicode_findings
+from ..functions.unicode import clean_unicode, is_dangerous, unicode_findings
 from ..tables import LEVEL, RULES, ScanOptions
 
-DANGEROUS = ("bidi", "zero_width", "invisible", "control")
 TOOL = "glyphward"
 
 
-def scan(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions()) -> DataFrame:
-    """df with source, clean, unicode_findings, pii_findings, dangerous, counts.
+#: What scan() adds, behind its prefix.
+ADDED = ("clean", "unicode_findings", "pii_findings", "dangerous", "counts")
 
-    Unicode offsets are of the source, those of PII of the text without dangerous characters. All detectors compete
-    for spans before only pii and secret ones stay. A null text has a null clean text and no findings.
-    """
-    out = df.withColumn("source", F.col(text)).withColumn("unicode_findings", unicode_findings(F.col("source"), options.unicode)).withColumn("_plain", clean_unicode(F.col("source"), options.unicode))
-    spans = detect(F.col("_plain"), Lexicon())
-    kept = F.filter(spans, lambda x: x["category"].isin("pii", "secret"))
-    out = out.withColumn("pii_findings", kept if options.pii else F.slice(kept, 1, 0))
-    out = out.withColumn("clean", apply_spans(F.col("_plain"), F.col("pii_findings"))).drop("_plain")
-    keys = F.concat(F.transform("unicode_findings", lambda x: x["category"]), F.transform("pii_findings", lambda x: F.when(x["category"] == "pii", "pii:pii").otherwise(x["category"])))
-    counts = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.size(F.filter(keys, lambda x: x == k)))))
-    return out.withColumn("dangerous", F.exists("unicode_findings", lambda x: x["category"].isin(*DANGEROUS))).withColumn("counts", counts)
 
+def free(df: DataFrame, names: Iterable[str]) -> None:
+    """ValueError if df has a column of one of these names, in any case: nothing of a user's is overwritten."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"the table has columns {', '.join(sorted(taken))} already; give a prefix for the new ones")
 
-def clean(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions()) -> DataFrame:
-    """df with column clean alone added."""
-    return scan(df, text, options).drop("source", "unicode_findings", "pii_findings", "dangerous", "counts")
+
+def scan(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions(), prefix: str = "") -> DataFrame:
+    """df, all its columns as they are, with clean, unicode_findings, pii_findings, dangerous, counts, each name behind the prefix.
+
+    Unicode offsets are of the text, those of PII of the text without dangerous characters. All detectors compete
+    for spans before only pii and secret ones stay. A null text has a null clean text and no findings. A table that has one of the new
+    columns is a ValueError; a prefix avoids it.
+    """
+    free(df, [prefix + n for n in ADDED])
+    given, (cleaned, uf, pf, dangerous, counts) = F.col(f"`{text}`"), (prefix + n for n in ADDED)
+    plain = f"{prefix}_plain_{len(df.columns)}"
+    out = df.withColumn(uf, unicode_findings(given, options.unicode)).withColumn(plain, clean_unicode(given, options.unicode))
+    kept = F.filter(detect(F.col(plain), Lexicon()), lambda x: x["category"].isin("pii", "secret"))
+    out = out.withColumn(pf, kept if options.pii else F.slice(kept, 1, 0))
+    out = out.withColumn(cleaned, apply_spans(F.col(plain), F.col(pf)))
+    keys = F.concat(F.transform(uf, lambda x: x["category"]), F.transform(pf, lambda x: F.when(x["category"] == "pii", "pii:pii").otherwise(x["category"])))
+    numbers = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.size(F.filter(keys, lambda x: x == k)))))
+    out = out.withColumn(dangerous, is_dangerous(given, options.unicode)).withColumn(counts, numbers)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], cleaned, uf, pf, dangerous, counts)
+
+
+def clean(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions(), prefix: str = "") -> DataFrame:
+    """df, all its columns as they are, with column clean (behind the prefix) alone added."""
+    free(df, [f"{prefix}clean"])
+    own = "_glyphward_"
+    return scan(df, text, options, own).select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"{own}clean").alias(f"{prefix}clean"))
 
 
 def findings(df: DataFrame, key: str = "doc_id", column: str = "unicode_findings") -> DataFrame:
@@ -40,11 +58,12 @@ def findings(df: DataFrame, key: str = "doc_id", column: str = "unicode_findings
     return rows_of(df, column, "category", key)
 
 
-def to_json() -> Column:
-    """A scanned row as JSON; neither the source nor what PII matched is in it."""
-    pii = F.transform("pii_findings", lambda x: F.struct(*[x[n].alias(n) for n in ("start", "end", "category", "severity", "detector", "replacement")]))
-    unicode = F.transform("unicode_findings", lambda x: F.struct(*[x[n].alias(n) for n in ("offset", "char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")]))
-    return F.to_json(F.struct(F.col("dangerous"), F.col("counts"), F.col("clean"), unicode.alias("unicode_findings"), pii.alias("pii_findings")))
+def to_json(prefix: str = "") -> Column:
+    """A scanned row as JSON; neither the source nor what PII matched is in it. prefix is scan()'s."""
+    cleaned, uf, pf, dangerous, counts = (F.col(prefix + n) for n in ADDED)
+    pii = F.transform(pf, lambda x: F.struct(*[x[n].alias(n) for n in ("start", "end", "category", "severity", "detector", "replacement")]))
+    unicode = F.transform(uf, lambda x: F.struct(*[x[n].alias(n) for n in ("offset", "char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")]))
+    return F.to_json(F.struct(dangerous.alias("dangerous"), counts.alias("counts"), cleaned.alias("clean"), unicode.alias("unicode_findings"), pii.alias("pii_findings")))
 
 
 def _categories(findings: Column) -> Column:
@@ -70,8 +89,8 @@ def _message(x: Column) -> Column:
     return F.format_string("%s (%s, category %s) at offset %d: %s. Action: %s.", x["name"], x["codepoint"], x["unicode_category"], x["offset"], x["detail"], x["action"])
 
 
-def sarif_results(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a Unicode finding: rule, index of the rule by first appearance, level, line and column from 1."""
+def sarif_results(scanned: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """One row a Unicode finding: rule, index of the rule by first appearance, level, line and column from 1. text and prefix are scan()'s."""
 
     def result(order: Column, x: Column, r: Column) -> Column:
         return F.struct(
@@ -80,13 +99,16 @@ def sarif_results(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
             x["offset"].alias("char_offset"), F.lit(1).alias("char_length"), _message(x).alias("message"), *[x[n].alias(n) for n in ("category", "codepoint", "unicode_category", "severity", "action")],
         )
 
-    found = F.col("unicode_findings")
-    rows = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col("source"), found), lambda x, r: result(order, x, r)))
+    found = F.col(f"{prefix}unicode_findings")
+    rows = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col(f"`{text}`"), found), lambda x, r: result(order, x, r)))
     return rows_of(scanned, rows, "rule_id", key)
 
 
-def sarif(scanned: DataFrame, key: str = "doc_id", uri: Column | None = None) -> DataFrame:
-    """key and a SARIF 2.1.0 log a document, as JSON; PII is not in it."""
+def sarif(scanned: DataFrame, key: str = "doc_id", uri: Column | None = None, text: str = "text", prefix: str = "") -> DataFrame:
+    """key and a SARIF 2.1.0 log a document, as JSON; PII is not in it. text and prefix are scan()'s.
+
+    The tool has no address of its own, so the driver has no informationUri.
+    """
     place = F.struct((F.lit("input") if uri is None else uri).alias("uri"))
 
     def result(order: Column, x: Column, r: Column) -> Column:
@@ -105,9 +127,9 @@ def sarif(scanned: DataFrame, key: str = "doc_id", uri: Column | None = None) ->
             more.alias("helpUri"), F.struct(level.alias("level")).alias("defaultConfiguration"),
         )
 
-    found = F.col("unicode_findings")
+    found = F.col(f"{prefix}unicode_findings")
     driver = F.struct(F.lit(TOOL).alias("name"), F.transform(_categories(found), rule).alias("rules"))
-    results = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col("source"), found), lambda x, r: result(order, x, r)))
+    results = bind(_categories(found), lambda order: F.zip_with(found, regions(F.col(f"`{text}`"), found), lambda x, r: result(order, x, r)))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), results.alias("results"))
     log = F.struct(F.lit("https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
     return scanned.select(key, F.to_json(log).alias("sarif"))
@@ -121,15 +143,16 @@ def _preview(text: Column) -> Column:
     return F.when(F.char_length(v) > 80, F.concat(F.left(v, F.lit(79)), F.lit("…"))).otherwise(v)
 
 
-def render_scan(uf: str = "unicode_findings", pf: str = "pii_findings") -> Column:
-    """A report for people of a scanned row."""
+def render_scan(text: str = "text", prefix: str = "") -> Column:
+    """A report for people of a scanned row; text and prefix are scan()'s."""
+    uf, pf = f"{prefix}unicode_findings", f"{prefix}pii_findings"
     head = F.format_string("  %5s  %-9s  %-10s  %-3s  %-10s  name", F.lit("off"), F.lit("codepoint"), F.lit("cat"), F.lit("gc"), F.lit("action"))
     row = lambda x: F.format_string("  %5d  %-9s  %-10s  %-3s  %-10s  %s", x["offset"], x["codepoint"], x["category"], x["unicode_category"], x["action"], x["name"])
     pii = lambda x: F.format_string("  %5d..%-5d  %-7s  %-14s  -> %s", x["start"], x["end"], x["category"], x["detector"], x["replacement"])
     none = F.array().cast("array<string>")
     first = F.when(F.size(uf) > 0, F.concat(F.array(F.format_string("Unicode-security findings (%d):", F.size(uf)), head), F.transform(uf, row))).otherwise(none)
     second = F.when(F.size(pf) > 0, F.concat(F.array(F.format_string("PII / secret findings (%d):", F.size(pf))), F.transform(pf, pii))).otherwise(none)
-    counts = F.array_join(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
-    verdict = F.concat(F.lit("Verdict: "), F.when(F.col("dangerous"), "DANGEROUS").otherwise("clean-ish"), F.lit("  ("), counts, F.lit(")"))
-    last = F.array(F.lit("Before/after:"), F.concat(F.lit("  before: "), _preview(F.col("source"))), F.concat(F.lit("  after : "), _preview(F.col("clean"))), verdict)
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries(f"{prefix}counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
+    verdict = F.concat(F.lit("Verdict: "), F.when(F.col(f"{prefix}dangerous"), "DANGEROUS").otherwise("clean-ish"), F.lit("  ("), counts, F.lit(")"))
+    last = F.array(F.lit("Before/after:"), F.concat(F.lit("  before: "), _preview(F.col(f"`{text}`"))), F.concat(F.lit("  after : "), _preview(F.col(f"{prefix}clean"))), verdict)
     return F.when(F.size(uf) + F.size(pf) == 0, f"{TOOL}: no dangerous characters or PII found.").otherwise(F.array_join(F.concat(first, second, last), "\n"))

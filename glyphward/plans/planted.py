@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bidi_name, confusable_with_ascii, detect, find_bidi, is_bidi_control, is_confusable, target
 from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon
-from ..operators import clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoofs, to_json, top_findings, union_findings
+from ..operators import clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoof_members, spoof_pairs, spoofs, to_json, top_findings, union_findings
 from ..sources import spread
 from ..tables import PROFANITY, SOFTENERS, ScanOptions, UnicodeScanOptions
 
@@ -289,8 +289,7 @@ def q_confusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_quarantine(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
-    docs = planted(spark, sf_dir)
-    return (quarantine if keep else clean_corpus)(docs.select("doc_id", "lang"), _scan(spark, sf_dir, pii=False))
+    return (quarantine if keep else clean_corpus)(_scan(spark, sf_dir, pii=False)).select("doc_id", "lang")
 
 
 def q_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,15 +302,21 @@ def q_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_by(spark: SparkSession, sf_dir: str, key: str = "lang") -> DataFrame:
-    # scan() has a column source of its own
-    docs = planted(spark, sf_dir).select("doc_id", F.col(key).alias("_group"), "text")
-    return findings_by(scan(docs, options=ScanOptions(pii=False)), "_group").withColumnRenamed("_group", key)
+    return findings_by(scan(planted(spark, sf_dir), options=ScanOptions(pii=False)), key)
 
 
 def q_spoofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoofs(planted(spark, sf_dir))
 
 
+def q_spoof_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spoof_pairs(planted(spark, sf_dir))
+
+
+def q_spoof_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spoof_members(planted(spark, sf_dir))
+
+
 def q_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_findings(_scan(spark, sf_dir), 20)
 
@@ -349,11 +354,17 @@ QUERIES = {
     "findings_by_lang": q_by,
     "findings_by_source": partial(q_by, key="source"),
     "spoof_groups": q_spoofs,
+    "spoof_pairs": q_spoof_pairs,
+    "spoof_members": q_spoof_members,
 }
 
 _COUNTED = "counted AS (SELECT doc_id, (SELECT count(*) FROM hits h WHERE h.doc_id = p.doc_id) + (SELECT count(*) FROM kept x WHERE x.k = p.doc_id) AS n_findings FROM planted p)"
 _WORDS = f"words AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS t FROM planted), skeletons AS (SELECT doc_id, t AS word, {cleaned('t', 'bidi', 'zero_width', 'invisible', 'control')} AS skeleton FROM words)"
 _ASCII = "regexp_full_match({}, '[\\x00-\\x7F]*')"
+_SPOOFED = (
+    f"spoofed AS (SELECT skeleton, count(DISTINCT word) AS n_words, coalesce(min(word) FILTER (WHERE {_ASCII.format('word')}), min(word)) AS representative "
+    "FROM skeletons GROUP BY 1 HAVING count(DISTINCT word) > 1)"
+)
 ORACLE_SQL = {
     "planted_findings": _findings_sql(),
     "toggle_no_bidi": _findings_sql("category <> 'bidi'"),
@@ -386,5 +397,10 @@ ORACLE_SQL = {
     "top_documents": f"WITH {_SCANNED}, {_COUNTED} SELECT doc_id, n_findings FROM counted ORDER BY n_findings DESC, doc_id LIMIT 20",
     "findings_by_lang": f"WITH {_HITS} SELECT lang, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
     "findings_by_source": f"WITH {_HITS} SELECT source, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
+    "spoof_pairs": (
+        f"WITH {VIEW}, {_WORDS}, {_SPOOFED} SELECT skeleton, representative, word, count(*) AS n_docs, any_value(n_words) - 1 AS n_links "
+        "FROM skeletons JOIN spoofed USING (skeleton) GROUP BY ALL"
+    ),
+    "spoof_members": f"WITH {VIEW}, {_WORDS}, {_SPOOFED} SELECT doc_id, word, skeleton, representative, n_words - 1 AS n_links FROM skeletons JOIN spoofed USING (skeleton)",
     "spoof_groups": f"WITH {VIEW}, {_WORDS} SELECT skeleton, count(*) AS n FROM (SELECT DISTINCT word, skeleton FROM skeletons) GROUP BY 1 HAVING count(*) > 1",
 }

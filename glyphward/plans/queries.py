@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_unicode, confusable_with_ascii, contains_bidi, skeleton, strip_bidi, unbalanced_bidi, unicode_findings
+from ..functions import clean_unicode, confusable_with_ascii, contains_bidi, is_dangerous, skeleton, strip_bidi, unbalanced_bidi, unicode_findings
 from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon, raw_spans, resolve
 from ..operators import clean, sanitize, sarif_results, scan
@@ -112,7 +112,7 @@ def q_text(spark: SparkSession, sf_dir: str, make=None) -> DataFrame:
 
 
 def q_dangerous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(dirty(spark, sf_dir)).filter("dangerous").select("doc_id")
+    return dirty(spark, sf_dir).filter(is_dangerous(F.col("text"))).select("doc_id")
 
 
 def q_spans(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
