@@ -8,11 +8,12 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import PROFANITY, SOFTENERS
 from .arrays import BLOCK, bind, call, none, running
+from .lexicon import LARGE, lexicon_spans
 
 #: Word characters as in Python; the literal character beyond U+FFFF makes Java's look-behind step by code points.
 _W = "[\\p{L}\\p{N}_\U00020000]"
@@ -58,6 +59,22 @@ class Lexicon:
     def default(cls) -> Lexicon:
         return cls()
 
+    @classmethod
+    def from_table(cls, entries: DataFrame) -> Lexicon:
+        """The lexicon of a table (kind, entry, replacement): kinds profanity, softener and slur; the first of equal entries by replacement.
+
+        Entries go to the driver, which ships them to the workers: a lexicon, not a corpus. Rows without an entry are left out; other kinds are
+        a ValueError. Words without a replacement get [removed].
+        """
+        rows = entries.filter("entry <> ''").groupBy("kind", "entry").agg(F.min("replacement").alias("replacement")).orderBy("kind", "entry").collect()
+        if bad := {r["kind"] for r in rows} - {"profanity", "softener", "slur"}:
+            raise ValueError(f"kinds of entries: profanity, softener, slur; not {sorted(map(str, bad))}")
+        of = lambda kind: {r["entry"]: r["replacement"] or "[removed]" for r in rows if r["kind"] == kind}
+        return cls(of("profanity"), of("softener"), list(of("slur")))
+
+    def entries(self) -> int:
+        return len(self.profanity) + len(self.softeners) + len(self.slurs)
+
     def merged_with(self, path: str) -> Lexicon:
         """This lexicon with a JSON file's entries put over it."""
         with open(path, encoding="utf-8") as f:
@@ -67,7 +84,7 @@ class Lexicon:
 
 def _first_letters(words: list[str]) -> str:
     """A look-ahead for the first characters of the words, where case is ignored; it spares a look-behind at most places."""
-    first = {c for w in words for c in (w[0], w[0].lower(), w[0].upper()) if len(c) == 1}
+    first = {c for w in words for c in (w[0], w[0].lower(), w[0].upper(), w[0].upper().lower(), w[0].lower().upper()) if len(c) == 1}
     first |= {odd for odd, c in zip(_CASED, _PLAIN, strict=True) if c in first}
     return f"(?=[{''.join(re.escape(c) for c in sorted(first))}])" if all(c.isascii() or c in _CASED for c in first) else ""
 
@@ -119,8 +136,16 @@ def _detectors(text: Column, lexicon: Lexicon) -> list[tuple[str, str, str, str,
 def raw_spans(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """All detectors' matches in the order of detection; they may overlap.
 
-    Lengths of matches and of what stands between them add up to offsets, for all detectors in one walk.
+    Lengths of matches and of what stands between them add up to offsets, for all detectors in one walk. A lexicon of very
+    many entries is looked up by an automaton instead of patterns.
     """
+    if lexicon.entries() > LARGE:
+        shapes = _raw_spans(text, Lexicon({}, {}, []))
+        return F.coalesce(F.concat(shapes, lexicon_spans(text, lexicon, len(SHAPES), _SPAN)), none(f"struct<{_SPAN}>"))
+    return _raw_spans(text, lexicon)
+
+
+def _raw_spans(text: Column, lexicon: Lexicon) -> Column:
     detectors = _detectors(text, lexicon)
     own = [(_cuts(text, p, i, text.rlike(p) if gate is None else gate), gate is None) for i, (_, p, _, _, _, gate) in enumerate(detectors)]
     phrases = F.flatten(F.array(*[c for c, phrase in own if phrase]))

@@ -140,19 +140,26 @@ def confusable_with_ascii(text: Column) -> Column:
     return text.rlike(other) & (s != text) & ~s.rlike(other)
 
 
+#: Openings and closings of embeddings and isolates, and the ends of lines as Python's splitlines() has them, within brackets of a pattern.
+SIGNS, LINE_ENDS = "\u202a-\u202e\u2066-\u2069", "\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+
+
+def walked(signs: Column, opening: str, closing: str) -> Column:
+    """struct<n, low>: openings less closings of one kind, and the least that this is on the way (0 at most)."""
+    step = lambda c: F.when(F.translate(c, opening, "") == "", F.when(c == "", 0).otherwise(1)).when(c == closing, -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("low"))
+    return F.aggregate(F.split(signs, ""), start, lambda a, c: F.struct((a["n"] + step(c)).alias("n"), F.least(a["low"], a["n"] + step(c)).alias("low")))
+
+
 def unbalanced_bidi(text: Column) -> Column:
     """Whether a line closes an embedding or isolate that it has not opened, or leaves one open.
 
     The two kinds count apart; marks count for neither. Lines end as Python's splitlines() has it.
     """
-    signs = F.regexp_replace(text, "[^‪-‮⁦-⁩\n\r\x0b\x0c\x1c-\x1e\x85  ]", "")
-    lines = F.split(signs, "[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(F.regexp_replace(text, f"[^{SIGNS}{LINE_ENDS}]", ""), f"[{LINE_ENDS}]")
 
     def off(line: Column, opening: str, closing: str) -> Column:
-        step = lambda c: F.when(F.translate(c, opening, "") == "", F.when(c == "", 0).otherwise(1)).when(c == closing, -1).otherwise(0)
-        start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("bad"))
-        end = F.aggregate(F.split(line, ""), start, lambda a, c: F.struct((a["n"] + step(c)).alias("n"), (a["bad"] | (a["n"] + step(c) < 0)).alias("bad")))
-        return end["bad"] | (end["n"] != 0)
+        return bind(walked(line, opening, closing), lambda w: (w["n"] != 0) | (w["low"] < 0))
 
-    found = F.exists(lines, lambda x: off(x, "‪‫‭‮", "‬") | off(x, "⁦⁧⁨", "⁩"))
+    found = F.exists(lines, lambda x: off(x, "\u202a\u202b\u202d\u202e", "\u202c") | off(x, "\u2066\u2067\u2068", "\u2069"))
     return F.when(contains_bidi(text), found).otherwise(F.lit(False))

@@ -16,6 +16,7 @@ from ..functions import bidi_name, confusable_with_ascii, detect, find_bidi, is_
 from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon
 from ..operators import clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoof_members, spoof_pairs, spoofs, to_json, top_findings, union_findings
+from ..operators import chunks
 from ..sources import spread
 from ..tables import PROFANITY, SOFTENERS, ScanOptions, UnicodeScanOptions
 
@@ -317,6 +318,22 @@ def q_spoof_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoof_members(planted(spark, sf_dir))
 
 
+#: Code points of a piece of a text, for the queries that scan texts in pieces.
+PIECE = 700
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.summaries(chunks.cut(planted(spark, sf_dir), PIECE))
+
+
+def q_chunk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_findings(_pieces(spark, sf_dir)).select("doc_id", "offset", "line", "column", "codepoint", "name", "category")
+
+
+def q_chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_verdicts(_pieces(spark, sf_dir)).select("doc_id", "dangerous", "unbalanced", "n_chars", "n_lines", "n_findings")
+
+
 def q_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_findings(_scan(spark, sf_dir), 20)
 
@@ -354,6 +371,8 @@ QUERIES = {
     "findings_by_lang": q_by,
     "findings_by_source": partial(q_by, key="source"),
     "spoof_groups": q_spoofs,
+    "chunk_findings": q_chunk_findings,
+    "chunk_verdicts": q_chunk_verdicts,
     "spoof_pairs": q_spoof_pairs,
     "spoof_members": q_spoof_members,
 }
@@ -361,6 +380,14 @@ QUERIES = {
 _COUNTED = "counted AS (SELECT doc_id, (SELECT count(*) FROM hits h WHERE h.doc_id = p.doc_id) + (SELECT count(*) FROM kept x WHERE x.k = p.doc_id) AS n_findings FROM planted p)"
 _WORDS = f"words AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS t FROM planted), skeletons AS (SELECT doc_id, t AS word, {cleaned('t', 'bidi', 'zero_width', 'invisible', 'control')} AS skeleton FROM words)"
 _ASCII = "regexp_full_match({}, '[\\x00-\\x7F]*')"
+# Lines end as splitlines() has it; of each line, both kinds of signs are added up by their places.
+_ENDS, _OPEN_CLOSE = "10, 11, 12, 13, 28, 29, 30, 133, 8232, 8233", "cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297"
+_OFF_LINES = (
+    f"signs AS (SELECT doc_id, o, unicode(ch) AS cp FROM chars), lined AS (SELECT *, sum((cp IN ({_ENDS}))::INT) OVER (PARTITION BY doc_id ORDER BY o) AS l FROM signs WHERE cp IN ({_ENDS}) OR {_OPEN_CLOSE}), "
+    "summed AS (SELECT doc_id, l, o, sum(CASE WHEN cp IN (8234, 8235, 8237, 8238) THEN 1 WHEN cp = 8236 THEN -1 ELSE 0 END) OVER w AS e, "
+    "sum(CASE WHEN cp IN (8294, 8295, 8296) THEN 1 WHEN cp = 8297 THEN -1 ELSE 0 END) OVER w AS i FROM lined WINDOW w AS (PARTITION BY doc_id, l ORDER BY o)), "
+    "off AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM summed GROUP BY doc_id, l HAVING min(e) < 0 OR min(i) < 0 OR arg_max(e, o) <> 0 OR arg_max(i, o) <> 0))"
+)
 _SPOOFED = (
     f"spoofed AS (SELECT skeleton, count(DISTINCT word) AS n_words, coalesce(min(word) FILTER (WHERE {_ASCII.format('word')}), min(word)) AS representative "
     "FROM skeletons GROUP BY 1 HAVING count(DISTINCT word) > 1)"
@@ -397,6 +424,11 @@ ORACLE_SQL = {
     "top_documents": f"WITH {_SCANNED}, {_COUNTED} SELECT doc_id, n_findings FROM counted ORDER BY n_findings DESC, doc_id LIMIT 20",
     "findings_by_lang": f"WITH {_HITS} SELECT lang, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
     "findings_by_source": f"WITH {_HITS} SELECT source, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
+    "chunk_findings": f"WITH {_PLACED} SELECT doc_id, o AS \"offset\", line, col AS \"column\", codepoint, p.name AS name, category FROM placed p",
+    "chunk_verdicts": (
+        f"WITH {_HITS}, {_OFF_LINES} SELECT doc_id, {_DANGER} AS dangerous, doc_id IN (SELECT doc_id FROM off) AS unbalanced, coalesce(length(t), 0) AS n_chars, "
+        "1 + coalesce(length(t) - length(replace(t, chr(10), '')), 0) AS n_lines, (SELECT count(*) FROM hits h WHERE h.doc_id = p.doc_id) AS n_findings FROM planted p"
+    ),
     "spoof_pairs": (
         f"WITH {VIEW}, {_WORDS}, {_SPOOFED} SELECT skeleton, representative, word, count(*) AS n_docs, any_value(n_words) - 1 AS n_links "
         "FROM skeletons JOIN spoofed USING (skeleton) GROUP BY ALL"
