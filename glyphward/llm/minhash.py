@@ -20,7 +20,7 @@ from .textvec import U, distinct, mix, pieces, shingles
 BANDS, ROWS = 48, 6
 #: A pair is not verified if its sketches agree in so few bins that a similar pair's would with this probability at most.
 UNLIKELY = 1e-9
-#: Further turns of stars, and the share of all shingle rows from which the counts of a shingle are broadcast (so 1 / HEAVY at most).
+#: Hubs of a band beside its least class, and the share of all shingle rows from which the counts of a shingle are broadcast (so 1 / HEAVY at most).
 STARS, HEAVY = 2, 0.001
 #: One in so many classes is looked at to find the bands that hold a large share of all.
 LOOK = 64
@@ -167,7 +167,7 @@ def least_bins(size: int, percent: int) -> int:
     return max(0, math.floor(size * (percent / 100 - math.sqrt(-math.log(UNLIKELY) / (2 * size)))))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, bins: int) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, bins: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sketches agree in so many bins at least."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, bins: int) -> DataFrame:
             yield b.filter(pa.array((x == y).sum(axis=1) >= bins)).select(["a", "b"])
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    two = heavy_join(one, sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a", heavy(pairs, "a", HEAVY))
+    two = heavy_join(one, sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a", scratch.stash(heavy(pairs, "a", HEAVY)))
     return two.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
@@ -193,11 +193,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bins: int, scratc
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    near = scratch.stash(_alike(pairs, sets, bins))
+    near = scratch.stash(_alike(pairs, sets, bins, scratch))
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     own = sets.select("id", "items").join(ids, "id", "left_semi")
     one = near.join(own.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    two = heavy_join(one, own.select(F.col("id").alias("a"), F.col("items").alias("x")), "a", heavy(near, "a", HEAVY), "x")
+    two = heavy_join(one, own.select(F.col("id").alias("a"), F.col("items").alias("x")), "a", scratch.stash(heavy(near, "a", HEAVY)), "x")
     return two.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
@@ -223,10 +223,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _shared(sketched: DataFrame, classes: DataFrame, hot_bar: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(key, id, n, lead, lead_n of bands that more than one class shares, with the least class of each; the hot keys).
+    """(key, id, n, lead, lead_n, hub0, hub1 ... of bands that more than one class shares; the hot keys).
 
-    Bands are grouped by one shuffle of their rows. Those that hold a large share of all classes are known from one class
-    in LOOK, so at most LOOK * bands / hot_bar of them; their leads are pre-aggregated and broadcast, no task has all of such a band.
+    lead: the least class of the band; each hub (id, n): another of its classes, drawn by a hash. Bands are grouped by one
+    shuffle of their rows. Those that hold a large share of all classes are known from one class in LOOK, so at most
+    LOOK * bands / hot_bar of them; their leads and hubs are pre-aggregated and broadcast, no task has all of such a band.
     """
     keyed = sketched.filter(F.col("keys").isNotNull())
     look = keyed.filter(F.pmod(F.xxhash64("f1"), F.lit(LOOK)) == 0).select(F.explode("keys").alias("key"))
@@ -234,15 +235,17 @@ def _shared(sketched: DataFrame, classes: DataFrame, hot_bar: int, scratch: Scra
     ours = classes.select("n_shingles", "f1", "f2", "id")
     banded = keyed.join(ours, ["n_shingles", "f1", "f2"]).select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     least = F.min(F.struct("id", "n"))
+    hubs = {f"hub{turn}": F.min(F.when(F.col("id") != F.col("first.id"), _drawn(turn, "n"))) for turn in range(STARS)}
     own = Window.partitionBy("key")
     light = banded.join(F.broadcast(hot), "key", "left_anti").select("key", "id", "n", least.over(own).alias("first"), F.max("id").over(own).alias("last"))
-    found = light
+    found = light.filter("first.id <> last").select("key", "id", "n", "first", *[h.over(own).alias(n) for n, h in hubs.items()])
     if not hot.isEmpty():
         rows = scratch.stash(banded.join(F.broadcast(hot), "key", "left_semi").distinct())
-        found = found.unionByName(rows.join(F.broadcast(rows.groupBy("key").agg(least.alias("first"), F.max("id").alias("last"))), "key").select("key", "id", "n", "first", "last"))
+        ends = scratch.stash(rows.groupBy("key").agg(least.alias("first"), F.max("id").alias("last")).filter("first.id <> last").drop("last"))
+        led = rows.join(F.broadcast(ends), "key")
+        found = found.unionByName(led.join(F.broadcast(led.groupBy("key").agg(*[h.alias(n) for n, h in hubs.items()])), "key"))
     # a set may have come from several tasks
-    found = found.filter("first.id <> last").select("key", "id", "n", F.col("first.id").alias("lead"), F.col("first.n").alias("lead_n"))
-    return scratch.stash(found), hot
+    return scratch.stash(found.select("key", "id", "n", F.col("first.id").alias("lead"), F.col("first.n").alias("lead_n"), *hubs)), hot
 
 
 def _drawn(turn: int, *more: str) -> Column:
@@ -251,20 +254,18 @@ def _drawn(turn: int, *more: str) -> Column:
 
 
 def _unsettled(own: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, n, c, out: classes (key, id, n, c) of bands which, but for the hubs of all turns, are in different components.
+    """id, n, c, out: classes (key, id, n, c, hubs) of bands which, but for the hubs of all turns, are in different components.
 
     out: in another component than a drawn class of the band, so of two classes apart one is out at least. Hot bands
     are pre-aggregated, the others looked at where their rows meet.
     """
-    hubs = [F.min(_drawn(turn)) for turn in range(STARS)]
-    no_hub = reduce(operator.and_, [F.col("id") != F.col(f"hub{turn}.id") for turn in range(STARS)])
+    open_rows = own.filter(reduce(operator.and_, [F.col("id") != F.col(f"hub{turn}.id") for turn in range(STARS)])).select("key", "id", "n", "c")
     ends = {"lo": F.min("c"), "hi": F.max("c"), "ref": F.min(_drawn(STARS, "c"))}
     band = Window.partitionBy("key")
-    light = own.join(F.broadcast(hot), "key", "left_anti").select("*", *[h.over(band).alias(f"hub{t}") for t, h in enumerate(hubs)]).filter(no_hub)
+    light = open_rows.join(F.broadcast(hot), "key", "left_anti")
     open_ = light.select("id", "n", "c", *[x.over(band).alias(n) for n, x in ends.items()]).filter("lo <> hi")
     if not hot.isEmpty():
-        rows = scratch.stash(own.join(F.broadcast(hot), "key", "left_semi"))
-        rows = rows.join(F.broadcast(rows.groupBy("key").agg(*[h.alias(f"hub{t}") for t, h in enumerate(hubs)])), "key").filter(no_hub).select("key", "id", "n", "c")
+        rows = scratch.stash(open_rows.join(F.broadcast(hot), "key", "left_semi"))
         apart = rows.groupBy("key").agg(*[x.alias(n) for n, x in ends.items()]).filter("lo <> hi")
         open_ = open_.unionByName(rows.join(F.broadcast(apart), "key").select("id", "n", "c", *ends))
     out = open_.withColumn("out", F.col("c") != F.col("ref.c"))
@@ -299,10 +300,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int
     for it. Rows of one doc_id count as one document, which has the links of all their texts; null doc_ids take no part:
     their component_id is null, they are kept. An empty table gives no rows; other columns are ignored.
 
-    Candidates are classes that share a band. First each class is held against the least class of each of its bands,
-    then, in bands whose other classes are in different components, against further hubs for a few turns. Last, the
-    classes of bands that are still open meet through the rare shingles of their sets, which loses no pair of them that
-    is similar enough. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
+    Candidates are classes that share a band. First each class is held against the least class of each of its bands and
+    a few drawn hubs of it, all in one pass. Then the other classes of bands whose classes are in different components meet
+    through the rare shingles of their sets, which loses no pair of them that is similar enough. So large groups cost a few tests a member, and classes that only share a passage rarely meet.
     """
     with Scratch(docs.sparkSession) as scratch:
         return scratch.result(_near_duplicates(docs, k, percent, n_bands, rows, scratch))
@@ -318,33 +318,22 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, n_bands: int, rows:
     sets = scratch.stash(_sets(docs, members, k, n_bands * rows, scratch))
     bins = least_bins(n_bands * rows, percent)
     alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    tests = scratch.stash(shared.filter((F.col("id") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    # classes that are no lead of the band, each against the lead and the hubs
+    rest = scratch.stash(shared.filter(F.col("id") != F.col("lead")).drop("lead", "lead_n").distinct())
+    ends = F.explode(F.array(F.struct(F.col("lead").alias("id"), F.col("lead_n").alias("n")), *[F.struct(F.col(f"hub{t}.id").alias("id"), F.col(f"hub{t}.n").alias("n")) for t in range(STARS)]))
+    tests = shared.filter(F.col("id") != F.col("lead")).select("id", "n", ends.alias("hub")).filter((F.col("id") != F.col("hub.id")) & alike(F.col("n"), F.col("hub.n")))
+    tests = scratch.stash(tests.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
     verified = scratch.stash(_verified(tests, sets, percent, bins, scratch))
     links = scratch.stash(verified.unionByName(links)) if links is not None else verified
-    # rest: classes that have not been held against all others of the band as its least class
-    rest = scratch.stash(shared.filter(F.col("id") != F.col("lead")).select("key", "id", "n").distinct())
     found = scratch.stash(components(links, scratch))
-    for turn in range(STARS + 1):
-        own = scratch.stash(rest.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
-        if turn < STARS:
-            hub = F.min(_drawn(turn, "n", "c")).alias("hub")
-            open_ = scratch.stash(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo <> hi").select("key", "hub"))
-            if open_.isEmpty():
-                break
-            apart = heavy_join(own, open_, "key", hot_keys).filter((F.col("c") != F.col("hub.c")) & alike(F.col("n"), F.col("hub.n")))
-            tries = apart.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            left = scratch.stash(_unsettled(own, hot_keys, scratch))
-            if left.isEmpty():
-                break
-            tries = _overlapping(left, sets, percent, scratch)
+    own = scratch.stash(rest.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+    left = scratch.stash(_unsettled(own, hot_keys, scratch))
+    if not left.isEmpty():
         backwards = tests.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        tries = scratch.stash(tries.join(tests.unionByName(backwards), ["a", "b"], "left_anti"))
-        if tries.isEmpty():
-            continue
-        tests = tests.unionByName(tries)
-        links = scratch.stash(links.unionByName(_verified(tries, sets, percent, bins, scratch)))
-        found = scratch.stash(components(links, scratch))
+        tries = scratch.stash(_overlapping(left, sets, percent, scratch).join(tests.unionByName(backwards), ["a", "b"], "left_anti"))
+        if not tries.isEmpty():
+            links = scratch.stash(links.unionByName(_verified(tries, sets, percent, bins, scratch)))
+            found = scratch.stash(components(links, scratch))
     # the class of a row tells its component; a hot class is broadcast
     ours = classes.join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = ours.groupBy("c").agg(F.min("rep").alias("least"))
@@ -357,13 +346,17 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, n_bands: int, rows:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that near_duplicates() keeps, with all their columns; of rows with one doc_id one stays.
+    """The rows that near_duplicates() keeps, with all their columns; of rows with one doc_id one stays: that with the least
+    text, then the least JSON of all its columns.
 
     Rows with null doc_id, which take no part, all stay.
     """
     found = near_duplicates(docs, k, percent)
     gone = stash(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"))
     stay = only(docs.filter("doc_id is not null"), gone, "doc_id", out=True)
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
+    several = stash(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not several.isEmpty():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = only(stay, several, "doc_id").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row"))
+        stay = only(stay, several, "doc_id", out=True).unionByName(one.select("row.*"))
     return stay.unionByName(docs.filter("doc_id is null"))

@@ -88,3 +88,23 @@ def test_sketch_floor_keeps_similar_pairs():
             y = np.concatenate([x[:same], r.integers(1, 1 << 62, n - same, dtype=np.uint64)])
             a, b = (minhash.mix(minhash.fast_sketch(v, 288)).astype(np.uint8) for v in (x, y))
             assert (a == b).sum() >= floor
+
+
+def test_all_links_of_a_given_table(spark):
+    """As registered: every component and set size of the whole table, against all pairs."""
+    from glyphward.llm import registry
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    out = rows(registry.op1_minhash(spark, "/root/testdata/sf0.01"))
+    want = linked(docs)
+    assert {r["doc_id"]: r["component_id"] for r in out} == want and len(set(want.values())) < len(want)
+    sizes = {i: len(shingle_set(t, 4)) for i, t in docs}
+    assert all(r["n_shingles"] == sizes[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"]) for r in out)
+
+
+def test_the_row_that_stays_of_a_repeated_id(spark):
+    t = prose(21, 80)
+    docs = spark.createDataFrame([(1, t + " b", "x", {"k": 1}), (1, t + " a", "z", {"k": 2}), (1, t + " a", "y", None), (2, prose(22, 80), "w", None), (None, t, "v", None)], "doc_id long, text string, source string, more map<string,int>")
+    for parts in (1, 4):
+        got = minhash.one_of_each(docs.repartition(parts)).collect()
+        assert sorted((r["doc_id"] or 0, r["source"]) for r in got) == [(0, "v"), (1, "y"), (2, "w")]
