@@ -87,6 +87,25 @@ def _with_facts(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> Data
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(few, rows[on] == F.col("_hot"), "left_anti").join(rest, on))
 
 
+#: Parts into which the rows of a hot key are dealt.
+SALTS = 32
+
+
+def salted(rows: DataFrame, key: str, facts: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """rows, each with the columns of the row of facts whose `on` its key is (nulls without one); counts: (on, n) rows of each key.
+
+    The rows of a key that one in HOT rows has, or more, are dealt to SALTS parts, and the facts of those keys, HOT at most, come in
+    as many copies: however large what a fact holds, none is broadcast and no task has all rows of a key.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") >= max(total / HOT, 2)).select(F.col(on).alias("_hot")))
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), draw).otherwise(0)).drop("_hot")
+    last = F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0)
+    copies = facts.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return dealt.join(copies, (F.col(key) == F.col(on)) & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy", on)
+
+
 def _words(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     """The different words of each row's whole text, split at blanks."""
     return docs.select(*keys, F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), " "))).alias("word"))
