@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from .textvec import pieces
 
 #: Documents of a language that the sample has, about; bytes of a dictionary, which draws on all of them.
 SAMPLE_DOCS, DICTIONARY = 150, 96 << 10
-#: Bytes of a sampled text that go to the driver at most, in slices of SLICE bytes spread over all of it.
-KEPT, SLICE = 8 * DICTIONARY // SAMPLE_DOCS, 256
+#: Of a sampled text so many times its part of the dictionary goes to the driver, in slices of SLICE bytes spread over all of it.
+ROOM, SLICE = 8, 256
+#: Bytes of all dictionaries; beyond that those of very many languages are smaller.
+DICTIONARIES = 48 << 20
 #: Bytes of the parts of a text that are encoded on their own, and the level at which all are.
 PART, LEVEL = 4096, 6
-MOST_LANGUAGES = 500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -28,40 +30,48 @@ def learn(docs: DataFrame, dictionary: int = DICTIONARY, sample_docs: int = SAMP
     """A dictionary for each language: raw text of a bounded sample of its labelled rows (columns text, lang).
 
     The sample has about sample_docs rows of a language, chosen by a hash of doc_id. All of them go into its dictionary
-    with slices of equal length, spread over their whole texts; how much other languages have does not matter. Rows
+    with slices of equal length, spread over their whole texts; how much other languages have does not matter. dictionary
+    bounds what a language takes, so a text of it gives up to ROOM times its part of that, and all of it where the
+    language has few rows. There may be any number of languages: their dictionaries share DICTIONARIES bytes. Rows
     whose text is null or without letters teach nothing.
     """
     ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counts = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
+    dictionary = max(SLICE, min(dictionary, DICTIONARIES // len(counts)))
+    shares = [(r["lang"], min(1.0, sample_docs / r["count"]), min(dictionary, ROOM * dictionary // min(sample_docs, r["count"]))) for r in counts]
+    # a row a language, as are the dictionaries that every worker has
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share double, _kept int"))
+    known = known.select("lang", "text", "doc_id").join(bounds, "lang")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            cut = [spread(plain(t).encode(), KEPT) for t in b.column("text").to_pylist()]
+            cut = [spread(plain(t).encode(), n) for t, n in zip(b.column("text").to_pylist(), b.column("_kept").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(cut, pa.binary())], ["lang", "t"])
 
     def drawn(rows: DataFrame) -> DataFrame:
-        return rows.select("lang", "text").mapInArrow(work, "lang string, t binary")
+        return rows.select("lang", "text", "_kept").mapInArrow(work, "lang string, t binary")
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(map(bytes, rows["t"]), key=lambda t: (hashlib.blake2b(t, digest_size=8).digest(), t))
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "t": [evenly(own, dictionary)]})
 
     # repeated rows share a draw; distinct keeps the sample bounded
-    sample = drawn(known.filter(draw <= share[F.col("lang")])).distinct()
-    top = sample.withColumn("r", F.row_number().over(_window())).filter(F.col("r") <= 4 * sample_docs).drop("r").collect()
-    texts: dict[str, list[bytes]] = {}
-    for lang, _, t in sorted((r["lang"], hashlib.blake2b(r["t"], digest_size=8).digest(), bytes(r["t"])) for r in top):
-        texts.setdefault(lang, []).append(t)
-    if missing := [r["lang"] for r in counts if r["lang"] not in texts]:
+    sample = drawn(known.filter(draw <= F.col("_share"))).distinct()
+    top = sample.withColumn("r", F.row_number().over(_window())).filter(F.col("r") <= 4 * sample_docs)
+    # a group has 4 * sample_docs texts of bounded length; dictionaries alone go to the driver
+    out = {r["lang"]: bytes(r["t"]) for r in top.select("lang", "t").groupBy("lang").applyInPandas(joined, "lang string, t binary").collect()}
+    if missing := [(r["lang"],) for r in counts if r["lang"] not in out]:
         # rare languages of which the draw has taken no row: the one with the least hash
-        least = known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.xxhash64("doc_id")).alias("_h"))
-        rows = known.join(F.broadcast(least), "lang").filter(F.xxhash64("doc_id") == F.col("_h"))
+        rare = known.join(F.broadcast(docs.sparkSession.createDataFrame(missing, "lang string")), "lang")
+        least = rare.groupBy("lang").agg(F.min(F.xxhash64("doc_id")).alias("_h"))
+        rows = rare.join(least, "lang").filter(F.xxhash64("doc_id") == F.col("_h"))
         for r in drawn(rows).groupBy("lang").agg(F.min("t").alias("t")).collect():
-            texts[r["lang"]] = [bytes(r["t"])]
-    return {lang: evenly(t, dictionary) for lang, t in sorted(texts.items())}
+            out[r["lang"]] = evenly([bytes(r["t"])], dictionary)
+    return dict(sorted(out.items()))
 
 
 def spread(text: bytes, size: int) -> bytes:

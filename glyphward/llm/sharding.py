@@ -7,11 +7,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ranked, stash
+from .mixing import before, deal
+from .runtime import Scratch
 
-#: Points of the ring, and rows that one ranking task cell holds.
+#: Points of the ring.
 POINTS = 1 << 14
-CELL = 4000
 
 
 def ring(shards: int, nodes: int) -> tuple[list[int], list[int]]:
@@ -60,9 +60,16 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, key: Column |
     A key (the text, so equal texts lie together) falls on an arc of the ring; the arc's virtual node names the
     shard. A shard holds N // shards rows, or one more; rows beyond that continue clockwise to the next node with
     room. Only the arcs' counts (shards * nodes numbers at most) go to the driver. slot counts a shard's rows from 0.
-    Null texts count as empty; repeated rows each have a place, in either order; an empty table gives no rows;
-    other columns are ignored.
+    An arc's rows are in the order of their texts' hashes, then of their doc_ids', so equal texts are parted only where a
+    shard is full, and rows have the same places however the table is partitioned. A text that very many rows have is in many
+    ranges of that order. Null texts count as empty; repeated rows each have a place, in either order; an empty table gives
+    no rows; other columns are ignored.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_sharded(docs, shards, nodes, key, scratch))
+
+
+def _sharded(docs: DataFrame, shards: int, nodes: int, key: Column | None, scratch: Scratch) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     arcs, owners = ring(shards, nodes)
     table = F.split(F.lit(",".join(map(str, arcs))), ",").cast("array<int>")
@@ -72,10 +79,13 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, key: Column |
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.element_at(table, point + 1).alias("_arc"),
-        # rows that are alike in doc_id come from many places, which tell them apart
-        F.xxhash64("doc_id", F.spark_partition_id()).alias("_salt"),
+        F.xxhash64(text if key is None else key).alias("_text"),
+        F.xxhash64("doc_id").alias("_drawn"),
+        # tells equal rows apart, so that not all of them are in one range
+        F.monotonically_increasing_id().alias("_at"),
     )
-    rows = stash(rows)
+    order = [F.col(c) for c in ("_text", "text_crc32", "size", "_drawn", "doc_id", "_at")]
+    rows = deal(rows, ["_arc"], order, scratch)
     counts = [0] * len(owners)
     for r in rows.groupBy("_arc").agg(F.count(F.lit(1)).alias("c")).collect():
         counts[r["_arc"]] = r["c"]
@@ -88,10 +98,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, key: Column |
             plan.append((a, start, start + c, s, used[s] - start))
             used[s] += c
             start += c
-    # a hot text's arc is ranked in many cells
-    cells = F.split(F.lit(",".join(str(1 + c // CELL) for c in counts)), ",").cast("array<int>")
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("_salt"), F.element_at(cells, F.col("_arc") + 1))).drop("_salt")
-    placed = ranked(rows, "_arc", "_cell", ["text_crc32", "doc_id", "size"], "_rank")
+    placed = before(rows, ["_arc"], order, {"_rank": F.lit(1)})
     # the plan has a row for each arc and overflow: bounded by the ring (arcs * shards), not by the data
     plan_df = docs.sparkSession.createDataFrame(plan, "_a int, _lo long, _hi long, shard int, _base long")
     hit = (F.col("_arc") == F.col("_a")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))

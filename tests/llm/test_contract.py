@@ -238,3 +238,42 @@ def test_sharding_moves_few_rows_for_one_more_shard(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     a, b = ({r["doc_id"]: r["shard"] for r in rows(sharding.shard_rows(df, n))} for n in (8, 9))
     assert sum(a[i] != b[i] for i in a) < 0.35 * len(a)
+
+
+def test_very_many_languages(spark):
+    """Each of 600 languages has its dictionary; none is an error."""
+    from .conftest import prose
+
+    words = [[f"{chr(97 + n % 26)}{chr(97 + n // 26)}{w}" for w in prose(1, 40).translate({c: None for c in range(48, 58)}).split()] for n in range(600)]
+    df = spark.createDataFrame([(2 * n + i, " ".join(w[i::2] + w), f"l{n:03d}") for n, w in enumerate(words) for i in range(2)], "doc_id long, text string, lang string")
+    learned = langid.learn(df)
+    assert len(learned) == 600 and all(learned.values())
+    asked = df.filter("doc_id % 40 = 0")
+    right = langid.identify(asked, learned).join(asked.select("doc_id", "lang"), "doc_id").filter("lang = lang_pred").count()
+    assert right == asked.count()
+
+
+def test_a_rare_language_gives_all_of_its_text(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(8000))
+    df = spark.createDataFrame([(0, long, "rare")] + [(i, "some common words here", "many") for i in range(1, 5)], "doc_id long, text string, lang string")
+    assert len(langid.learn(df)["rare"]) == min(langid.DICTIONARY, len(langid.plain(long)))
+
+
+def test_equal_texts_lie_together_whatever_the_partitions(spark):
+    """A text is parted only where a shard is full, and places do not depend on the partitioning."""
+    texts = [prose_of(n % 300) if n % 3 else "hot" for n in range(12_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = None
+    for parts in (1, 7):
+        out = sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows(sharding.shard_rows(df.repartition(parts), 16)))
+        first = first or out
+        assert out == first
+    held = {}
+    for d, s, _ in first:
+        held.setdefault(texts[d], set()).add(s)
+    # each border between shards parts one text at most, but for the hot one, which a third of all rows have
+    assert sum(len(s) - 1 for t, s in held.items() if t != "hot") <= 2 * 16 and 5 <= len(held["hot"]) <= 8
+
+
+def prose_of(n: int) -> str:
+    return f"text number {n} of many"
