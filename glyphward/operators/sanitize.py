@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, call, running
 from ..functions.spans import _SPACE, Lexicon, apply_spans, detect
 from ..tables import OTHER_WEIGHT, WEIGHTS
 from .scan import free
@@ -33,11 +35,36 @@ def get_policy(name: str) -> Policy:
     return PROFILES[name]
 
 
-def _safe_sentences(text: Column, lexicon: Lexicon, policy: Policy) -> Column:
-    """The sentences without a blocking finding, joined by one blank."""
-    parts = F.split(text, f"(?<=[.!?]){_SPACE}+", -1)
-    kept = F.filter(parts, lambda s: ~F.exists(detect(s, lexicon), lambda x: x["category"].isin(*policy.blocking)))
-    return F.regexp_replace(F.array_join(kept, " "), f"^{_SPACE}+|{_SPACE}+$", "")
+#: Where a sentence ends and the next begins.
+_BREAK = f"(?<=[.!?]){_SPACE}+"
+
+
+def _trimmed(sentences: Column) -> Column:
+    return F.regexp_replace(F.array_join(sentences, " "), f"^{_SPACE}+|{_SPACE}+$", "")
+
+
+def _sentence_by_sentence(text: Column, lexicon: Lexicon, policy: Policy) -> Column:
+    """The sentences in which nothing that blocks is found, each looked at on its own."""
+    return _trimmed(F.filter(F.split(text, _BREAK, -1), lambda s: ~F.exists(detect(s, lexicon), lambda x: x["category"].isin(*policy.blocking))))
+
+
+def _safe_sentences(text: Column, found: Column, lexicon: Lexicon, policy: Policy) -> Column:
+    """The sentences without a blocking finding, joined by one blank; found: all findings of the text.
+
+    No shape of a secret or personal data, and no word or phrase without a sentence's end in it, reaches from one sentence into
+    the next, so the text's findings are those of its sentences: they are told from each other by offsets, in one walk.
+    A lexicon with such an entry has each sentence looked at on its own.
+    """
+    if any(re.search(r"[.!?]\s", e) for e in (*lexicon.profanity, *lexicon.softeners, *lexicon.slurs)):
+        return _sentence_by_sentence(text, lexicon, policy)
+    parts = F.split(text, _BREAK, -1)
+    lengths = call("zip_with", parts, F.regexp_extract_all(text, F.lit(_BREAK), F.lit(0)), "(p, g) -> char_length(p) + coalesce(char_length(g), 0)")
+    starts = running(lengths, "0", "a.state + x", "named_struct('at', a.state, 'bad', false)", "struct<at:int,bad:boolean>")
+    blocked = F.transform(F.filter(found, lambda x: x["category"].isin(*policy.blocking)), lambda x: F.struct(x["start"].alias("at"), F.lit(True).alias("bad")))
+    # sentences and findings by offset: a finding is of the last sentence that has begun
+    walked = running(F.array_sort(F.concat(starts, blocked)), "0", "if(x.bad, a.state, a.state + 1)", "if(x.bad, a.state, 0)", "int")
+    fine = F.array_except(F.sequence(F.lit(1), F.size(parts)), walked)
+    return F.when(text.isNotNull(), bind(parts, lambda p: _trimmed(F.transform(fine, lambda i: F.element_at(p, i)))))
 
 
 #: What sanitize() adds, behind its prefix.
@@ -63,7 +90,7 @@ def _sanitized(df: DataFrame, own: str, lexicon: Lexicon, policy: Policy, aggres
     text, found, score, blocked_by, acceptable = (F.col(own + n) for n in ("text", "findings", "score", "blocked_by", "acceptable"))
     out = df.withColumn(f"{own}findings", detect(text, lexicon))
     if aggressive:
-        out = out.withColumn(f"{own}rest", _safe_sentences(text, lexicon, policy)).withColumn(f"{own}spans", detect(F.col(f"{own}rest"), lexicon))
+        out = out.withColumn(f"{own}rest", _safe_sentences(text, found, lexicon, policy)).withColumn(f"{own}spans", detect(F.col(f"{own}rest"), lexicon))
         out = out.withColumn(f"{own}clean", apply_spans(F.col(f"{own}rest"), F.col(f"{own}spans"), keep_case=True))
     else:
         out = out.withColumn(f"{own}clean", apply_spans(text, found, keep_case=True))

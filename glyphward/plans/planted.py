@@ -12,13 +12,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bidi_name, confusable_with_ascii, detect, find_bidi, is_bidi_control, is_confusable, target
+from ..functions import confusable_with_ascii, detect, find_bidi, is_bidi_control, is_confusable, target
 from ..functions.arrays import rows_of
-from ..functions.spans import Lexicon
-from ..operators import clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoof_members, spoof_pairs, spoofs, to_json, top_findings, union_findings
+from ..functions.codepoints import with_names
+from ..functions.spans import Lexicon, raw_spans
+from ..operators import clean, clean_corpus, findings, findings_by, quarantine, ranked_by_findings, render_scan, sanitize, sarif, scan, spoof_members, spoof_pairs, spoofs, to_json, top_findings, union_findings
 from ..operators import chunks
 from ..sources import spread
-from ..tables import PROFANITY, SOFTENERS, ScanOptions, UnicodeScanOptions
+from ..tables import ScanOptions, UnicodeScanOptions
+from .fixed import PROFANITY, SOFTENERS
 
 PLANTS = (
     "x‮y", "ok ‪a‬ b", "​zw", "A️B", "t\U000e0041g", "ar؀b", "c\x07d\x1be", "раypal.com", "paypal.com", "Αlpha οmega", "Alpha omega",
@@ -246,9 +248,12 @@ _PLACED = (
 _LEVEL = "CASE WHEN severity = 'medium' THEN 'warning' ELSE 'error' END"
 _TEXT = "name || ' (' || codepoint || ', category ' || gc || ') at offset ' || o || ': ' || detail || '. Action: ' || action || '.'"
 _LOG = (
-    f"WITH {_PLACED}, results AS (SELECT doc_id, string_agg('{{\"ruleId\":\"glyphward/' || rule || '\",\"ruleIndex\":' || idx || ',\"level\":\"' || {_LEVEL} || '\",\"message\":{{\"text\":\"' || {_TEXT.replace('name', 'p.name').replace('detail', 'p.detail')} || '\"}},\"locations\":[{{\"physicalLocation\":{{\"artifactLocation\":{{\"uri\":\"doc/' || doc_id || '\"}},"
-    "\"region\":{\"startLine\":' || line || ',\"startColumn\":' || col || ',\"endColumn\":' || (col + 1) || ',\"charOffset\":' || o || ',\"charLength\":1}}}],\"properties\":{\"codepoint\":\"' || codepoint || '\",\"unicodeCategory\":\"' || gc || '\",\"severity\":\"' || severity || '\",\"action\":\"' || action || '\"}}', ',' ORDER BY o) AS r FROM placed p JOIN rules USING (category) GROUP BY doc_id), "
-    "listed AS (SELECT doc_id, string_agg('{\"id\":\"glyphward/' || rule || '\",\"name\":\"' || name || '\",\"shortDescription\":{\"text\":\"' || short || '\"},\"helpUri\":\"' || help || '\",\"defaultConfiguration\":{\"level\":\"' || level || '\"}}', ',' ORDER BY idx) AS l FROM ranks JOIN rules USING (category) GROUP BY doc_id) "
+    f"WITH {_PLACED}, results AS (SELECT doc_id, string_agg('{{\"ruleId\":\"glyphward/' || rule || '\",\"ruleIndex\":' || idx || ',\"level\":\"' || {_LEVEL} || '\",\"message\":{{\"text\":\"' || "
+    f"{_TEXT.replace('name', 'p.name').replace('detail', 'p.detail')} || '\"}},\"locations\":[{{\"physicalLocation\":{{\"artifactLocation\":{{\"uri\":\"doc/' || doc_id || '\"}},"
+    "\"region\":{\"startLine\":' || line || ',\"startColumn\":' || col || ',\"endColumn\":' || (col + 1) || ',\"charOffset\":' || o || ',\"charLength\":1}}}],\"properties\":{\"codepoint\":\"' || "
+    "codepoint || '\",\"unicodeCategory\":\"' || gc || '\",\"severity\":\"' || severity || '\",\"action\":\"' || action || '\"}}', ',' ORDER BY o) AS r FROM placed p JOIN rules USING (category) GROUP BY doc_id), "
+    "listed AS (SELECT doc_id, string_agg('{\"id\":\"glyphward/' || rule || '\",\"name\":\"' || name || '\",\"shortDescription\":{\"text\":\"' || short || '\"},\"helpUri\":\"' || help || "
+    "'\",\"defaultConfiguration\":{\"level\":\"' || level || '\"}}', ',' ORDER BY idx) AS l FROM ranks JOIN rules USING (category) GROUP BY doc_id) "
     "SELECT doc_id, '{\"$schema\":\"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json\",\"version\":\"2.1.0\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"glyphward\",\"rules\":[' || coalesce(l, '') || ']}},\"results\":[' || coalesce(r, '') || ']}]}' AS sarif FROM planted LEFT JOIN results USING (doc_id) LEFT JOIN listed USING (doc_id)"
 )
 
@@ -264,6 +269,23 @@ def q_clean(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return _scan(spark, sf_dir, **options).select("doc_id", "clean")
 
 
+def q_clean_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean() leaves a user's columns as they are, source among them."""
+    return clean(planted(spark, sf_dir)).select("doc_id", "lang", "source", "clean")
+
+
+#: Letters that a word of the benchmark has at least, to be in the lexicon that is made of them.
+WORD = 4
+
+
+def q_benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every word of the benchmark's texts in the documents: a lexicon of as many entries as that has words."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("entry"))
+    own = Lexicon.from_table(words.filter(F.char_length("entry") >= WORD).select(F.lit("slur").alias("kind"), "entry", F.lit(None).cast("string").alias("replacement")))
+    rows = rows_of(planted(spark, sf_dir), raw_spans(F.col("text"), Lexicon({}, {}, own.slurs)), "start", "doc_id").filter("detector = 'slur'")
+    return rows.groupBy("doc_id", F.lower("matched").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("long").alias("first"), F.max("end").cast("long").alias("last"))
+
+
 def q_bidi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows_of(planted(spark, sf_dir), find_bidi(F.col("text")), "char", "doc_id")
     return rows.select("doc_id", F.col("offset").cast("long").alias("offset"), F.hex(F.encode("char", "UTF-8")).alias("bytes"))
@@ -276,8 +298,8 @@ def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = F.col("ch")
-    chars = _characters(spark, sf_dir)
-    return chars.select("ch", is_bidi_control(ch).alias("is_bidi"), is_confusable(ch).alias("confusable"), target(ch).alias("target"), F.when(is_bidi_control(ch) | is_confusable(ch), bidi_name(ch)).alias("name"))
+    chars = with_names(_characters(spark, sf_dir), "ch", "own_name")
+    return chars.select("ch", is_bidi_control(ch).alias("is_bidi"), is_confusable(ch).alias("confusable"), target(ch).alias("target"), F.when(is_bidi_control(ch) | is_confusable(ch), F.col("own_name")).alias("name"))
 
 
 # The planted characters of the fixed table (others fold by compatibility alone).
@@ -371,6 +393,8 @@ QUERIES = {
     "findings_by_lang": q_by,
     "findings_by_source": partial(q_by, key="source"),
     "spoof_groups": q_spoofs,
+    "clean_columns": q_clean_columns,
+    "benchmark_words": q_benchmark_words,
     "chunk_findings": q_chunk_findings,
     "chunk_verdicts": q_chunk_verdicts,
     "spoof_pairs": q_spoof_pairs,
@@ -411,11 +435,14 @@ ORACLE_SQL = {
     "clean_without_pii": f"WITH {VIEW} SELECT doc_id, {cleaned()} AS clean FROM planted",
     "clean_flag_only": f"WITH {VIEW} SELECT doc_id, {cleaned('t', 'homoglyph')} AS clean FROM planted",
     "sarif_log": _LOG,
-    "sarif_places": f"WITH {_PLACED} SELECT doc_id, 'glyphward/' || rule AS rule_id, {_LEVEL} AS level, {_TEXT.replace('name', 'p.name').replace('detail', 'p.detail')} AS message, idx AS rule_index, line AS start_line, col AS start_column, col + 1 AS end_column, o AS char_offset FROM placed p JOIN rules USING (category)",
+    "sarif_places": f"WITH {_PLACED} SELECT doc_id, 'glyphward/' || rule AS rule_id, {_LEVEL} AS level, {_TEXT.replace('name', 'p.name').replace('detail', 'p.detail')} AS message, idx AS rule_index, "
+        f"line AS start_line, col AS start_column, col + 1 AS end_column, o AS char_offset FROM placed p JOIN rules USING (category)",
     "human_report": _REPORT,
-    "scan_json": f"WITH {_SCANNED}, {_ALL} SELECT doc_id, 'dangerous,counts,' || CASE WHEN t IS NULL THEN '' ELSE 'clean,' END || 'unicode_findings,pii_findings' AS keys, {_DANGER} AS dangerous, d AS clean, {_UNICODE_LIST} AS \"unicode\", {_PII_LIST} AS pii, {_COUNT_LIST.format(',')} AS counts FROM planted p LEFT JOIN done ON done.k = p.doc_id",
+    "scan_json": f"WITH {_SCANNED}, {_ALL} SELECT doc_id, 'dangerous,counts,' || CASE WHEN t IS NULL THEN '' ELSE 'clean,' END || 'unicode_findings,pii_findings' AS keys, {_DANGER} AS dangerous, d AS "
+        f"clean, {_UNICODE_LIST} AS \"unicode\", {_PII_LIST} AS pii, {_COUNT_LIST.format(',')} AS counts FROM planted p LEFT JOIN done ON done.k = p.doc_id",
     "bidi_offsets": f"WITH {_HITS} SELECT doc_id, o AS \"offset\", hex(ch) AS bytes FROM hits WHERE category = 'bidi'",
-    "character_facts": f"WITH {_HITS}, each AS (SELECT DISTINCT ch FROM chars), known AS (SELECT ch, d.*, unicode(ch) IN ({', '.join(map(str, _FIXED))}) AS fixed FROM each LEFT JOIN dim d ON unicode(ch) = cp) SELECT ch, coalesce(category = 'bidi', false) AS is_bidi, fixed AS confusable, CASE WHEN fixed THEN replacement END AS target, CASE WHEN fixed OR category = 'bidi' THEN name END AS name FROM known",
+    "character_facts": f"WITH {_HITS}, each AS (SELECT DISTINCT ch FROM chars), known AS (SELECT ch, d.*, unicode(ch) IN ({', '.join(map(str, _FIXED))}) AS fixed FROM each LEFT JOIN dim d ON "
+        f"unicode(ch) = cp) SELECT ch, coalesce(category = 'bidi', false) AS is_bidi, fixed AS confusable, CASE WHEN fixed THEN replacement END AS target, CASE WHEN fixed OR category = 'bidi' THEN name END AS name FROM known",
     "confusable_planted_words": f"WITH {VIEW}, {_WORDS} SELECT DISTINCT doc_id, word FROM skeletons WHERE NOT {_ASCII.format('word')} AND skeleton <> word AND {_ASCII.format('skeleton')}",
     "quarantined": f"WITH {_HITS} SELECT doc_id, lang FROM planted p WHERE {_DANGER}",
     "not_quarantined": f"WITH {_HITS} SELECT doc_id, lang FROM planted p WHERE NOT {_DANGER}",
@@ -424,6 +451,14 @@ ORACLE_SQL = {
     "top_documents": f"WITH {_SCANNED}, {_COUNTED} SELECT doc_id, n_findings FROM counted ORDER BY n_findings DESC, doc_id LIMIT 20",
     "findings_by_lang": f"WITH {_HITS} SELECT lang, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
     "findings_by_source": f"WITH {_HITS} SELECT source, category, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM hits JOIN planted USING (doc_id) GROUP BY 1, 2",
+    "clean_columns": f"WITH {_SCANNED} SELECT doc_id, lang, source, d AS clean FROM planted LEFT JOIN done ON k = doc_id",
+    "benchmark_words": (
+        f"WITH {VIEW}, own AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= {WORD}), "
+        "cut AS (SELECT doc_id, unnest(string_split_regex(t, '[\\p{L}\\p{N}_]+')) AS gap, unnest(list_append(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'), NULL)) AS m, "
+        "unnest(range(len(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) + 1)) AS i FROM planted WHERE t IS NOT NULL), "
+        "placed AS (SELECT doc_id, lower(m) AS word, CAST(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, length(m) AS n FROM cut) "
+        "SELECT doc_id, word, count(*) AS n, min(e - n) AS \"first\", max(e) AS \"last\" FROM placed WHERE word IN (SELECT w FROM own) GROUP BY 1, 2"
+    ),
     "chunk_findings": f"WITH {_PLACED} SELECT doc_id, o AS \"offset\", line, col AS \"column\", codepoint, p.name AS name, category FROM placed p",
     "chunk_verdicts": (
         f"WITH {_HITS}, {_OFF_LINES} SELECT doc_id, {_DANGER} AS dangerous, doc_id IN (SELECT doc_id FROM off) AS unbalanced, coalesce(length(t), 0) AS n_chars, "

@@ -16,8 +16,9 @@ from ..functions.arrays import rows_of
 from ..functions.spans import Lexicon, raw_spans, resolve
 from ..operators import clean, sanitize, sarif_results, scan
 from ..sources import spread
-from ..tables import BIDI, PROFANITY, SOFTENERS, UnicodeScanOptions
+from ..tables import UnicodeScanOptions
 from . import planted
+from .fixed import BIDI, PROFANITY, SOFTENERS
 
 PLANTED = (
     "x‮y", "ok ‪a‬ b", "​zw", "A️B", "t\U000e0041g", "ar؀b", "c\x07d\x1be", "раypal.com", "Αlpha οmega", "ｆull nb", "brand™ \U0001d400BC ﬁn",
@@ -85,7 +86,8 @@ _BIDI_CLASS = "[" + "".join(f"\\x{{{cp:04X}}}" for cp in BIDI) + "]"
 _HOLDS_DANGER = "regexp_matches({}, '[\\p{{Cf}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}\\x{{FE00}}-\\x{{FE0F}}\\x{{E0100}}-\\x{{E01EF}}\\x{{E0000}}-\\x{{E007F}}]')"
 # lines and signs by code point; the two kinds of openings are added up by line
 _UNBALANCED = (
-    f"{_DIRTY}, chars AS (SELECT doc_id, unnest(range(length(t))) AS o, unicode(unnest(string_split(t, ''))) AS cp FROM dirty), signs AS (SELECT doc_id, o, cp, sum(CASE WHEN cp BETWEEN 8234 AND 8238 OR cp > 8233 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY o) AS line FROM chars "
+    f"{_DIRTY}, chars AS (SELECT doc_id, unnest(range(length(t))) AS o, unicode(unnest(string_split(t, ''))) AS cp FROM dirty), signs AS (SELECT doc_id, o, cp, sum(CASE WHEN cp BETWEEN 8234 AND 8238 "
+    f"OR cp > 8233 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY o) AS line FROM chars "
     "WHERE cp IN (10, 11, 12, 13, 28, 29, 30, 133, 8232, 8233) OR cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297), walked AS (SELECT doc_id, line, o, sum(CASE WHEN cp IN (8234, 8235, 8237, 8238) THEN 1 WHEN cp = 8236 THEN -1 ELSE 0 END) OVER w AS e, "
     "sum(CASE WHEN cp IN (8294, 8295, 8296) THEN 1 WHEN cp = 8297 THEN -1 ELSE 0 END) OVER w AS i FROM signs WINDOW w AS (PARTITION BY doc_id, line ORDER BY o)), "
     "bad AS (SELECT doc_id FROM walked GROUP BY doc_id, line HAVING min(e) < 0 OR min(i) < 0 OR arg_max(e, o) <> 0 OR arg_max(i, o) <> 0) SELECT doc_id, doc_id IN (SELECT doc_id FROM bad) AS result FROM dirty"
@@ -236,7 +238,8 @@ ORACLE_SQL = {
     "contains_bidi": _result(f"regexp_matches(t, '{_BIDI_CLASS}')"),
     "unbalanced_bidi": _UNBALANCED,
     "confusable_with_ascii": _result(f"NOT {_IS_ASCII.format('t')} AND {_swaps()} <> t AND {_IS_ASCII.format(_swaps())}"),
-    "confusable_words": f"{_DIRTY}, w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT doc_id, t AS word, {_swaps()} AS skeleton FROM w WHERE NOT regexp_full_match(t, '[\\x00-\\x7F]*')) SELECT doc_id, word, count(*) AS n FROM s WHERE skeleton <> word AND regexp_full_match(skeleton, '[\\x00-\\x7F]*') GROUP BY 1, 2",
+    "confusable_words": f"{_DIRTY}, w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS t FROM dirty), s AS (SELECT doc_id, t AS word, {_swaps()} AS skeleton FROM w WHERE NOT regexp_full_match(t, "
+        f"'[\\x00-\\x7F]*')) SELECT doc_id, word, count(*) AS n FROM s WHERE skeleton <> word AND regexp_full_match(skeleton, '[\\x00-\\x7F]*') GROUP BY 1, 2",
     "email_findings": _unnested(_EMAIL, "[redacted-email]", but="kys@example.com"),
     "phone_findings": _unnested(_PHONE, "[redacted-phone]", 1),
     "ipv4_findings": _unnested(_IPV4, "[redacted-ip]"),

@@ -45,3 +45,11 @@ def test_answers_are_not_empty(duck):
     """What is compared holds rows, but for one query that the given tables have no rows for."""
     empty = [n for n in NAMES if not duck.sql(entry.oracle_sql()[n]).limit(1).fetchall()]
     assert empty in ([], ["spoof_words"])
+
+
+def test_tables_are_as_restated():
+    """The operators' tables against what the SQL has of them."""
+    from glyphward import tables
+    from glyphward.plans import fixed
+
+    assert (tables.BIDI, tables.PROFANITY, tables.SOFTENERS) == (fixed.BIDI, fixed.PROFANITY, fixed.SOFTENERS)

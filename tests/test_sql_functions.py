@@ -87,3 +87,18 @@ def test_clean_texts_stay_clean(spark):
     for r in scan(once).collect():
         assert r["clean"] == r["text"] and not r["dangerous"] and r["unicode_findings"] == []
         assert r["first"] != SAMPLES[-1] or r["text"] == SAMPLES[-1]
+
+
+def test_the_name_of_every_character(spark):
+    """Each code point that a string can hold, against the names as Python has them."""
+    from glyphward.functions.codepoints import with_names
+
+    points = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.col("id").cast("int").alias("cp"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("ch")).filter(F.char_length("ch") == 1)
+    named = with_names(points)
+    assert "Python" not in named._jdf.queryExecution().toString()
+    rows = named.toPandas()
+    assert len(rows) >= 0x110000 - 2048 - 1
+    wrong = [(cp, n) for cp, n in zip(rows["cp"], rows["name"], strict=True) if cp not in BIDI and n != unicodedata.name(chr(cp), f"U+{cp:04X}")]
+    assert not wrong, wrong[:5]
+    odd = with_names(spark.createDataFrame([("ab",), ("",), (None,), ("‮",)], "ch string").withColumn("first", F.lit(1))).collect()
+    assert [r["name"] for r in odd] == [None, None, None, "RIGHT-TO-LEFT OVERRIDE"] and odd[0]["first"] == 1
