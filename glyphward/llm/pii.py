@@ -178,19 +178,28 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
         return plain.withColumn("terms", F.lit(None).cast("array<struct<s:long,e:long>>"))
     total = F.lit(float(scanned.count()))
     named = texts.select("text_key", "m", F.explode("entities").alias("entity"))
-    # entities that stand in the same texts have the same terms: one stands for all
+    # entities that stand in the same texts have the same terms: one stands for all of them
     where = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"at{i}") for i in range(2)]
     entities = named.groupBy("entity").agg(F.sum("m").alias("n_c"), F.count(F.lit(1)).alias("texts"), *where)
     entities = entities.groupBy("n_c", "texts", "at0", "at1").agg(F.min("entity").alias("entity")).select("entity", "n_c")
     # n_ct <= n_c, so no term of more documents than this can pass
     most = F.pow(total, F.lit(1 - disclosure)) * F.pow(F.col("n_c"), F.lit(disclosure)) * (1 + 1e-9)
-    held = named.join(entities, "entity").withColumn("most", most)
-    words = _words(texts).join(_term_counts(docs), "term")
-    pairs = stash(held.join(words, "text_key").filter(F.col("n_t") <= F.col("most")).select("text_key", "m", "entity", "term", "n_c", "n_t"))
-    counted = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("m").alias("n_ct"))
+    held = stash(named.join(entities, "entity").withColumn("most", most))
+    highest = held.groupBy("text_key").agg(F.first("m").alias("m"), F.max("most").alias("highest"))
+    words = _words(texts).join(highest, "text_key").join(_term_counts(docs), "term").filter(F.col("n_t") <= F.col("highest"))
+    words = stash(words.select("text_key", "m", "term", "n_t"))
+    # so do terms that as many documents hold, and the same texts with entities: pairs are of what differs, not entities times terms
+    own = words.groupBy("term", "n_t").agg(F.count(F.lit(1)).alias("texts"), *where)
+    groups = own.groupBy("n_t", "texts", "at0", "at1").agg(F.min("term").alias("like"))
+    likes = own.join(groups, ["n_t", "texts", "at0", "at1"]).select("term", "like")
+    words = stash(words.join(likes, "term"))
+    stands = words.filter(F.col("term") == F.col("like")).select("text_key", "like", "n_t")
+    pairs = stash(held.join(stands, "text_key").filter(F.col("n_t") <= F.col("most")).select("text_key", "m", "entity", "like", "n_c", "n_t"))
+    counted = pairs.groupBy("entity", "like", "n_c", "n_t").agg(F.sum("m").alias("n_ct"))
     pmi = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    telling = counted.filter(pmi >= F.lit(disclosure) * F.log(total / F.col("n_c"))).select("entity", "term")
-    marked = pairs.join(telling, ["entity", "term"], "left_semi").select("text_key", "term").distinct()
+    telling = counted.filter(pmi >= F.lit(disclosure) * F.log(total / F.col("n_c"))).select("entity", "like")
+    told = pairs.join(telling, ["entity", "like"], "left_semi").select("text_key", "like").distinct()
+    marked = words.join(told, ["text_key", "like"], "left_semi").select("text_key", "term")
     terms = _places(texts.join(marked.groupBy("text_key").agg(F.collect_list("term").alias("marked")), "text_key"))
     return plain.join(terms, "text_key", "left").select("doc_id", "text_key", "base", "terms")
 

@@ -116,3 +116,28 @@ def test_top_k_over_many_groups(spark, monkeypatch):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     out = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df, "vec_id % 50 = 0", 5)))
     assert out == want
+
+
+def test_entities_times_terms(spark):
+    """Texts that share many addresses and many words: work grows with both added, and the pairs that are counted hardly at all."""
+    import time
+
+    from glyphward.llm import pii
+
+    def table(n):
+        texts = [" ".join([f"user{i}@example.com" for i in range(n) if (i + t) % 3] + [f"{letters(t)}only{letters(i)}" for i in range(5 * n)] + [f"common{letters(i)}" for i in range(5 * n)]) for t in range(8)]
+        return spark.createDataFrame(list(enumerate(texts)) + [(100 + i, f"filler{letters(i)} words") for i in range(500)], "doc_id long, text string")
+
+    def letters(i):
+        return "".join(chr(97 + int(c)) for c in f"{i:05d}")
+
+    def took(n):
+        docs, start = table(n), time.time()
+        got = {r["doc_id"]: r["terms"] for r in pii.find(docs).collect()}
+        # words of one text tell what stands there; all others are in too few texts beside, or without addresses
+        assert all(len(got[t]) >= 5 * n for t in range(8)) and not any(got[100 + i] for i in range(500))
+        return time.time() - start
+
+    took(50)
+    few, many = took(100), took(800)
+    assert many < 8 * few + 10
