@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each one of the operators of glyphward.llm."""
+"""From raw documents to packed sequences: five stages, each one of the operators of glyphward.llm.
+
+All but the last return the columns of documents, as do tables with further columns, which are carried along. In each stage
+null and empty texts, repeated rows, rows without a doc_id and empty tables have the results that its operator states.
+"""
 
 from __future__ import annotations
 

@@ -162,7 +162,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.002) -> DataFrame:
-    """The rows that identify() does not reject, with all their columns, in one pass without a shuffle."""
+    """The rows that identify() does not reject, with all their columns, in one pass without a shuffle.
+
+    Null texts and texts without letters go; repeated rows and rows without a doc_id stay or go each for itself; an empty
+    table gives no rows.
+    """
     ship(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

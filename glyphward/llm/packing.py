@@ -335,7 +335,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048, grain: i
     """Pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have END_ID alone. With keep_ids, column ids holds each piece's ids. With added, text that spells
-    an added token, such as <|endoftext|>, is that token (the library's default), else ordinary text.
+    an added token, such as <|endoftext|>, is that token (the library's default), else ordinary text. Repeated rows, and rows
+    without a doc_id, are packed each for itself; an empty table gives no rows; other columns are ignored.
     """
     return pack(stash(token_pieces(docs, vocabulary, width, keep_ids, added)), width, grain)
 
@@ -343,7 +344,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, width: int = 2048, grain: i
 def sequences(packed: DataFrame, width: int = 2048, pad_id: int = 0) -> DataFrame:
     """One row a sequence of pack_documents(keep_ids=True): sequence_id, input_ids, doc_ids, n_tokens.
 
-    input_ids are padded to width, except where their number is a power of two.
+    input_ids are padded to width, except where their number is a power of two. doc_ids has an entry for each piece, null for
+    rows without one; no pieces give no rows.
     """
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     out = packed.groupBy("sequence_id").agg(parts.alias("p"))

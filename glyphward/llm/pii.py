@@ -229,7 +229,9 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """The same rows and columns with texts generalised; n_chars, where there is one, follows the text.
 
-    Base kinds are replaced where the texts stand; only rows of documents with disclosing terms are looked up.
+    Base kinds are replaced where the texts stand; only rows of documents with disclosing terms are looked up. Null texts stay
+    null, empty ones empty; repeated rows have equal results; columns of any other name are carried along; an empty table
+    gives no rows.
     """
     found = stash(find(docs, disclosure).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "terms").distinct())
     own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))

@@ -158,7 +158,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that score_documents() predicts as label 1, with all their columns, in one pass without a shuffle."""
+    """The rows that score_documents() predicts as label 1, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts have a score like any other; repeated rows and rows without a doc_id stay or go each for itself; an
+    empty table gives no rows.
+    """
     ship(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model)
 

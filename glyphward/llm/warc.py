@@ -118,6 +118,7 @@ def crawl(pages: DataFrame) -> DataFrame:
 
     The response is at date 10 * page_id. The first revisit comes 5 to 65 later by another spelling of the URL, with
     the same ETag, its weak form, another one, or only Last-Modified, by page_id; the second comes 3 earlier.
+    Null htmls give null payloads, repeated rows repeated records; an empty table gives none; other columns are ignored.
     """
     h = lambda name, value: F.struct(F.lit(name).alias("name"), F.coalesce(value.cast("string"), F.lit("")).alias("value"))
     i, at = F.col("page_id"), F.col("page_id") * 10
@@ -138,7 +139,7 @@ def crawl(pages: DataFrame) -> DataFrame:
 
 
 def digests(resolved: DataFrame) -> DataFrame:
-    """Each record with its headers as lines and the MD5 of its payload."""
+    """Each record with its headers as lines and the MD5 of its payload (null where it has none); a row for each row of resolve()."""
     lines = F.array_join(F.transform("headers", lambda x: F.concat(x["name"], F.lit(": "), x["value"])), "\n")
     return resolved.select("record_id", "url_key", "outcome", "base_id", "matched_by", "status", lines.alias("headers"), F.md5("payload").alias("payload_md5"))
 
