@@ -7,6 +7,7 @@ import json
 from pyspark.sql import SparkSession
 
 from ..tables import BIDI, UnicodeScanOptions, confusables, flagged, folds
+from .codepoints import code_points
 from .unicode import DANGEROUS
 
 #: What unicode_scan() gives, in order; all but the offset are strings.
@@ -66,8 +67,10 @@ def scan_body(options: UnicodeScanOptions = UnicodeScanOptions()) -> str:
 def register(spark: SparkSession, options: UnicodeScanOptions = UnicodeScanOptions()) -> None:
     """Adds table function unicode_scan(text) and functions clean_unicode, skeleton, strip_bidi, contains_bidi, is_dangerous, is_confusable, confusable_with_ascii (text).
 
-    Null texts give null, and no rows.
+    Null texts give null, and no rows. View code_points has the names of all characters by intervals: (block, first, last, name,
+    numbered, unicode_category), where a numbered name goes on with its character's own number.
     """
+    code_points(spark).createOrReplaceTempView("code_points")
     for name, (kind, body) in bodies(options).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")
     columns = ", ".join(["offset INT", *[f"{n} STRING" for n in FIELDS]])

@@ -133,3 +133,22 @@ def test_streams_of_files(spark, folder, tmp_path):
     second = run()
     assert second == first | {"later.txt-0.txt": "more"}
     assert not list((tmp_path / "streamed").rglob("*staged*"))
+
+
+def test_the_command_reads_files_in_pieces(spark, tmp_path, capsys, monkeypatch):
+    from glyphward.cli import main
+    from glyphward.sources import datasource
+
+    monkeypatch.setattr(datasource, "CHUNK", 64)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("plain words\n" * 50)
+    assert main(["scan", str(tmp_path / "in"), "--pieces"], spark) == 0 and "clean-ish  ()  51 lines" in capsys.readouterr().out
+    (tmp_path / "in" / "b.txt").write_text("plain words\n" * 50 + "x‮y р")
+    assert main(["scan", str(tmp_path / "in"), "--pieces", "--table", str(tmp_path / "t")], spark) == 1
+    assert "DANGEROUS  (bidi=1, homoglyph=1)  51 lines, unbalanced" in capsys.readouterr().out
+    assert [(r["offset"], r["line"], r["column"]) for r in spark.read.parquet(str(tmp_path / "t")).orderBy("offset").collect()] == [(601, 51, 2), (604, 51, 5)]
+    assert main(["scan", str(tmp_path / "in" / "b.txt"), "--pieces", "--no-bidi", "--json"], spark) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["n_lines"] == 51 and said["counts"] == {"homoglyph": 1} and not said["dangerous"]
+    with pytest.raises(SystemExit):
+        main(["scan", "-t", "x", "--pieces"], spark)
