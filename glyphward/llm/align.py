@@ -22,6 +22,10 @@ from .textvec import flat, pieces, span_hashes
 PAIRS = 500_000
 #: The share of all rows from which a pair's counts are broadcast when the others are shuffled.
 HEAVY = 0.001
+#: Characters beyond which a text is aligned in parts of about so many.
+LONG = 4 << 20
+#: A place where tokens of both sides end: behind a visible ASCII character, before a blank.
+_BORDER = re.compile(r"[!-~](?= )")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
@@ -163,6 +167,56 @@ def _groups(a_ids: np.ndarray, b_ids: np.ndarray, a: np.ndarray, b: np.ndarray,
     return parts
 
 
+class Aligner:
+    """The two vocabularies of a worker, and what they make of texts."""
+
+    def __init__(self, byte_vocabulary: str, piece_model: str):
+        self.a, self.b = byte_tokens(byte_vocabulary), piece_tokens(piece_model)
+
+    def batch(self, texts: pa.Array) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, groups, pairs, times, whether both sides spell it) of each text that begins with a blank or is empty."""
+        a_ids, a_offs, a_size, a_fine = self.a.tokens(texts)
+        b_ids, b_offs, b_size, b_fine = self.b.tokens(texts)
+        fine = a_fine & b_fine
+        if not fine.all():
+            a_kept, b_kept = np.repeat(fine, np.diff(a_offs)), np.repeat(fine, np.diff(b_offs))
+            a_ids, a_size, b_ids, b_size = a_ids[a_kept], a_size[a_kept], b_ids[b_kept], b_size[b_kept]
+            a_offs, b_offs = (np.concatenate([[0], np.cumsum(np.where(fine, np.diff(o), 0))]) for o in (a_offs, b_offs))
+        # texts end where tokens of both sides do, so one merge serves all texts of the batch
+        a, b, last = merged(a_size, b_size)
+        link_offs = np.searchsorted(a, a_offs)
+        counts = [np.diff(o).tolist() for o in (a_offs, b_offs, np.searchsorted(last, link_offs), link_offs)]
+        parts, part_offs = (_groups(a_ids, b_ids, a, b, last) if len(a) else np.zeros(0, object)), a_offs + b_offs
+        joined = a_ids[a].astype(np.int64) << 32 | b_ids[b] if len(a) else np.zeros(0, np.int64)
+        out = []
+        for d, (n_a, n_b, n_groups, n_links) in enumerate(zip(*counts, strict=True)):
+            pairs, times = np.unique(joined[link_offs[d] : link_offs[d + 1]], return_counts=True)
+            out.append((n_a, n_b, n_groups, n_links, "".join(parts[part_offs[d] : part_offs[d + 1]])[:-1], pairs, times, bool(fine[d])))
+        return out
+
+    def long(self, text: str, size: int, keep: bool) -> tuple:
+        """(n_a, n_b, n_groups, n_links, groups if kept, pairs, times, digest of the groups) of a text of any length, part by part.
+
+        Parts end where a visible ASCII character stands before a blank: both sides' tokens end there in any context, so links
+        and groups of the parts are those of the text.
+        """
+        numbers, written, digest = np.zeros(4, np.int64), [], hashlib.sha256()
+        pairs, times, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while at < len(text):
+            cut = _BORDER.search(text, at + size)
+            end = cut.end() if cut else len(text)
+            *n, groups, own, count, fine = self.batch(pa.array([text[at:end]], pa.large_string()))[0]
+            if not fine:
+                return 0, 0, 0, 0, "", pairs[:0], times[:0], ""
+            numbers += n
+            digest.update((";" * (at > 0) + groups).encode())
+            written += [groups] * keep
+            pairs, back = np.unique(np.concatenate([pairs, own]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, count]), len(pairs)).astype(np.int64)
+            at = end
+        return *numbers.tolist(), ";".join(written), pairs, times, digest.hexdigest()
+
+
 def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, groups: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, row (a number of the row's own), n_a, n_b, n_groups, n_links, groups_sha256, links (pair, times), and with groups their text.
 
@@ -171,53 +225,40 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, groups: bool
     in order; links: each pair of ids (a << 32 | b) of the row and how many of its links have it.
 
     Texts that are null, empty or not spelt by the tokens of a side have no tokens: zeros, no links and ''. Repeated rows
-    and those without a key count each for themselves; an empty table gives no rows; other columns are ignored. A text is
-    one task's, with all its tokens; batches hold 1 MB of texts, or one longer text.
+    and those without a key count each for themselves; an empty table gives no rows; other columns are ignored. Batches hold
+    1 MB of texts; longer ones are aligned in parts of LONG characters.
     """
     ship(docs.sparkSession)
     names = ["doc", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "groups"][: 10 if groups else 9]
+    long = LONG
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side_a, side_b = byte_tokens(byte_vocabulary), piece_tokens(piece_model)
+        own = Aligner(byte_vocabulary, piece_model)
         number = TaskContext.get().partitionId() << 33
 
-        def batches() -> Iterator[pa.RecordBatch]:
-            for f in frames:
-                own = pa.array(f["text"], pa.large_string(), from_pandas=True)
-                spelt = pa.array([" " + t if t else "" for t in own.to_pylist()], pa.large_string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(f))), spelt, pa.array(f["doc"], from_pandas=True)], ["at", "text", "doc"])
-
-        for b in pieces(batches()):
-            n = b.num_rows
-            a_ids, a_offs, a_size, a_fine = side_a.tokens(b.column("text"))
-            b_ids, b_offs, b_size, b_fine = side_b.tokens(b.column("text"))
-            fine = a_fine & b_fine
-            if not fine.all():
-                a_kept, b_kept = np.repeat(fine, np.diff(a_offs)), np.repeat(fine, np.diff(b_offs))
-                a_ids, a_size, b_ids, b_size = a_ids[a_kept], a_size[a_kept], b_ids[b_kept], b_size[b_kept]
-                a_offs, b_offs = (np.concatenate([[0], np.cumsum(np.where(fine, np.diff(o), 0))]) for o in (a_offs, b_offs))
-            # texts end where tokens of both sides do, so one merge serves all texts of the batch
-            a, c, last = merged(a_size, b_size)
-            link_offs = np.searchsorted(a, a_offs)
-            group_offs = np.searchsorted(last, link_offs)
-            parts = _groups(a_ids, b_ids, a, c, last) if len(a) else np.zeros(0, object)
-            part_offs = a_offs + b_offs
-            joined = [a_ids[a].astype(np.int64) << 32 | b_ids[c] if len(a) else np.zeros(0, np.int64)]
-            pairs, times, written = [], [], []
-            for d in range(n):
-                own, count = np.unique(joined[0][link_offs[d] : link_offs[d + 1]], return_counts=True)
-                pairs.append(own)
-                times.append(count)
-                written.append("".join(parts[part_offs[d] : part_offs[d + 1]])[:-1])
-            sha = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
-            columns = [b.column("doc").to_pandas(types_mapper=pd.ArrowDtype), number + np.arange(n), np.diff(a_offs), np.diff(b_offs), np.diff(group_offs), np.diff(link_offs), sha, pairs, times, written]
-            number += n
-            yield pd.DataFrame(dict(zip(names, columns, strict=False)))
+        def given(keys: pd.Series, rows: list[tuple]) -> pd.DataFrame:
+            nonlocal number
+            number += len(rows)
+            columns = [keys.reset_index(drop=True), number - len(rows) + np.arange(len(rows)), *map(list, zip(*rows, strict=True))]
+            return pd.DataFrame(dict(zip(names, columns, strict=False)))
+
+        for f in frames:
+            spelt = [" " + t if t else "" for t in f["text"]]
+            size = np.array([len(t) for t in spelt])
+            for at in np.flatnonzero(size > long):
+                n_a, n_b, n_groups, n_links, written, pairs, times, sha = own.long(spelt[at], long, groups)
+                yield given(f["doc"].iloc[at : at + 1], [(n_a, n_b, n_groups, n_links, sha, pairs, times, written)])
+            short = np.flatnonzero(size <= long)
+            table = pa.RecordBatch.from_arrays([pa.array(short), pa.array([spelt[i] for i in short], pa.large_string())], ["at", "text"])
+            for b in pieces([table]):
+                rows = [(*n, hashlib.sha256(w.encode()).hexdigest() if w else "", pairs, times, w) for *n, w, pairs, times, _ in own.batch(b.column("text"))]
+                yield given(f["doc"].iloc[b.column("at").to_numpy()], rows)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc {kind}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>" + ", groups string" * groups
-    out = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).mapInPandas(work, schema)
-    return out.select(F.col("doc").alias(key), *[c for c in names[1:] if c not in ("pairs", "times")], F.arrays_zip("pairs", "times").alias("links"))
+    schema = "doc string, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>" + ", groups string" * groups
+    # keys travel as strings: pandas would make floats of longs among nulls
+    out = docs.select(F.col(f"`{key}`").cast("string").alias("doc"), F.col(f"`{text}`").alias("text")).mapInPandas(work, schema)
+    return out.select(F.col("doc").cast(kind).alias(key), *[c for c in names[1:] if c not in ("pairs", "times")], F.arrays_zip("pairs", "times").alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

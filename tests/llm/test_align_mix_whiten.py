@@ -88,11 +88,21 @@ def test_alignment_of_a_given_table(spark):
 def test_alignment_of_odd_rows(spark, edge, monkeypatch, broadcast):
     # with no pair broadcast, counts are shuffled, but those of pairs that many rows have
     monkeypatch.setattr(align, "PAIRS", broadcast)
-    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD)] + [(101, "again")], "doc_id long, text string")
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD)] + [(101, "again"), ((1 << 62) + 1, "large id")], "doc_id long, text string")
     docs = edge.select("doc_id", "text").unionByName(more).repartition(5).withColumn("pair", F.lit(1)).withColumn("row", F.lit("x"))
     assert answer(align.report(align.align(docs, A, B))) == brute_alignment([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Whatever the parts, a text's links and groups are its own."""
+    monkeypatch.setattr(align, "LONG", 50)
+    rows = [(i, prose(i, 5 + 40 * i)) for i in range(6)] + [(10 + i, (t + " and more, ") * 12) for i, t in enumerate(ODD)] + [(50, "x" * 300), (51, "a b  c\n\n d " * 30), (52, "plain " * 30 + "▁ " + "plain " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = align.align(docs, A, B, groups=True)
+    assert answer(align.report(out)) == brute_alignment(rows)
+    assert all(hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"] for r in out.collect() if r["n_a"])
+
+
 def test_alignment_gives_groups_and_links(spark, none):
     docs = spark.createDataFrame([(1, "unbelievable tokenizers")], "doc_id long, text string")
     (row,) = align.align(docs, A, B, groups=True).collect()
