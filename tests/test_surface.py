@@ -127,3 +127,14 @@ def test_stdin_and_newlines(spark, tmp_path, capsys):
     assert main(["scan", str(f), "--sarif"], spark) == 1
     region = json.loads(capsys.readouterr().out)["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"]
     assert (region["startLine"], region["startColumn"], region["charOffset"]) == (3, 2, 9)
+
+
+def test_streams_of_the_process_are_utf8(spark, monkeypatch):
+    """Output that cannot show a character replaces it, whatever the terminal."""
+    import io
+
+    raw = io.BytesIO()
+    monkeypatch.setattr(sys, "stdout", io.TextIOWrapper(raw, encoding="ascii"))
+    assert main(["clean", "-t", "naïve ‮😀"], spark) == 0
+    sys.stdout.flush()
+    assert raw.getvalue().decode() == "naïve 😀\n"
