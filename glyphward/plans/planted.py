@@ -175,7 +175,10 @@ def _sanitized_sql(name: str, blocking: tuple, threshold: int, detectors: tuple
     weight = "CASE category WHEN 'secret' THEN 100 WHEN 'slur' THEN 100 WHEN 'pii' THEN 20 WHEN 'hostility' THEN 15 ELSE 8 END"
     blocked = f"category IN ({', '.join(map(repr, blocking))})"
     score = f"greatest(0, 100 - coalesce(sum({weight}), 0))"
-    verdict = f"verdict AS (SELECT k, {score} AS score, count(*) AS n, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER ({blocked}), '') AS blocked FROM taken GROUP BY k), kinds AS (SELECT k, string_agg(category || '=' || n, ', ' ORDER BY category) AS kinds FROM (SELECT k, category, count(*) AS n FROM taken GROUP BY 1, 2) GROUP BY k)"
+    verdict = (
+        f"verdict AS (SELECT k, {score} AS score, count(*) AS n, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER ({blocked}), '') AS blocked FROM taken GROUP BY k), kinds AS (SELECT k, "
+        f"string_agg(category || '=' || n, ', ' ORDER BY category) AS kinds FROM (SELECT k, category, count(*) AS n FROM taken GROUP BY 1, 2) GROUP BY k)"
+    )
     texts = applied("src", lift=True)
     if aggressive:
         # sentences end behind . ! ? before white space; those with a blocking span go, and the rest is searched again
@@ -184,8 +187,14 @@ def _sanitized_sql(name: str, blocking: tuple, threshold: int, detectors: tuple
         white = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
         left = f"rest AS (SELECT d AS k, regexp_replace(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (k NOT IN (SELECT k FROM taken_p WHERE {blocked})), ''), '^{white}|{white}$', '', 'g') AS c FROM pieces GROUP BY d)"
         texts = f"{pieces}, {spans('pieces', detectors, '_p')}, {left}, {spans('rest', detectors, '_q')}, {applied('rest', 'taken_q', lift=True)}"
-    told = f"'[{name}] ' || CASE WHEN acceptable THEN 'ACCEPTABLE' ELSE 'NOT ACCEPTABLE' END || '  score=' || score || '/100 (threshold {threshold})' || CASE WHEN blocked_by <> '' THEN chr(10) || '  blocked by: ' || replace(blocked_by, ',', ', ') ELSE '' END || chr(10) || '  findings: ' || coalesce(kinds, 'none')"
-    scored = f"scored AS (SELECT p.doc_id, d AS clean, CAST(coalesce(score, 100) AS BIGINT) AS score, coalesce(blocked, '') AS blocked_by, coalesce(blocked, '') = '' AND coalesce(score, 100) >= {threshold} AS acceptable, kinds, coalesce(n, 0) AS n_findings FROM planted p LEFT JOIN verdict v ON v.k = p.doc_id LEFT JOIN kinds s ON s.k = p.doc_id LEFT JOIN done ON done.k = p.doc_id)"
+    told = (
+        f"'[{name}] ' || CASE WHEN acceptable THEN 'ACCEPTABLE' ELSE 'NOT ACCEPTABLE' END || '  score=' || score || '/100 (threshold {threshold})' || CASE WHEN blocked_by <> '' THEN chr(10) || '  blocked by: "
+        f"' || replace(blocked_by, ',', ', ') ELSE '' END || chr(10) || '  findings: ' || coalesce(kinds, 'none')"
+    )
+    scored = (
+        f"scored AS (SELECT p.doc_id, d AS clean, CAST(coalesce(score, 100) AS BIGINT) AS score, coalesce(blocked, '') AS blocked_by, coalesce(blocked, '') = '' AND coalesce(score, 100) >= {threshold} AS "
+        f"acceptable, kinds, coalesce(n, 0) AS n_findings FROM planted p LEFT JOIN verdict v ON v.k = p.doc_id LEFT JOIN kinds s ON s.k = p.doc_id LEFT JOIN done ON done.k = p.doc_id)"
+    )
     return f"WITH {VIEW}, {_SOURCE}, {spans('src', detectors)}, {texts}, {verdict}, {scored} SELECT doc_id, clean, {told} AS summary, score, CAST({threshold} AS BIGINT) AS threshold, acceptable, blocked_by, n_findings FROM scored"
 
 
@@ -197,7 +206,13 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).select("doc_id", render_scan().alias("report"))
 
 
-_SCHEMA = "dangerous boolean, counts map<string,int>, clean string, unicode_findings array<struct<offset:long,char:string,codepoint:string,name:string,category:string,unicode_category:string,severity:string,action:string,replacement:string,detail:string>>, pii_findings array<struct<start:long,end:long,category:string,severity:string,detector:string,replacement:string,matched:string>>"
+_SCHEMA = (
+    "dangerous boolean, "
+    "counts map<string,int>, "
+    "clean string, "
+    "unicode_findings array<struct<offset:long,char:string,codepoint:string,name:string,category:string,unicode_category:string,severity:string,action:string,replacement:string,detail:string>>, "
+    "pii_findings array<struct<start:long,end:long,category:string,severity:string,detector:string,replacement:string,matched:string>>"
+)
 
 
 def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +253,13 @@ _REPORT = (
     f"({_preview('t')}) || chr(10) || '  after : ' || ({_preview('d')}) || chr(10) || 'Verdict: ' || CASE WHEN danger THEN 'DANGEROUS' ELSE 'clean-ish' END || '  (' || counts || ')' END AS report FROM told"
 )
 
-_RULE = {"bidi": ("bidi-control", "BidiControlCharacter", "Bidirectional control character (Trojan-Source)", "https://trojansource.codes/", "error"), "zero_width": ("zero-width", "ZeroWidthCharacter", "Zero-width / invisible formatting character", "", "error"), "invisible": ("invisible", "InvisibleCharacter", "Invisible format / variation-selector character", "", "error"), "control": ("control-char", "ControlCharacter", "C0/C1 control character", "", "warning"), "homoglyph": ("homoglyph", "Homoglyph", "Homoglyph confusable with ASCII (UTS #39)", "", "warning")}
+_RULE = {
+    "bidi": ("bidi-control", "BidiControlCharacter", "Bidirectional control character (Trojan-Source)", "https://trojansource.codes/", "error"),
+    "zero_width": ("zero-width", "ZeroWidthCharacter", "Zero-width / invisible formatting character", "", "error"),
+    "invisible": ("invisible", "InvisibleCharacter", "Invisible format / variation-selector character", "", "error"),
+    "control": ("control-char", "ControlCharacter", "C0/C1 control character", "", "warning"),
+    "homoglyph": ("homoglyph", "Homoglyph", "Homoglyph confusable with ASCII (UTS #39)", "", "warning"),
+}
 _RULES = "rules(category, rule, name, short, help, level) AS (VALUES " + ", ".join(f"('{k}', '{r}', '{n}', '{s}', '{h or 'https://www.unicode.org/reports/tr39/'}', '{v}')" for k, (r, n, s, h, v) in _RULE.items()) + ")"
 _PLACED = (
     f"{_HITS}, {_RULES}, firsts AS (SELECT doc_id, category, min(o) AS pos FROM hits GROUP BY 1, 2), ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx FROM firsts), "
