@@ -27,6 +27,8 @@ def _holds(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "") != text
 
 
+#: Findings of a text that are looked up one by one, each with a look at the text up to there.
+FEW = 32
 #: Characters other than visible ASCII, blanks and line ends; few texts need more than a look for one.
 _UNUSUAL = "[^\\t\\n\\r -~]"
 
@@ -52,9 +54,12 @@ def _swap(text: Column, table: dict[str, str]) -> Column:
 def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
     """array<struct<offset, char, ...>> in offset order (code points from 0); empty for null texts.
 
-    Only runs of characters other than visible ASCII, blanks and line ends are looked at one by one.
+    All flagged characters become one of them, which cuts the text; up to FEW are looked up by their offsets. Texts that hold
+    more are taken apart: only runs of characters other than visible ASCII, blanks and line ends are looked at one by one.
     """
     table = flagged(options)
+    if not table:
+        return none("struct<offset:int," + FINDING.removeprefix("struct<"))
     chars = "".join(table)
     values = F.from_json(F.lit(json.dumps(list(table.values()))), f"array<{FINDING}>")
     usual = "[\\t\\n\\r -~]+" if not any(c in table for c in "\t\n\r") else "[ -~]+"
@@ -66,7 +71,15 @@ def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOpti
         each = F.transform(F.split(x["run"], ""), lambda c, i: F.struct((x["at"] + i).alias("offset"), c.alias("c")))
         return F.filter(each, lambda y: _holds(y["c"], chars))
 
-    found = F.flatten(F.transform(F.filter(placed, lambda x: _holds(x["run"], chars)), inside))
+    many = F.flatten(F.transform(F.filter(placed, lambda x: _holds(x["run"], chars)), inside))
+    mark = chars[0]
+
+    def few(parts: Column) -> Column:
+        ends = running(parts, "0", "a.state + char_length(x) + 1", "a.state + char_length(x)", "int")
+        spots = bind(F.struct(text.alias("t"), F.slice(ends, 1, F.size(parts) - 1).alias("o")), lambda v: F.transform(v["o"], lambda o: F.struct(o.alias("offset"), F.substr(v["t"], o + 1, F.lit(1)).alias("c"))))
+        return F.when(F.size(parts) <= FEW + 1, spots).otherwise(many)
+
+    found = bind(F.split(F.translate(text, chars, mark * len(chars)), f"\\x{{{ord(mark):X}}}", -1), few)
 
     def whole(x: Column) -> Column:
         names = ("char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")
