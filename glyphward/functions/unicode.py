@@ -72,7 +72,7 @@ def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOpti
         return F.filter(each, lambda y: _holds(y["c"], chars))
 
     many = F.flatten(F.transform(F.filter(placed, lambda x: _holds(x["run"], chars)), inside))
-    mark = chars[0]
+    mark = next(c for c in chars if c != "\0")  # translate() takes that for a deletion
 
     def few(parts: Column) -> Column:
         ends = running(parts, "0", "a.state + char_length(x) + 1", "a.state + char_length(x)", "int")
