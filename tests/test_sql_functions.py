@@ -39,7 +39,9 @@ def every(spark):
     """Each character that could be flagged, and its neighbours, between letters: one text each."""
     candidates = {cp for c in flagged() for cp in (ord(c) - 1, ord(c), ord(c) + 1)} | set(range(0x250)) | set(range(0x2000, 0x2100))
     own = sorted(cp for cp in candidates if 0 <= cp < 0x110000 and not 0xD800 <= cp < 0xE000)
-    return spark.createDataFrame([(cp, f"a{chr(cp)}b") for cp in own], "cp int, text string").repartition(4).cache()
+    table = spark.createDataFrame([(cp, f"a{chr(cp)}b") for cp in own], "cp int, text string").repartition(4).cache()
+    yield table
+    table.unpersist()
 
 
 @pytest.mark.parametrize("options", TOGGLES, ids=str)
