@@ -173,7 +173,7 @@ class _Writing:
             raise ValueError(f"layout {self.layout!r}; there are files and lines")
         if [f.name for f in schema.fields] != ["name", "value"] or {f.dataType.simpleString() for f in schema.fields} != {"string"}:
             raise ValueError("rows must be (name string, value string)")
-        self.job = uuid.uuid4().hex
+        self.job, self.lazy = uuid.uuid4().hex, True
 
     def write(self, rows: Iterator[Row]) -> Part:
         store, root = _place(self.path)
@@ -191,12 +191,13 @@ class _Writing:
         for row in rows:
             if self.layout == "lines":
                 if file is None:
-                    store.create_dir(staged, recursive=True)
+                    if self.lazy:
+                        store.create_dir(staged, recursive=True)
                     file = store.open_output_stream(f"{staged}/{own}{self.suffix}l")
                 file.write(f"{row['value'] or ''}".replace("\n", " ").encode() + b"\n")
                 continue
             if not seen:
-                store.create_dir(f"{staged}/{own}", recursive=True)
+                store.create_dir(f"{staged}/{own}", recursive=self.lazy)
             name = re.sub(r"[^\w.-]+", "_", row["name"] or "null").lstrip("._") or "unnamed"
             while name in seen:
                 name += "~"
@@ -227,6 +228,14 @@ class _Writing:
 
 
 class Writer(_Writing, DataSourceWriter):
+    """The job's folder is there before its tasks; once a failure has removed it, tasks that still run cannot stage any more."""
+
+    def __init__(self, options, schema: StructType, overwrite: bool = False):
+        super().__init__(options, schema, overwrite)
+        self.lazy = False
+        store, root = _place(self.path)
+        store.create_dir(f"{root}/{_STAGED}/{self.job}", recursive=True)
+
     def commit(self, messages: list[Part | None]) -> None:
         store, root = _place(self.path)
         store.create_dir(root, recursive=True)
@@ -239,7 +248,12 @@ class Writer(_Writing, DataSourceWriter):
             out.write(b"")
 
     def abort(self, messages: list[Part | None]) -> None:
-        self._clear(messages)
+        for _ in range(20):
+            try:
+                return self._clear(messages)
+            except OSError:  # a task has put something there meanwhile
+                time.sleep(0.2)
+        return self._clear(messages)
 
 
 class StreamWriter(_Writing, DataSourceStreamWriter):
