@@ -27,72 +27,78 @@ def _holds(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "") != text
 
 
-#: Findings of a text that are looked up one by one, each with a look at the text up to there.
-FEW = 32
 #: Characters other than visible ASCII, blanks and line ends; few texts need more than a look for one.
 _UNUSUAL = "[^\\t\\n\\r -~]"
+#: Ranges of characters that a pattern tests together, behind one test of where they all lie.
+_TESTED = 16
 
 
-def _worth(text: Column, table) -> Column:
-    """A quick look whether any character of the table may be in the text."""
-    return text.rlike("[^ -~]" if any(c in "\t\n\r" for c in table) else _UNUSUAL)
+def _any_of(table) -> str:
+    """A pattern of one character of the table. Most characters are told from those of it by their place, in a few tests."""
+    cps, ranges = sorted(map(ord, table)), []
+    for cp in cps:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    span = lambda lo, hi: f"\\x{{{lo:X}}}-\\x{{{hi:X}}}"
+    near = [ranges[i : i + _TESTED] for i in range(0, len(ranges), _TESTED)]
+    classes = "".join(f"[{span(x[0][0], x[-1][1])}&&[{''.join(span(*r) for r in x)}]]" for x in near)
+    return f"[{'[^ -~]' if any(c in table for c in '\t\n\r') else _UNUSUAL}&&[{classes}]]"
+
+
+def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
+    """What stands between the runs of characters of the pattern, and the runs; only these are looked at one by one."""
+    return F.split(text, f"{pattern}+", -1), F.regexp_extract_all(text, F.lit(f"{pattern}+"), F.lit(0))
 
 
 def _swap(text: Column, table: dict[str, str]) -> Column:
-    """Each character by its value: one-to-one and deletions in one translate(), longer values in a split text."""
+    """Each character by its value: one-to-one and deletions in one translate(), longer values in a split run."""
+    if not table:
+        return text
     one = {k: v for k, v in table.items() if len(v) == 1}
     gone = "".join(k for k, v in table.items() if not v)
     long = {k: v for k, v in table.items() if len(v) > 1}
-    out = F.translate(text, "".join(one) + gone, "".join(one.values())) if one or gone else text
-    if not long:
-        return F.when(_worth(text, table), out).otherwise(text)
-    keys, values = "".join(long), _lookup(long, "string")
-    parts = F.transform(F.split(out, ""), lambda c: F.when(_holds(c, keys), F.element_at(values, c)).otherwise(c))
-    return F.when(_worth(text, table), F.when(_holds(out, keys), F.array_join(parts, "")).otherwise(out)).otherwise(text)
+    pattern, keys, values = _any_of(table), "".join(long), _lookup(long, "string")
+
+    def swapped(run: Column) -> Column:
+        out = F.translate(run, "".join(one) + gone, "".join(one.values())) if one or gone else run
+        parts = F.transform(F.split(out, ""), lambda c: F.when(_holds(c, keys), F.element_at(values, c)).otherwise(c))
+        return F.when(_holds(out, keys), F.array_join(parts, "")).otherwise(out) if long else out
+
+    parts = F.zip_with(*_cut(text, pattern), lambda gap, run: F.concat(gap, F.when(run.isNotNull(), swapped(run)).otherwise("")))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def unicode_findings(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
     """array<struct<offset, char, ...>> in offset order (code points from 0); empty for null texts.
 
-    All flagged characters become one of them, which cuts the text; up to FEW are looked up by their offsets. Texts that hold
-    more are taken apart: only runs of characters other than visible ASCII, blanks and line ends are looked at one by one.
+    Runs of flagged characters cut the text; lengths of what stands between them and of the runs add up to offsets, so a text
+    is read through a few times, however many findings it has.
     """
     table = flagged(options)
+    kind = "struct<offset:int," + FINDING.removeprefix("struct<")
     if not table:
-        return none("struct<offset:int," + FINDING.removeprefix("struct<"))
-    chars = "".join(table)
+        return none(kind)
+    chars, pattern = "".join(table), _any_of(table)
     values = F.from_json(F.lit(json.dumps(list(table.values()))), f"array<{FINDING}>")
-    usual = "[\\t\\n\\r -~]+" if not any(c in table for c in "\t\n\r") else "[ -~]+"
-    runs = call("zip_with", F.split(text, usual, -1), F.regexp_extract_all(text, F.lit(usual), F.lit(0)), "(r, u) -> named_struct('run', r, 'behind', coalesce(char_length(u), 0))")
-    placed = running(runs, "0", "a.state + char_length(x.run) + x.behind", "named_struct('at', a.state, 'run', x.run)", "struct<at:int,run:string>")
+    runs = call("zip_with", *_cut(text, pattern), "(g, r) -> named_struct('gap', char_length(g), 'run', r)")
+    placed = running(runs, "0", "a.state + x.gap + coalesce(char_length(x.run), 0)", "named_struct('at', a.state + x.gap, 'run', x.run)", "struct<at:int,run:string>")
 
-    def inside(x: Column) -> Column:
-        # translate() leaves nothing of a flagged character; its place in chars is that of its finding
-        each = F.transform(F.split(x["run"], ""), lambda c, i: F.struct((x["at"] + i).alias("offset"), c.alias("c")))
-        return F.filter(each, lambda y: _holds(y["c"], chars))
-
-    many = F.flatten(F.transform(F.filter(placed, lambda x: _holds(x["run"], chars)), inside))
-    mark = next(c for c in chars if c != "\0")  # translate() takes that for a deletion
-
-    def few(parts: Column) -> Column:
-        ends = running(parts, "0", "a.state + char_length(x) + 1", "a.state + char_length(x)", "int")
-        spots = bind(F.struct(text.alias("t"), F.slice(ends, 1, F.size(parts) - 1).alias("o")), lambda v: F.transform(v["o"], lambda o: F.struct(o.alias("offset"), F.substr(v["t"], o + 1, F.lit(1)).alias("c"))))
-        return F.when(F.size(parts) <= FEW + 1, spots).otherwise(many)
-
-    found = bind(F.split(F.translate(text, chars, mark * len(chars)), f"\\x{{{ord(mark):X}}}", -1), few)
-
-    def whole(x: Column) -> Column:
+    def whole(offset: Column, c: Column) -> Column:
         names = ("char", "codepoint", "name", "category", "unicode_category", "severity", "action", "replacement", "detail")
-        return bind(F.element_at(values, F.instr(F.lit(chars), x["c"])), lambda f: F.struct(x["offset"].alias("offset"), *[f[n].alias(n) for n in names]))
+        found = F.struct(offset.alias("offset"), F.element_at(values, F.instr(F.lit(chars), c)).alias("f"))
+        return bind(found, lambda v: F.struct(v["offset"].alias("offset"), *[v["f"][n].alias(n) for n in names]))
 
-    kind = "struct<offset:int," + FINDING.removeprefix("struct<")
-    return F.coalesce(F.when(_worth(text, table) & _holds(text, chars), F.transform(found, whole)), none(kind))
+    inside = lambda x: F.transform(F.split(x["run"], ""), lambda c, i: whole(x["at"] + i, c))
+    found = F.flatten(F.transform(call("filter", placed, "x -> x.run is not null"), inside))
+    return F.coalesce(F.when(text.rlike(pattern), found), none(kind))
 
 
 def is_dangerous(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:
     """Whether the text holds a flagged character that is no look-alike: a look alone, no findings are made. Null texts hold none."""
     table = {c: f for c, f in flagged(options).items() if f["category"] in DANGEROUS}
-    return F.coalesce(_worth(text, table) & _holds(text, "".join(table)), F.lit(False)) if table else F.lit(False)
+    return F.coalesce(text.rlike(_any_of(table)), F.lit(False)) if table else F.lit(False)
 
 
 def clean_unicode(text: Column, options: UnicodeScanOptions = UnicodeScanOptions()) -> Column:

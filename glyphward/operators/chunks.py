@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import bind
-from ..functions.unicode import DANGEROUS, FEW, LINE_ENDS, SIGNS, unicode_findings, walked
+from ..functions.unicode import DANGEROUS, LINE_ENDS, SIGNS, unicode_findings, walked
 from ..sources import settled
 from ..tables import UnicodeScanOptions
 from .scan import regions
 
 #: Chunks of a text whose summaries are walked through together; a text's cells of so many are added up before.
 CELL = 4096
+#: Findings of a chunk that are placed one by one, each with a look at the text up to there.
+FEW = 32
 
 
 def cut(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,24 +38,28 @@ def summaries(chunks: DataFrame, key: str = "doc_id", options: UnicodeScanOption
     findings have line and column as if the chunk were the text. breaks: whether a line that counts for bidirectional signs ends
     in it; head and tail: the sums before the first such end (or of all) and behind the last; bad: a line between them is unbalanced.
     """
+    return settled(_summed(chunks, key, options))
+
+
+def _summed(chunks: DataFrame, key: str, options: UnicodeScanOptions) -> DataFrame:
+    """summaries() before they are written; signs and findings have columns of their own, so that each is worked out once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.col("_found")
     own = chunks.select(key, F.col("chunk").cast("long").alias("chunk"), text.alias("text"), unicode_findings(text, options).alias("_found"))
-    # lines without signs are balanced: of each run of line ends the first and the last stay
-    kept = F.regexp_replace(F.regexp_replace("text", f"[^{SIGNS}{LINE_ENDS}]", ""), f"([{LINE_ENDS}])[{LINE_ENDS}]*([{LINE_ENDS}])", "$1$2")
-    signs = F.split(kept, f"[{LINE_ENDS}]", -1)
+    # lines without signs are balanced: of each run of line ends the first and the last stay, and of a chunk without signs any one
+    kept = F.regexp_replace(F.regexp_replace("text", f"[^{SIGNS}{LINE_ENDS}]+", ""), f"([{LINE_ENDS}])[{LINE_ENDS}]*([{LINE_ENDS}])", "$1$2")
+    kept = F.when(F.col("text").rlike(f"[{SIGNS}]"), kept).when(F.col("text").rlike(f"[{LINE_ENDS}]"), "\n").otherwise("")
+    own, signs = own.withColumn("_signs", F.split(kept, f"[{LINE_ENDS}]", -1)), F.col("_signs")
     inner = F.slice(signs, 2, F.greatest(F.size(signs) - 2, F.lit(0)))
     off = lambda p: (p["e"] != 0) | (p["i"] != 0) | (p["e_low"] < 0) | (p["i_low"] < 0)
     head = lambda x: F.substr(F.col("text"), F.lit(1), x["offset"])
     line = lambda h: F.struct((F.char_length(h) - F.char_length(F.translate(h, "\n", "")) + 1).alias("line"), (F.char_length(F.substring_index(h, "\n", -1)) + 1).alias("column"))
     few = F.transform(found, lambda x: bind(F.struct(x.alias("x"), line(head(x)).alias("r")), lambda v: F.struct(v["x"].alias("found"), v["r"]["line"].alias("line"), v["r"]["column"].alias("column"))))
     many = F.zip_with(found, F.when(F.size(found) > 0, regions(F.col("text"), found)), lambda x, r: F.struct(x.alias("found"), r["line"].alias("line"), r["column"].alias("column")))
-    return settled(
-        own.select(
-            key, "chunk", F.char_length("text").cast("long").alias("chars"), (F.char_length("text") - F.char_length(F.translate("text", "\n", ""))).cast("long").alias("lines"),
-            F.char_length(F.substring_index("text", "\n", -1)).cast("long").alias("rest"), (F.size(signs) > 1).alias("breaks"), _piece(F.element_at(signs, 1)).alias("head"),
-            F.when(F.size(signs) > 1, _piece(F.element_at(signs, -1))).alias("tail"), F.exists(F.transform(inner, _piece), off).alias("bad"), F.when(F.size(found) > FEW, many).when(F.size(found) > 0, few).alias("findings"),
-        )
+    return own.select(
+        key, "chunk", F.char_length("text").cast("long").alias("chars"), (F.char_length("text") - F.char_length(F.translate("text", "\n", ""))).cast("long").alias("lines"),
+        F.char_length(F.substring_index("text", "\n", -1)).cast("long").alias("rest"), (F.size(signs) > 1).alias("breaks"), _piece(F.element_at(signs, 1)).alias("head"),
+        F.when(F.size(signs) > 1, _piece(F.element_at(signs, -1))).alias("tail"), F.exists(F.transform(inner, _piece), off).alias("bad"), F.when(F.size(found) > FEW, many).when(F.size(found) > 0, few).alias("findings"),
     )
 
 
