@@ -1,7 +1,8 @@
 """What is costly is worked out once, and only where it is asked for."""
 
+from glyphward import scan
 from glyphward.operators import chunks
-from glyphward.tables import UnicodeScanOptions
+from glyphward.tables import ScanOptions, UnicodeScanOptions
 
 
 def plan(df) -> str:
@@ -22,3 +23,10 @@ def test_signs_and_line_ends_alone(spark):
     for size in (1, 2, 5):
         got = chunks.chunk_verdicts(chunks.summaries(chunks.cut(docs, size))).collect()
         assert {r["doc_id"]: r["unbalanced"] for r in got} == want
+
+
+def test_no_detector_runs_where_personal_data_is_off(spark):
+    docs = spark.createDataFrame([(1, "bob@example.com \u202e")], "doc_id long, text string")
+    out = scan(docs, options=ScanOptions(pii=False))
+    assert "sk-ant-" not in plan(out) and "sk-ant-" in plan(scan(docs))
+    assert [(r["clean"], r["pii_findings"], r["counts"]) for r in out.collect()] == [("bob@example.com ", [], {"bidi": 1})]
