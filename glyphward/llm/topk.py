@@ -86,13 +86,18 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
 
 
 def _blob(**arrays: np.ndarray) -> bytes:
+    """The arrays, points (whole numbers) in the narrowest type that holds them: 16 bits for components up to 127 at scale 256."""
+    points = arrays["points"]
+    kind = next((t for t in (np.int16, np.int32) if not points.size or np.abs(points).max() <= np.iinfo(t).max), np.float64)
+    arrays["points"] = points.astype(kind)
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
 
 
 def _arrays(blob: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(blob)))
+    out = dict(np.load(io.BytesIO(blob)))
+    return out | {"points": out["points"].astype(np.float64)}
 
 
 def _whole(vectors: list, scale: int) -> np.ndarray:
@@ -203,10 +208,12 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
 
     hits = "query_id long, dim int, home int, block int, row long, vec_id long, score long"
     query = Window.partitionBy("dim", "home", "block", "row").orderBy(F.desc("score"), "vec_id")
+    # sizes of files say little of packed trees and of blocks that mapInPandas copies for many groups: neither is ever broadcast
+    trees = trees.hint("merge")
     first = stash(asks.withColumn("grp", F.col("home")).join(trees, ["dim", "grp"]).mapInPandas(find, hits).withColumn("rank", F.row_number().over(query)).filter(F.col("rank") <= k))
     floors = first.filter(F.col("rank") == k).groupBy("dim", "home", "block").agg(F.collect_list(F.struct("row", "score")).alias("f"))
     floors = floors.select("dim", "home", "block", F.col("f.row").alias("rows"), F.col("f.score").alias("kths"))
-    wanted = asks.join(floors, ["dim", "home", "block"], "left").select("dim", "home", "block", "asks", "rows", "kths").mapInPandas(better, "dim int, home int, block int, grp int, asks binary")
+    wanted = asks.join(floors.hint("merge"), ["dim", "home", "block"], "left").select("dim", "home", "block", "asks", "rows", "kths").mapInPandas(better, "dim int, home int, block int, grp int, asks binary")
     other = wanted.join(trees, ["dim", "grp"]).mapInPandas(find, hits)
     found = first.drop("rank").unionByName(other)
     return found.withColumn("rank", F.row_number().over(query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -141,3 +141,15 @@ def test_entities_times_terms(spark):
     took(50)
     few, many = took(100), took(800)
     assert many < 8 * few + 10
+
+
+def test_searched_blocks_are_never_broadcast(spark):
+    """Blocks are copied for many groups, which no estimate of the optimizer knows: such a side must not go through the driver."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, "vec_id % 50 = 0")
+    assert out.count() == 8 * 5
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    points = np.array([[32767.0, -32767.0], [5.0, 0.0]])
+    for p in (points, points * 3, points * 1e6):
+        assert (topk._arrays(topk._blob(points=p))["points"] == p).all()
