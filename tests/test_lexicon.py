@@ -72,3 +72,18 @@ def test_lexicon_of_a_table(spark):
     with pytest.raises(ValueError, match="verb"):
         Lexicon.from_table(spark.createDataFrame([("verb", "x", None)], "kind string, entry string, replacement string"))
     assert Lexicon.from_table(spark.createDataFrame([], "kind string, entry string, replacement string")).entries() == 0
+
+
+def test_batches_of_a_large_lexicon_are_bounded(spark):
+    """No worker holds the hits of more than BATCH rows at once, whatever the session's setting."""
+    from glyphward.functions import lexicon
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for rows in ("10000", "0", "100"):
+            spark.conf.set(name, rows)
+            lexicon.lexicon_spans(F.col("text"), Lexicon({}, {}, ["a"]), 0, "start:int")
+            assert int(spark.conf.get(name)) == min(int(rows) or lexicon.BATCH, lexicon.BATCH)
+    finally:
+        spark.conf.set(name, old)
